@@ -135,7 +135,7 @@ def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
     """One row per shard of `repeated` (_a, _b, _keeper, _n): seeds of the perfect hash (before
     them the salt that makes the shard's 64-bit keys distinct) and the arrays that it indexes."""
 
-    def build(key, group: pa.Table) -> pa.Table:
+    def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         a, b, keeper, count = (np.asarray(group.column(n).combine_chunks(), np.int64) for n in ("_a", "_b", "_keeper", "_n"))
         salt = 1
         while len(np.unique(keys := _mix(a, salt) ^ b.astype(np.uint64))) < len(keys):

@@ -90,14 +90,14 @@ def _place(docs: DataFrame, weights, limit, size, source, doc_id, seed) -> tuple
 
     def to_sources(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source", na_position="last", kind="stable")
-        return rows.assign(seats=sainte_lague(rows["target"].to_numpy(float), round(rows["target"].sum() / block)))
+        return rows.drop(columns="_all").assign(seats=sainte_lague(rows["target"].to_numpy(float), round(rows["target"].sum() / block)))
 
     def to_shards(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_shard", kind="stable")
         held = rows["_cell_size"].to_numpy(np.int64)
         return rows.assign(quota=sainte_lague(held.astype(float), int(rows["seats"].iloc[0]), -(-limit * held // block)))[["_source", "_shard", "quota"]]
 
-    seats = targets.groupBy(F.lit(1)).applyInPandas(to_sources, "source string, source_size long, weight double, target double, seats long")
+    seats = targets.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(to_sources, "source string, source_size long, weight double, target double, seats long")
     seats = materialise(seats.select(F.col("source").alias("_s"), "source_size", "target", "seats"))
     joined = cells.join(seats, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     quotas = joined.groupBy("_source").applyInPandas(to_shards, "_source string, _shard int, quota long")

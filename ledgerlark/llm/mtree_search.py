@@ -120,7 +120,7 @@ def build(vectors: DataFrame, asked: DataFrame) -> tuple[_Nodes, DataFrame] | No
     pages = F.element_at(F.array(*(F.lit(int(p)) for p in nodes.pages)), F.col("node") + 1)
     dealt = placed.withColumn("page", F.pmod(F.xxhash64("vec_id"), pages).cast("int"))
 
-    def pack(key, rows: pa.Table) -> pa.Table:
+    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         parent = np.asarray(rows.column("parent").combine_chunks())
         order = np.argsort(parent, kind="stable")
@@ -164,7 +164,7 @@ def _visit(nodes: _Nodes, pages: DataFrame, asked: DataFrame, k: int) -> DataFra
     count = F.element_at(F.array(*(F.lit(int(p)) for p in nodes.pages)), F.col("node") + 1)
     null = F.lit(None)
     names = ["node", "page", "kind", "query_id", "at", "bound", "a", "b", "c"]
-    asked = asked.withColumn("page", F.explode(F.sequence(F.lit(0), count - 1)).cast("int")).select(
+    asked = asked.withColumn("page", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))).select(
         "node", "page", F.lit(1).alias("kind"), "query_id", "at", "bound", F.col("q").alias("a"), null.cast("binary").alias("b"), null.cast("binary").alias("c")
     )
     held = pages.select(

@@ -92,10 +92,13 @@ def _candidates(host: Column, path: Column, rules) -> Column:
     cut to each length that the rules' paths have."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    by_length = []
-    for size in sorted({len(r.path) for r in rules}):
+    none = F.array().cast("array<string>")
+
+    def of_length(size: int) -> Column:
         cut = F.substring(path, F.lit(1), F.lit(size))
-        by_length.append(F.when(F.length(path) >= size, F.transform(suffixes, lambda s, c=cut: F.concat(s, c))).otherwise(F.array().cast("array<string>")))
+        return F.when(F.length(path) >= size, F.transform(suffixes, lambda s: F.concat(s, cut))).otherwise(none)
+
+    by_length = [of_length(size) for size in sorted({len(r.path) for r in rules})]
     return F.array_distinct(F.concat(*by_length))
 
 
