@@ -56,10 +56,3 @@ def build_filter(keys: DataFrame, rate: float, salt: int = 0, n: int | None = No
         start = (row["chunk"] - 1) * _CHUNK_BITS // 8
         data[start : start + len(row["map"])] = row["map"]
     return Filter(salt, bits, hashes, bytes(data[: -(-bits // 8)]))
-
-
-def prefilter(rows: DataFrame, column: str, keys: DataFrame, rate: float = 0.02, most: int = 8_000_000) -> DataFrame:
-    """Rows whose `column` may be among `keys` (column key): all that are, few others. With over
-    `most` keys the rows come back as they are. Use before an exact join, to shuffle less."""
-    n = keys.count()
-    return rows if n > most else rows.where(build_filter(keys, rate, n=n).passes(F.col(column)))

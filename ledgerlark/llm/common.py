@@ -44,6 +44,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be broadcast at most (8 bytes each).
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose `column` is one of the distinct long `key`s. Up to MAX_BROADCAST_KEYS they are
+    broadcast, so that the rows aren't shuffled; beyond, both sides are."""
+    few = keys.count() <= MAX_BROADCAST_KEYS
+    side = keys.select(F.col("key").alias("_key"))
+    return rows.join(F.broadcast(side) if few else side, F.col(column) == F.col("_key"), "left_semi")
+
+
 def word_count(text):
     """Number of words (WORD) as a column; null text has none. Squeezing each run of
     white space to one separator leaves one separator fewer than words."""
