@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has been written: it does so when the driver's
+    garbage is collected, which may otherwise be long after a job of many steps has filled disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Keys that may be broadcast at most (8 bytes each).
 MAX_BROADCAST_KEYS = 1_000_000
 
