@@ -83,12 +83,14 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20):
-    """Cut a record batch into runs of rows whose texts take about budget bytes, so that
-    very long texts don't multiply a task's memory. A single longer text is a run by itself."""
+    """Cut a record batch into runs of rows whose texts take about budget bytes (for a column of
+    lists: whose lists have about budget elements), so that very long texts don't multiply a
+    task's memory. A single longer text is a run by itself."""
     if not batch.num_rows:
         return
     at = batch.schema.get_field_index(column)
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
+    length = pc.list_value_length if pa.types.is_list(batch.column(at).type) else pc.binary_length
+    sizes = np.asarray(pc.fill_null(length(batch.column(at)), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:

@@ -31,7 +31,7 @@ _SPACE = "▁"
 #: run's own merges do, while at least 16 more follow.
 _WORDS = re.compile(r" {16}(?= {16})| *[^ \n]+| +|\n")
 _NONE = np.iinfo(np.int32).max
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 200_000
 _DENSE = 1024
 
 
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", into: str = "id
     sentencepiece library encodes it. All input columns stay, except one named like `into`,
     which is replaced. Null or empty text gives an empty list; repeated rows stay repeated; an
     empty table stays empty. Narrow: one pass, no shuffle, memory bounded by runs of rows of
-    about 4 MB (a longer text makes a run of its own).
+    about 1 MB (a longer text makes a run of its own).
     """
     kept = docs.drop(into) if into in docs.columns else docs
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", into: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordCache(PieceModel.load(model_path))
         for batch in batches:
-            for rows in slices(batch, text):
+            for rows in slices(batch, text, 1 << 20):
                 ids, sizes = cache.encode(texts_of(rows.column(rows.schema.get_field_index(text))))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
@@ -274,15 +274,15 @@ def decode(tokens: DataFrame, model_path: str, ids: str = "ids", into: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.load(model_path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-            flat = np.asarray(lists.flatten(), np.int64)
-            raw, widths = model.decode(flat, sizes)
-            data, text, at = raw.tobytes(), [], 0
-            for w in widths.tolist():
-                text.append(data[at : at + w].decode("utf-8", "replace"))
-                at += w
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, into])
+            for rows in slices(batch, ids, 1 << 18):  # 2**18 ids
+                lists = rows.column(rows.schema.get_field_index(ids))
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                raw, widths = model.decode(np.asarray(lists.flatten(), np.int64), sizes)
+                data, text, at = raw.tobytes(), [], 0
+                for w in widths.tolist():
+                    text.append(data[at : at + w].decode("utf-8", "replace"))
+                    at += w
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(text, pa.string())], names=[*rows.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
