@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import surrogate_key
-from .operators import ml, quality, retrieval, temporal
+from .operators import ml, quality, retrieval, temporal, validation
 from .plans import models as m
+from .sources import generator
 from .sources import tables as src
 from .streaming import logins as streaming
 
@@ -357,3 +358,52 @@ def insolvency_rollup(spark, d):
 @query("SELECT md5(CAST(company_id AS VARCHAR) || '-' || CAST(snapshot_date AS VARCHAR)) AS profile_key, company_id FROM spine")
 def surrogate_keys(spark, d):
     return m.company_date_spine(spark, d).select(surrogate_key(F.col("company_id"), F.col("snapshot_date")).alias("profile_key"), "company_id")
+
+
+@query("""SELECT request_id, concat_ws(',',
+    CASE WHEN foundation_date IS NULL THEN 'missing_foundation_date' END, CASE WHEN unpaid IS NULL THEN 'missing_unpaid_ratio_trailing_90d' END,
+    CASE WHEN sector NOT IN ('tech', 'services') THEN 'unknown_industry_sector' END, CASE WHEN foundation_date > DATE '1998-01-01' THEN 'future_foundation_date' END,
+    CASE WHEN leverage <= 0 THEN 'leverage_ratio_not_positive' END, CASE WHEN unpaid < 0 OR unpaid > 1 THEN 'range_unpaid_ratio_trailing_90d' END,
+    CASE WHEN debt < 0 THEN 'range_total_outstanding_debt' END, CASE WHEN login < 0 THEN 'range_days_since_last_login' END, CASE WHEN velocity < 0 OR velocity > 3 THEN 'range_login_velocity' END) AS broken,
+  CASE WHEN foundation_date <= DATE '1998-01-01' THEN CAST(date_diff('day', foundation_date, DATE '1998-01-01') AS INTEGER) END AS company_age_days
+FROM (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS foundation_date,
+    CASE o_orderkey % 3 WHEN 0 THEN 'tech' WHEN 1 THEN 'services' ELSE 'retail' END AS sector, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 130 - 5) / 100.0 END AS unpaid,
+    o_totalprice - 20000 AS debt, o_orderkey % 50 - 2 AS login, o_orderkey % 35 / 10.0 AS velocity, o_orderkey % 7 - 1 AS leverage FROM orders)""")
+def request_validation(spark, d):
+    """Scoring requests, made from orders, with the rules that they break."""
+    k = F.col("o_orderkey")
+    nothing = ("average_satisfaction_score", "billing_disputes_count", "active_contracts_count")
+    requests = src.read_table(spark, d, "orders").select(
+        k.alias("request_id"), F.when(k % 11 != 0, F.col("o_orderdate").cast("date")).alias("foundation_date"),
+        F.when(k % 3 == 0, "tech").when(k % 3 == 1, "services").otherwise("retail").alias("industry_sector"), F.lit("Lazio").alias("registered_office_region"),
+        F.when(k % 13 != 0, (k % 130 - 5) / 100).alias("unpaid_ratio_trailing_90d"), (F.col("o_totalprice") - 20000).alias("total_outstanding_debt"),
+        (k % 50 - 2).alias("days_since_last_login"), (k % 35 / 10).alias("login_velocity"), (k % 7 - 1).alias("leverage_ratio"), *(F.lit(None).cast("int").alias(c) for c in nothing),
+    )
+    checked = validation.validated_requests(requests, "1998-01-01")
+    return checked.select("request_id", F.concat_ws(",", "violations").alias("broken"), "company_age_days")
+
+
+@query()
+def synthetic_companies(spark, d):
+    """The seeded history has no input; its size is a parameter."""
+    return generator.companies(spark, 1000)
+
+
+@query()
+def synthetic_statements(spark, d):
+    return generator.financial_statements(spark, 1000)
+
+
+@query()
+def synthetic_billing(spark, d):
+    return generator.billing(spark, 1000)
+
+
+@query()
+def synthetic_tickets(spark, d):
+    return generator.support_tickets(spark, 1000)
+
+
+@query()
+def synthetic_logins(spark, d):
+    return generator.web_logins(spark, 1000)

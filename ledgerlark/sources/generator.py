@@ -1,0 +1,234 @@
+"""Seeded synthetic history of companies: identities, statements, contracts, bills, payments,
+tickets and logins, all as column expressions.
+
+Every draw is a hash of (seed, what is drawn, the row's keys), so a task that runs again after a
+lost executor draws the same, at any number of partitions. Tables grow from the company ids by
+explode; only a company's few years are shuffled once, to find the year before.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+from itertools import accumulate
+from math import pi
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# --- fixed values of the simulated economy ----------------------------------------------------
+SECTORS = {
+    "manufacturing": 0.20, "chemical_heavy_industry": 0.05, "food_beverage": 0.10, "services": 0.25, "commerce": 0.15, "hospitality": 0.05,
+    "healthcare": 0.05, "agriculture": 0.05, "construction": 0.04, "transportation": 0.03, "utilities": 0.01, "tech": 0.02,
+}
+SIZES = {"small": 0.75, "medium": 0.20, "large": 0.05}
+SIZE_SCALE = {"small": 1.0, "medium": 4.0, "large": 15.0}
+SIZE_REVENUE = {"small": 120000.0, "medium": 750000.0, "large": 4500000.0}
+RISK_PREMIUM = {
+    "construction": 0.4, "hospitality": 0.3, "agriculture": 0.2, "manufacturing": 0.1, "services": -0.1, "tech": -0.2, "healthcare": -0.2,
+    "chemical_heavy_industry": 0.1, "food_beverage": 0.0, "commerce": 0.0, "transportation": 0.1, "utilities": -0.3,
+}
+INTENSITY = {"very_low": 0.1, "low": 0.5, "medium": 1.0, "high": 3.0, "very_high": 10.0}
+EVENT_RATE = {"very_low": 0.2, "low": 0.6, "medium": 1.0, "high": 1.8, "very_high": 3.5}
+#: sector: energy intensity, electricity weight, gas weight, electricity curve, gas curve, digitalisation, support
+PROFILES = {
+    "manufacturing": ("medium", "high", "medium", "summer_shutdown", "winter_heavy", "medium", "medium"),
+    "chemical_heavy_industry": ("very_high", "very_high", "very_high", "flat", "flat", "medium", "high"),
+    "food_beverage": ("high", "high", "medium", "flat", "flat", "medium", "medium"),
+    "services": ("very_low", "high", "low", "summer_peak", "winter_heavy", "high", "medium"),
+    "commerce": ("low", "high", "low", "summer_peak", "winter_heavy", "medium", "medium"),
+    "hospitality": ("high", "high", "high", "summer_peak", "winter_heavy", "medium", "medium"),
+    "healthcare": ("medium", "high", "medium", "flat", "winter_heavy", "high", "medium"),
+    "agriculture": ("low", "medium", "medium", "summer_peak", "flat", "very_low", "low"),
+    "construction": ("low", "high", "very_low", "summer_peak", "winter_heavy", "low", "medium"),
+    "transportation": ("medium", "high", "low", "flat", "winter_heavy", "high", "medium"),
+    "utilities": ("high", "very_high", "medium", "flat", "winter_heavy", "high", "very_high"),
+    "tech": ("medium", "very_high", "very_low", "flat", "flat", "very_high", "low"),
+}
+CURVES = {
+    "flat": (1.0,) * 12,
+    "summer_peak": (0.8, 0.8, 0.8, 0.9, 1.0, 1.3, 1.4, 1.3, 1.1, 0.9, 0.8, 0.9),
+    "winter_heavy": (1.72, 1.64, 1.31, 0.87, 0.55, 0.44, 0.44, 0.44, 0.55, 0.98, 1.42, 1.64),
+    "summer_shutdown": (1.07, 1.07, 1.07, 1.07, 1.07, 1.07, 1.07, 0.20, 1.08, 1.08, 1.08, 1.07),
+}
+REGIONS = (
+    "Abruzzo", "Basilicata", "Calabria", "Campania", "Emilia-Romagna", "Friuli-Venezia Giulia", "Lazio", "Liguria", "Lombardia", "Marche", "Molise",
+    "Piemonte", "Puglia", "Sardegna", "Sicilia", "Toscana", "Trentino-Alto Adige", "Umbria", "Valle d'Aosta", "Veneto",
+)
+PRICE = {"electricity": 0.25, "gas": 0.85}
+PHYSICAL_SCALE, ENERGY_TO_REVENUE, TAX, TERM_DAYS = 25_000.0, 6.5, "0.22", 20
+
+MONEY = "decimal(15,2)"
+
+
+def uniform(seed: int, what: str, *keys: Column) -> Column:
+    """Draw from [0, 1), a function of seed, what and keys alone."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(what), *keys), 11) / F.lit(float(1 << 53))
+
+
+def between(low: float, high: float, u: Column) -> Column:
+    return low + (high - low) * u
+
+
+def integer(low: int, high: int, u: Column) -> Column:
+    """low .. high - 1."""
+    return (F.floor(u * (high - low)) + low).cast("int")
+
+
+def normal(seed: int, what: str, mean: float, deviation: float, *keys: Column) -> Column:
+    u, v = uniform(seed, f"{what}:radius", *keys), uniform(seed, f"{what}:angle", *keys)
+    return mean + deviation * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * pi * v)
+
+
+def choice(weights: dict[str, float], u: Column) -> Column:
+    """A key, drawn by cumulated weights."""
+    names, ends = list(weights), list(accumulate(weights.values()))
+    picked = reduce(lambda c, i: c.when(u < ends[i], names[i]), range(1, len(names) - 1), F.when(u < ends[0], names[0]))
+    return picked.otherwise(names[-1])
+
+
+def lookup(table: dict, key: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
+
+
+def _trait(at: int, scale: dict | None = None) -> Column:
+    """A trait of the row's sector, or its scale."""
+    return lookup({s: p[at] if scale is None else scale[p[at]] for s, p in PROFILES.items()}, F.col("industry_sector"))
+
+
+def companies(spark: SparkSession, n: int, seed: int = 202607) -> DataFrame:
+    """Identities with yearly energy volumes (annual_electricity, annual_gas, without a unit)."""
+    c = F.col("company_id")
+    draw = lambda what: uniform(seed, what, c)
+    df = spark.range(1, n + 1).select(F.col("id").alias("company_id"))
+    df = df.withColumns({
+        "vat_number": (F.lit(10_000_000_000) + F.pmod(c * 48_271 + seed, F.lit(89_999_999_999))).cast("string"),  # no two alike
+        "industry_sector": choice(SECTORS, draw("sector")), "company_size": choice(SIZES, draw("size")),
+        "registered_office_region": F.element_at(F.array(*map(F.lit, REGIONS)), integer(1, len(REGIONS) + 1, draw("region"))),
+        "foundation_date": F.make_date(integer(2018, 2021, draw("year")), F.lit(1), F.lit(1)), "is_active": F.lit(True),
+    })
+    form = F.when((F.col("company_size") == "large") & (draw("form") >= 0.92), "S.p.A.").otherwise("S.r.l.")
+    group = F.element_at(F.array(*map(F.lit, ("Industrie", "Gruppo", "Sistemi", "Logistica"))), integer(1, 5, draw("group")))
+    df = df.withColumn("legal_form", form).withColumn("legal_name", F.concat_ws(" ", group, c.cast("string"), "legal_form"))
+    base = _trait(0, INTENSITY) * lookup(SIZE_SCALE, F.col("company_size")) * between(0.85, 1.15, draw("volume"))
+    df = df.withColumn("_base", base)
+    electricity = F.when(_trait(1).isin("high", "very_high"), F.col("_base")).otherwise(F.col("_base") * 0.4)
+    gas = F.when(_trait(2).isin("medium", "high", "very_high"), F.col("_base") * 0.6).otherwise(0.0)
+    return df.withColumns({"annual_electricity": electricity, "annual_gas": gas}).drop("_base")
+
+
+def fiscal_years(spark: SparkSession, n: int, last_year: int = 2026, seed: int = 202607) -> DataFrame:
+    """A row per company and year with its margin and the status that its contracts have: the margin
+    drifts within bounds, and the status follows the last strong margin (below -0.07 or above 0.04)."""
+    c, y = F.col("company_id"), F.col("fiscal_year")
+    clamp = lambda x, low, high: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    start = F.struct(normal(seed, "margin", 0.06, 0.04, c).alias("margin"), F.lit(0).alias("fiscal_year"), F.lit("active").alias("status"), F.lit(0.0).alias("_final"))
+
+    def step(history: Column, year: Column) -> Column:
+        was = F.element_at(history, -1)
+        margin = clamp(was["margin"] + normal(seed, "drift", -0.005, 0.025, c, year), -0.15, 0.35)
+        final = clamp(margin + between(-0.03, 0.03, uniform(seed, "final", c, year)), -0.20, 0.40)
+        status = F.when(final < -0.07, "suspended").when(final > 0.04, "active").otherwise(was["status"])
+        now = F.struct(margin.alias("margin"), year.alias("fiscal_year"), status.alias("status"), final.alias("_final"))
+        return F.concat(history, F.array(now))
+
+    years = F.sequence(F.year("foundation_date"), F.lit(last_year))
+    history = F.aggregate(years, F.array(start), step)
+    df = companies(spark, n, seed).withColumn("_y", F.explode(F.slice(history, 2, F.size(years))))
+    df = df.select("*", "_y.fiscal_year", "_y.margin", "_y.status").drop("_y")
+    draw = lambda what: uniform(seed, what, c, y)
+    energy = F.col("annual_electricity") + F.col("annual_gas")
+    df = df.withColumn("revenue", lookup(SIZE_REVENUE, F.col("company_size")) * between(0.80, 1.25, draw("revenue")) + energy * ENERGY_TO_REVENUE)
+    crisis = F.col("margin") < 0.01
+    cash = F.when(crisis, between(0.002, 0.015, draw("cash"))).otherwise(between(0.04, 0.12, draw("cash")))
+    debt = F.when(crisis, between(0.35, 0.65, draw("debt"))).otherwise(between(0.05, 0.25, draw("debt")))
+    ebitda = F.col("revenue") * F.col("margin")
+    amounts = {
+        "total_revenue": F.col("revenue"), "ebitda": ebitda, "net_income": F.when(ebitda > 0, ebitda * 0.72).otherwise(ebitda),
+        "share_capital": F.col("revenue") * between(0.10, 0.20, draw("capital")), "liquidity_cash": F.col("revenue") * cash, "total_debt": F.col("revenue") * debt,
+    }
+    return df.withColumns({k: F.round(v, 2).cast(MONEY) for k, v in amounts.items()}).drop("revenue")
+
+
+def financial_statements(spark: SparkSession, n: int, last_year: int = 2026, seed: int = 202607) -> DataFrame:
+    return fiscal_years(spark, n, last_year, seed).select("company_id", "fiscal_year", "total_revenue", "net_income", "ebitda", "share_capital", "liquidity_cash", "total_debt")
+
+
+def contract_months(spark: SparkSession, n: int, as_of: str = "2026-07-31", seed: int = 202607) -> DataFrame:
+    """A row per contract and month up to as_of that isn't terminated, with the ratios that drive
+    risk: those of the year before (in the first year its own). In the last year a contract ends
+    with probability 0.08, in month 1 to 7."""
+    last = int(as_of[:4])
+    c = F.col("company_id")
+    years = fiscal_years(spark, n, last, seed)
+    ratio = lambda top: F.col(top).cast("double") / F.col("total_revenue").cast("double")
+    now = F.struct(ratio("ebitda").alias("margin"), ratio("total_debt").alias("debt"), ratio("liquidity_cash").alias("cash"))
+    years = years.withColumn("_now", now)
+    # one row per company with its few years: bounded by the calendar, before months are exploded
+    packed = years.groupBy("company_id").agg(
+        F.first("industry_sector").alias("industry_sector"), F.first("foundation_date").alias("foundation_date"),
+        F.first("annual_electricity").alias("annual_electricity"), F.first("annual_gas").alias("annual_gas"),
+        F.array_sort(F.collect_list(F.struct("fiscal_year", "status", "_now"))).alias("_years"),
+    )
+    each = packed.select("*", F.posexplode("_years").alias("_i", "_y"))
+    each = each.withColumn("risk", F.element_at("_years", F.greatest(F.col("_i"), F.lit(1)))["_now"])
+    each = each.select("company_id", "industry_sector", "annual_electricity", "annual_gas", "_y.fiscal_year", "_y.status", "risk")
+    fuels = F.array(F.struct(F.lit("electricity").alias("commodity_type"), F.col("annual_electricity").alias("volume"), _trait(3).alias("curve")), F.struct(F.lit("gas").alias("commodity_type"), F.col("annual_gas").alias("volume"), _trait(4).alias("curve")))
+    each = each.select("company_id", "industry_sector", "fiscal_year", "status", "risk", F.inline(fuels)).where("volume > 0")
+    each = each.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    each = each.withColumn("issue_date", F.make_date("fiscal_year", "month", F.lit(1))).where(F.col("issue_date") <= F.lit(as_of).cast("date"))
+    ends = F.when((F.col("fiscal_year") == last) & (uniform(seed, "ends", c, F.col("commodity_type")) < 0.08), integer(1, 8, uniform(seed, "end month", c, F.col("commodity_type"))))
+    return each.where(F.coalesce(F.col("month") < ends, F.lit(True)))
+
+
+def billing(spark: SparkSession, n: int, as_of: str = "2026-07-31", seed: int = 202607) -> DataFrame:
+    """An invoice per contract and month with its payment's outcome (payment_date null: none).
+    A suspended contract is billed in a quarter of its months, at a few hundredths of its volume."""
+    keys = [F.col(k) for k in ("company_id", "commodity_type", "issue_date")]
+    draw = lambda what: uniform(seed, what, *keys)
+    rows = contract_months(spark, n, as_of, seed).where((F.col("status") == "active") | (draw("billed") >= 0.75))
+    factors = F.create_map(*(x for k, v in CURVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    share = F.when(F.col("status") == "active", between(0.9, 1.1, draw("used"))).otherwise(between(0.01, 0.04, draw("used")))
+    used = F.col("volume") * (PHYSICAL_SCALE / 12) * F.element_at(factors[F.col("curve")], F.col("month")) * share
+    rows = rows.withColumn("consumption", F.round(used, 2).cast(MONEY))
+    rows = rows.withColumn("amount_ex_tax", F.round(F.col("consumption") * lookup(PRICE, F.col("commodity_type")).cast("decimal(4,2)"), 2).cast(MONEY))
+    rows = rows.withColumn("tax_amount", F.round(F.col("amount_ex_tax") * F.lit(TAX).cast("decimal(3,2)"), 2).cast(MONEY))
+    rows = rows.withColumn("total_amount", (F.col("amount_ex_tax") + F.col("tax_amount")).cast(MONEY)).withColumn("due_date", F.date_add("issue_date", TERM_DAYS))
+    risk = -8.0 * F.col("risk.margin") + 2.5 * F.col("risk.debt") - 4.0 * F.col("risk.cash") + lookup(RISK_PREMIUM, F.col("industry_sector")) + normal(seed, "risk", 0.0, 0.35, *keys)
+    pays = draw("default") > 1 / (1 + F.exp(2.2 - risk))
+    fails = ~pays & (draw("fails") < 0.40)
+    days = F.when(pays & (draw("prompt") < 0.94), integer(2, 12, draw("days"))).when(pays, integer(13, 44, draw("days"))).when(fails, integer(3, 14, draw("days")))
+    rows = rows.withColumn("_paid", F.date_add("issue_date", days))
+    known = F.col("_paid") <= F.lit(as_of).cast("date")  # null where nothing is ever paid
+    return rows.select(
+        "company_id", "commodity_type", "issue_date", "due_date", "consumption", "amount_ex_tax", "tax_amount", "total_amount",
+        F.when(pays & known, "paid").when(fails, "unpaid").otherwise("overdue").alias("invoice_status"), F.when(known, F.col("_paid")).alias("payment_date"),
+        F.when(known, F.when(pays, "completed").otherwise("failed")).alias("payment_status"),
+        choice({"direct_debit": 0.75, "bank_transfer": 0.20, "credit_card": 0.05}, draw("method")).alias("payment_method"),
+    )
+
+
+def support_tickets(spark: SparkSession, n: int, as_of: str = "2026-07-31", seed: int = 202607) -> DataFrame:
+    """Tickets by contract and month; companies in trouble write more, mostly about bills."""
+    keys = [F.col(k) for k in ("company_id", "commodity_type", "issue_date")]
+    draw = lambda what: uniform(seed, f"ticket {what}", *keys)
+    trouble = F.col("risk.margin") < 0.02
+    rate = _trait(6, EVENT_RATE) * F.when(trouble, 2.8).otherwise(0.7) / 12
+    rows = contract_months(spark, n, as_of, seed).where(draw("any") < rate)
+    about = F.when(trouble, choice({"billing": 0.55, "technical": 0.35, "commercial": 0.10}, draw("about"))).otherwise(choice({"billing": 0.20, "technical": 0.65, "commercial": 0.15}, draw("about")))
+    day = F.date_add("issue_date", integer(0, 27, draw("day")))
+    created = day.cast("timestamp") + F.make_interval(hours=integer(8, 18, draw("hour")))
+    solved = F.when(F.col("risk.margin") > -0.02, created + F.make_interval(days=integer(1, 12, draw("solved"))))
+    rated = F.when(solved.isNotNull(), F.when(trouble, integer(1, 4, draw("score"))).otherwise(integer(3, 6, draw("score"))))
+    return rows.select("company_id", about.alias("ticket_category"), created.alias("created_at"), solved.alias("resolved_at"), rated.alias("satisfaction_score"))
+
+
+def web_logins(spark: SparkSession, n: int, as_of: str = "2026-07-31", seed: int = 202607) -> DataFrame:
+    """Logins by contract and month, at least one; failing companies log in far less."""
+    keys = [F.col(k) for k in ("company_id", "commodity_type", "issue_date")]
+    base = F.floor(_trait(5, EVENT_RATE) * integer(4, 14, uniform(seed, "logins", *keys)))
+    count = F.greatest(F.lit(1), F.when(F.col("risk.margin") < -0.04, F.floor(base * 0.15)).otherwise(base).cast("int"))
+    rows = contract_months(spark, n, as_of, seed).withColumn("_k", F.explode(F.sequence(F.lit(1), count)))
+    draw = lambda what: uniform(seed, f"login {what}", *keys, F.col("_k"))
+    at = F.date_add("issue_date", integer(0, 27, draw("day"))).cast("timestamp") + F.make_interval(hours=integer(0, 24, draw("hour")), mins=integer(0, 60, draw("minute")))
+    address = F.concat(F.lit("192.168."), integer(1, 254, draw("net")).cast("string"), F.lit("."), integer(1, 254, draw("host")).cast("string"))
+    return rows.select("company_id", integer(101, 105, draw("user")).alias("user_id"), at.alias("login_timestamp"), address.alias("ip_address"), choice({"desktop": 0.70, "mobile": 0.25, "tablet": 0.05}, draw("device")).alias("device_type"))
