@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Sizes are counted in words. All words of the mix are cut into equal blocks. Blocks are seats:
-they are allocated to sources by the highest quotients target / (2 * seats + 1), then, source by
-source, to shards by the shards' sizes. A shard's documents stand in seeded order on a ring
-that is cut into blocks; its quota takes whole turns of the ring, then a run of blocks from a
-seeded start. So quotas are integers per shard and every shard selects by itself.
+Sizes are counted in words. Words are seats: they are allocated to sources by the highest
+quotients target / (2 * seats + 1). A source's words are cut into equal blocks, which are
+allocated in the same way to shards by the shards' sizes, as many as fit into a shard's limit;
+words that fill no block, or no shard's block, are allocated to the room that shards have left.
+A shard's documents stand in seeded order on a ring; its quota takes whole turns of the ring,
+then a run of words from a seeded block. So quotas are integers per shard, they sum up to the
+source's seats at every size, and every shard selects by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ BLOCKS = 1 << 20
 #: Rows of a shard (over all sources) on average, and shards at most.
 SHARD_ROWS = 2000
 MAX_SHARDS = 4096
+#: Blocks of words that a source's shards hold at least on average; smaller sources get fewer shards.
+SHARD_BLOCKS = 16
 
 
 def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -83,32 +87,38 @@ def _place(docs: DataFrame, weights, limit, size, source, doc_id, seed) -> tuple
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = int(min(MAX_SHARDS, max(1, -(-n // SHARD_ROWS))))
     block = int(min(MAX_BLOCK, max(1, total // BLOCKS)))
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_doc", F.lit(seed + 1)), F.lit(shards)).cast("int"))
-    cells = materialise(rows.groupBy("_source", "_shard").agg(F.sum("size").alias("_cell_size")))
-    sizes = cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_cell_size").alias("source_size"))
+    sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = materialise(capped_targets(sizes, weights, limit))
 
     def to_sources(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source", na_position="last", kind="stable")
-        return rows.drop(columns="_all").assign(seats=sainte_lague(rows["target"].to_numpy(float), round(rows["target"].sum() / block)))
+        most = limit * rows["source_size"].to_numpy(np.int64)
+        return rows.drop(columns="_all").assign(seats=sainte_lague(rows["target"].to_numpy(float), round(rows["target"].sum()), most))
 
     def to_shards(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_shard", kind="stable")
         held = rows["_cell_size"].to_numpy(np.int64)
-        return rows.assign(quota=sainte_lague(held.astype(float), int(rows["seats"].iloc[0]), -(-limit * held // block)))[["_source", "_shard", "quota"]]
+        seats = int(rows["seats"].iloc[0])
+        quota = block * sainte_lague(held.astype(float), seats // block, limit * held // block)
+        room = limit * held - quota
+        return rows.assign(quota=quota + sainte_lague(room.astype(float), seats - int(quota.sum()), room))[["_source", "_shard", "quota"]]
 
     seats = targets.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(to_sources, "source string, source_size long, weight double, target double, seats long")
     seats = materialise(seats.select(F.col("source").alias("_s"), "source_size", "target", "seats"))
-    joined = cells.join(seats, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    quotas = joined.groupBy("_source").applyInPandas(to_shards, "_source string, _shard int, quota long")
+    own = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (SHARD_BLOCKS * block))))
+    own = F.when(F.col("size") > 0, own).otherwise(F.lit(shards))  # rows without words need no ring
+    rows = rows.join(seats.select("_s", "source_size"), F.col("_source").eqNullSafe(F.col("_s")))
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_doc", F.lit(seed + 1)), own).cast("int")).drop("_s", "source_size")
+    cells = materialise(rows.groupBy("_source", "_shard").agg(F.sum("size").alias("_cell_size")))
     cells = cells.join(seats, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    quotas = cells.groupBy("_source").applyInPandas(to_shards, "_source string, _shard int, quota long")
     quotas = quotas.select(F.col("_source").alias("_q"), F.col("_shard").alias("_r"), "quota")
     cells = cells.join(quotas, F.col("_source").eqNullSafe(F.col("_q")) & (F.col("_shard") == F.col("_r"))).drop("_q", "_r")
     cells = cells.select(F.col("_source").alias("_s"), F.col("_shard").alias("_r"), "_cell_size", "source_size", "target", "quota")
     ring = Window.partitionBy("_source", "_shard").orderBy("_order", "_doc", "size")
     placed = rows.withColumn("_stop", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     placed = placed.join(cells, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_r")))
-    words = F.least(F.col("quota") * block, F.col("_cell_size") * limit)
+    words = F.col("quota")
     whole = F.greatest(F.col("_cell_size"), F.lit(1))
     placed = placed.withColumn("_turns", F.floor(words / whole).cast("long")).withColumn("_rest", words - F.col("_turns") * whole)
     starts = F.greatest(F.ceil(whole / F.lit(block)).cast("long"), F.lit(1))
@@ -132,6 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: int = 3,
     and seed only, so reruns agree; rows that repeat an id follow each other by size. Other
     columns are ignored. An empty table gives an empty result.
 
+    A source's words lie within one word of its target.
+
     Only (doc_id, source, size) is shuffled, by source and shard; a source that holds a third of
     all rows is spread over all shards. Quotas take one row per source and shard.
     """

@@ -78,6 +78,23 @@ def test_mixing_targets_and_limits(spark, docs, none):
     assert set(mixing.mixed_documents(docs).columns) == set(docs.columns)
 
 
+def test_mixing_meets_targets_where_blocks_exceed_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 10)
+    draw = random.Random(6)
+    rows = [(i, "big", draw.randrange(1, 400)) for i in range(600)]
+    rows += [(1000 + i, "a", draw.randrange(1, 60)) for i in range(90)] + [(2000, "b", 7)] + [(3000 + i, None, draw.randrange(1, 40)) for i in range(60)]
+    rows += [(4000 + i, "empty", 0) for i in range(30)]
+    found = {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size int"), size=mixing.F.col("size").cast("long")).collect():
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        source = next(s for low, s in ((4000, "empty"), (3000, None), (2000, "b"), (1000, "a"), (0, "big")) if r["doc_id"] >= low)
+        found.setdefault(source, [r["target"], 0])[1] += r["taken"]
+    assert len(found) == 5 and found["a"][0] == 3 * sum(n for _, s, n in rows if s == "a")
+    for target, taken in found.values():
+        assert abs(taken - target) <= 1
+
+
 def test_toxicity_learns_and_holds_out(spark, docs, none):
     draw, rows, labels = random.Random(1), [], []
     clean, foul = [f"plain{i}" for i in range(300)], ["vilefool", "rottenscum", "filthyliar"]
