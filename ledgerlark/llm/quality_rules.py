@@ -4,10 +4,12 @@ Each document's statistics become a vector (logarithms of mean word length, symb
 lines and repeated words in proportion to the words, on an integer grid). For every (language,
 source) group the minimum covariance determinant is estimated by concentration steps over all
 rows: from a median / MAD start, each step keeps the h rows of the smallest Mahalanobis distance
-and re-estimates mean and covariance from them. Documents are rejected by that distance.
+and re-estimates mean and covariance from them, until the kept rows no longer change. Documents
+are rejected by that distance.
 
-All estimates are mergeable sums and grid counts: a step is one aggregate over a narrow table
-with a map-side combine, whatever the group's size; no group is gathered anywhere.
+All estimates are mergeable sums and grid counts: a step is one aggregate over a narrow table of
+distinct grid points with a map-side combine, whatever the group's size; no group is gathered
+anywhere.
 """
 
 from __future__ import annotations
@@ -99,10 +101,12 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 GRID = 256
 #: A spread is taken to be this many grid steps at least, by coordinate: statistics that are
 #: equal in most documents (no symbols, no repeated line) would otherwise reject every document
-#: that has one; repetition is also what the base rules judge.
-LEAST_SPREAD = (64, 128, 256, 256)
-#: Concentration steps.
-STEPS = 3
+#: that has one. At LEVEL, where the core has none and the others are in its centre, a document is
+#: rejected alone by about 10 symbols, 3 repeated lines or 12 repeated words per 100 words, or by a
+#: mean word length over 9.9 or under 2.3 around 5.
+LEAST_SPREAD = (28, 112, 64, 120)
+#: Chi-square probability beyond which documents are rejected.
+LEVEL = 0.99999
 #: Share of a group's rows on which the determinant is minimised.
 CORE = 0.75
 
@@ -154,40 +158,52 @@ def _inverse(groups: DataFrame, dims: int, factor: float) -> DataFrame:
     return groups.mapInPandas(run, schema)
 
 
-def _join(points: DataFrame, groups: DataFrame) -> DataFrame:
+def _join(points: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
     """Estimates of a row's group. The group side has one row per (language, source)."""
     side = groups.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), *(c for c in groups.columns if c not in _GROUP))
     same = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
-    return points.join(side, same, "left").drop("_gl", "_gs")
+    return points.join(side, same, how).drop("_gl", "_gs")
 
 
-def fit(points: DataFrame, dims: int, core: float = CORE, steps: int = STEPS) -> DataFrame:
+def fit(points: DataFrame, dims: int, core: float = CORE) -> DataFrame:
     """Estimates (m, p) per group of `points` (_lang, _source, x0..). Deterministic: integer sums
-    and exact percentiles of grid values, whose number is bounded by the grid."""
-    start = points.groupBy(*_GROUP).agg(*(F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in range(dims)))
+    and exact percentiles of grid values, whose number is bounded by the grid. A group is done when
+    its core's count and sums are those of one of its earlier steps (nearly always the last; a core
+    that recurs later would go round for ever), other groups go on."""
+    xs = [f"x{i}" for i in range(dims)]
+    ms = [f"m{i}" for i in range(dims)]
+    ps = [f"p{i}{j}" for i in range(dims) for j in range(i, dims)]
+    points = materialise(points.groupBy(*_GROUP, *xs).agg(F.count("*").alias("_w")))
+    start = points.groupBy(*_GROUP).agg(*(F.expr(f"percentile(x{i}, 0.5, _w)").alias(f"m{i}") for i in range(dims)))
     start = materialise(start)
     spread = _join(points, start).groupBy(*_GROUP).agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(dims)),
-        *(F.expr(f"pow(1.4826 * percentile(abs(x{i} - m{i}), 0.5), 2)").alias(f"c{i}{i}") for i in range(dims)),
+        *(F.expr(f"pow(1.4826 * percentile(abs(x{i} - m{i}), 0.5, _w), 2)").alias(f"c{i}{i}") for i in range(dims)),
         *(F.lit(0.0).alias(f"c{i}{j}") for i in range(dims) for j in range(i + 1, dims)),
     )
-    groups = materialise(_inverse(spread, dims, 1.0))
-    for _ in range(steps):
-        measured = _join(points, groups).withColumn("_d", F.round(F.log1p(_distance(dims)) * GRID).cast("long"))
-        limit = measured.groupBy(*_GROUP).agg(F.expr(f"percentile(_d, {core})").alias("_limit"))
-        inside = _join(measured, limit).where("_d <= ceil(_limit)")
+    groups = _inverse(spread, dims, 1.0).withColumns({"_seen": F.array().cast("array<bigint>"), "_done": F.lit(False)})
+    groups = materialise(groups)
+    while not groups.where("not _done").isEmpty():
+        open_groups = groups.where("not _done")
+        measured = _join(points, open_groups, "inner").withColumn("_d", F.round(F.log1p(_distance(dims)) * GRID).cast("long"))
+        limit = measured.groupBy(*_GROUP).agg(F.expr(f"percentile(_d, {core}, _w)").alias("_limit"))
+        inside = _join(measured.select(*_GROUP, *xs, "_w", "_d"), limit).where("_d <= ceil(_limit)")
         sums = inside.groupBy(*_GROUP).agg(
-            F.count("*").alias("n"),
-            *(F.sum(f"x{i}").alias(f"s{i}") for i in range(dims)),
-            *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(dims) for j in range(i, dims)),
+            F.sum("_w").alias("n"),
+            *(F.sum(F.col(f"x{i}") * F.col("_w")).alias(f"s{i}") for i in range(dims)),
+            *(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("_w")).alias(f"q{i}{j}") for i in range(dims) for j in range(i, dims)),
         )
-        moments = sums.select(
+        moments = materialise(sums.select(
             *_GROUP,
+            F.xxhash64("n", *(c for c in sums.columns if c[0] in "sq")).alias("_key"),
             *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(dims)),
             *((F.col(f"q{i}{j}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) * (F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i in range(dims) for j in range(i, dims)),
-        )
-        groups = materialise(_inverse(moments, dims, consistency(dims, core)))
-    return groups
+        ))
+        found = _join(_inverse(moments, dims, consistency(dims, core)), moments.select(*_GROUP, "_key"))
+        found = _join(found, open_groups.select(*_GROUP, "_seen"))
+        found = found.withColumn("_done", F.array_contains("_seen", F.col("_key"))).withColumn("_seen", F.concat("_seen", F.array("_key")))
+        groups = materialise(found.drop("_key").unionByName(groups.where("_done")))
+    return groups.select(*_GROUP, *ms, *ps)
 
 
 def chi_square_quantile(k: int, p: float) -> float:
@@ -213,7 +229,7 @@ def consistency(k: int, core: float) -> float:
     return core / inside
 
 
-def quality_verdicts(docs: DataFrame, level: float = 0.99999, text: str = "text") -> DataFrame:
+def quality_verdicts(docs: DataFrame, level: float = LEVEL, text: str = "text") -> DataFrame:
     """doc_id, STATISTICS, base_failed, distance (double, null if base_failed) and kept.
 
     kept is false where base_failed; else it says whether the squared Mahalanobis distance from

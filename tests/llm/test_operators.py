@@ -133,6 +133,34 @@ def test_quality_rejects_outliers(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(5))
 
 
+def test_quality_rejects_by_each_statistic(spark):
+    draw, n = random.Random(8), iter(range(10**6))
+    prose = lambda k: " ".join("w" * draw.randrange(2, 5) + chr(97 + next(n) % 26) + str(next(n) % 10) for _ in range(k))
+    rows = [(i, "\n".join(prose(10) for _ in range(8))) for i in range(300)]
+    rows += [(400, " ".join("x" * 15 + str(k) for k in range(60))), (401, " ".join(chr(0x100 + k) for k in range(60)))]  # long and short words
+    rows += [(402, prose(60) + " #" * 12 + " " + prose(20))]
+    rows += [(403, "".join(f"{prose(7)}\nHome\n" for _ in range(14)))]  # a menu line, no 8-word window twice
+    again = " ".join(f"ab{k}c" for k in range(10))
+    rows += [(404, f"{prose(60)} {again} {prose(40)} {again} {prose(10)}")]
+    rows += [(500, prose(60) + " # " + prose(20)), (501, f"{prose(120)}\nHome\n{prose(30)}\nHome\n{prose(20)}")]  # one of each is usual
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality_rules.quality_verdicts(table).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert {i for i, r in found.items() if not r["kept"]} == {400, 401, 402, 403, 404}
+
+
+def test_quality_core_is_final(spark):
+    draw = np.random.default_rng(9)
+    rows = [(g, None, *(int(x) for x in point)) for g in ("a", None) for point in draw.multivariate_normal([400, 300], [[9000, 7000], [7000, 9000]], 2000)]
+    rows += [("a", None, int(x), int(y)) for x, y in draw.normal([900, 0], 60, (500, 2))]
+    points = spark.createDataFrame(rows, "_lang string, _source string, x0 long, x1 long")
+    for r in quality_rules.fit(points, 2).collect():
+        x = np.array([p[2:] for p in rows if p[0] == r["_lang"]], float)
+        gap = x - [r["m0"], r["m1"]]
+        d = np.round(np.log1p(r["p00"] * gap[:, 0] ** 2 + r["p11"] * gap[:, 1] ** 2 + 2 * r["p01"] * gap[:, 0] * gap[:, 1]) * quality_rules.GRID)
+        assert x[d <= np.ceil(np.quantile(d, quality_rules.CORE))].mean(axis=0) == pytest.approx([r["m0"], r["m1"]], abs=1e-9)
+
+
 def test_top_k_against_all(spark, monkeypatch):
     monkeypatch.setattr(mtree_search, "NODE_ROWS", 30)
     monkeypatch.setattr(mtree_search, "PAGE_ROWS", 8)
