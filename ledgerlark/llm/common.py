@@ -22,27 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir;
-    only where that is unset (tests, one machine) a temporary one."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Only on one
+    machine (tests) a temporary one takes its place where that is unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster intermediate tables need a folder that executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlark-"))
         named = sc.getCheckpointDir()
     return named
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back. This cuts the lineage,
-    survives lost executors and fixes what is not deterministic; the folder goes when the
-    driver's file system handle closes."""
+    """Write df as Parquet to the shared folder and read it back. This cuts the lineage, survives
+    lost executors and fixes what is not deterministic; the folder goes by discard(), at the
+    latest when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerlark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _folder(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and that nothing reads any more. Others (made from
+    such a table) are left alone."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path:
+            files, place = _folder(df.sparkSession, path)
+            files.delete(place, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -56,12 +74,19 @@ def release_shuffles(spark: SparkSession) -> None:
 MAX_BROADCAST_KEYS = 1_000_000
 
 
+def few(side: DataFrame, weight: str = "1") -> DataFrame:
+    """`side` marked for broadcast if its rows hold at most MAX_BROADCAST_KEYS / 4 values (weight: an
+    expression for a row's), else as it is, so that both sides of the join are shuffled."""
+    values = side.agg(F.coalesce(F.expr(f"sum({weight})"), F.lit(0))).first()[0]
+    return F.broadcast(side) if values <= MAX_BROADCAST_KEYS // 4 else side
+
+
 def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows whose `column` is one of the distinct long `key`s. Up to MAX_BROADCAST_KEYS they are
     broadcast, so that the rows aren't shuffled; beyond, both sides are."""
-    few = keys.count() <= MAX_BROADCAST_KEYS
+    small = keys.count() <= MAX_BROADCAST_KEYS
     side = keys.select(F.col("key").alias("_key"))
-    return rows.join(F.broadcast(side) if few else side, F.col(column) == F.col("_key"), "left_semi")
+    return rows.join(F.broadcast(side) if small else side, F.col(column) == F.col("_key"), "left_semi")
 
 
 def word_count(text):
