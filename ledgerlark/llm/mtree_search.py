@@ -2,16 +2,20 @@
 
 Inner products become distances: with M the largest norm, a vector x gets one more coordinate
 sqrt(M^2 - |x|^2) and a query q a zero, so |q' - x'|^2 = |q|^2 + M^2 - 2 q.x and the largest
-products are the nearest vectors. The tree's root leads to nodes and these to pages: a node is a routing object with a covering radius; its pages hold the vectors nearest to it,
-sorted by their distance to it (the parent distance), a bounded number each.
-
-A query first searches the node with the least lower bound, which gives its k-th best distance,
-then only the nodes whose bound (distance to the routing object less the covering radius) lies
-within it. In a page the stored parent distances bound every entry by the triangle inequality,
-so only a run of entries around the query's own distance is computed, nearest first.
-
-Nodes are a bounded number of routing objects (broadcast); pages are rows of a written table;
-queries travel to the pages that they may need and are streamed past them.
+products are the nearest vectors.
+
+The tree has two levels of routing objects over the entries. A node's routing object has a
+covering radius; below it stand pages, each with a routing object of its own, a covering radius
+and its distance to the node's (parent distance); a page's entries are the vectors that are
+nearest to it, sorted by their own parent distance. Routing objects are a bounded sample and are
+given to every task; pages are rows of a written table. A page of more than PAGE_ROWS vectors
+(many equal ones) is dealt into parts with the same routing object.
+
+A query visits pages in the order of their lower bounds (distance to the routing object less the
+covering radius; where the parent distance alone rules a page out, that distance isn't computed),
+in rounds of 1, 4, 16, ... pages, and is done when the next bound exceeds its k-th best distance.
+Within a page the stored parent distances exclude entries by the triangle inequality; what is left
+is one matrix product per page and block of queries.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-#: Routing objects at most; their table is what is broadcast: MAX_NODES vectors.
-MAX_NODES = 1024
-NODE_ROWS = 1024
-PAGE_ROWS = 1024
+#: Entries of a page or a page's part on average, and routing objects of pages at most: what is
+#: given to every task is this many vectors. Beyond MAX_PAGES * PAGE_ROWS rows pages have parts.
+PAGE_ROWS, MAX_PAGES = 1024, 16_384
+#: Queries of a block, and queries that a copy of a page meets on average.
+BLOCK_QUERIES, PAGE_QUERIES = 256, 4096
+#: Pages of the first round; each further round has GROWTH times as many.
+FIRST, GROWTH = 1, 4
 #: Distances are floating point; bounds are widened by this share so that no tie is lost.
 SLACK = 1e-9
 
@@ -53,205 +60,263 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 class _Metric:
-    """Distances from integer products. Products are computed in doubles where these hold them
-    exactly, else in 64-bit integers."""
+    """Distances from integer products. Products are computed in the narrowest type that holds
+    them exactly: all partial sums lie within the product of the largest norms."""
 
-    def __init__(self, dims: int, largest: int, top: int):
+    def __init__(self, dims: int, largest: int, top: float):
         self.dims, self.top = dims, float(top)
-        self.exact = dims * float(largest) ** 2 < 2**53
-        self.type = np.float64 if self.exact else np.int64
+        self.type = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+        self.stored = next(t for t in (np.int16, np.int32, np.int64) if largest <= np.iinfo(t).max)
 
     def products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a.astype(self.type) @ b.astype(self.type)
+        return a.astype(self.type) @ b.astype(self.type).T
 
     def to_query(self, query_norm, products):
         """Distance of queries (squared norm) to vectors by their products."""
-        return np.sqrt(np.maximum(query_norm + self.top - 2.0 * products, 0.0))
+        return np.sqrt(np.maximum(query_norm + self.top - 2.0 * np.asarray(products, np.float64), 0.0))
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances between vectors, with the added coordinate."""
-        na, nb = (a.astype(float) ** 2).sum(1), (b.astype(float) ** 2).sum(1)
+        na, nb = _norms(a), _norms(b)
         ea, eb = np.sqrt(np.maximum(self.top - na, 0)), np.sqrt(np.maximum(self.top - nb, 0))
-        square = na[:, None] + nb[None, :] - 2.0 * self.products(a, b.T) + (ea[:, None] - eb[None, :]) ** 2
+        square = na[:, None] + nb[None, :] - 2.0 * np.asarray(self.products(a, b), np.float64) + (ea[:, None] - eb[None, :]) ** 2
         return np.sqrt(np.maximum(square, 0.0))
 
-
-class _Nodes:
-    """The routing objects with covering radii and pages."""
-
-    def __init__(self, metric: _Metric, vectors: np.ndarray):
-        self.metric, self.vectors = metric, vectors
-        self.radius = np.zeros(len(vectors))
-        self.pages = np.zeros(len(vectors), np.int64)
-
-    def distances(self, queries: np.ndarray) -> np.ndarray:
-        norm = (queries.astype(float) ** 2).sum(1)
-        return self.metric.to_query(norm[:, None], self.metric.products(queries, self.vectors.T))
-
-
-def build(vectors: DataFrame, asked: DataFrame) -> tuple[_Nodes, DataFrame] | None:
-    """Nodes and the table of pages (node, page, ids, parents, data) over rows (vec_id, v). Every
-    row is indexed; the routing objects are the first MAX_NODES rows at most in hash order."""
-    size = F.size("v")
-    reach = [F.max(size), F.max(F.greatest(F.lit(0), F.array_max(F.transform("v", F.abs))))]
-    norm = F.aggregate("v", F.lit(0).cast("double"), lambda s, e: s + e.cast("double") * e)
-    n, dims, largest, top = vectors.agg(F.count("*"), *reach, F.max(norm)).first()
-    more = asked.agg(*reach).first()
-    dims, largest = max(dims or 0, more[0] or 0), max(largest or 0, more[1] or 0)
+    def packed(self, rows: np.ndarray) -> pa.Array:
+        rows = np.ascontiguousarray(rows, self.stored)
+        width = self.dims * rows.itemsize
+        whole = rows.tobytes()
+        return pa.array([whole[i : i + width] for i in range(0, len(whole), width)], pa.binary())
+
+    def unpacked(self, rows: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(rows), self.stored).reshape(-1, self.dims)
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    return (rows.astype(float) ** 2).sum(1)
+
+
+class Tree:
+    """Routing objects of nodes and pages with their radii and parent distances."""
+
+    def __init__(self, metric: _Metric, centres: np.ndarray):
+        self.metric, self.centres = metric, centres
+        self.nodes = centres[: max(1, int(np.sqrt(len(centres))))]
+        far = metric.between(centres, self.nodes)
+        self.node = far.argmin(1)
+        self.parent = far[np.arange(len(centres)), self.node]
+        self.radius = np.full(len(centres), -np.inf)  # of a page without entries
+        self.order = np.argsort(self.node, kind="stable")
+        self.starts = np.searchsorted(self.node[self.order], np.arange(len(self.nodes) + 1))
+
+    def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Page and parent distance of entries: the nearest page of the nearest node."""
+        node = self.metric.between(rows, self.nodes).argmin(1)
+        page, parent = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for k in np.unique(node):
+            own, below = np.flatnonzero(node == k), self.order[self.starts[k] : self.starts[k + 1]]
+            far = self.metric.between(rows[own], self.centres[below])
+            nearest = far.argmin(1)
+            page[own], parent[own] = below[nearest], far[np.arange(len(own)), nearest]
+        return page, parent
+
+    def bounds(self, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds of the distances to every page's entries, and distances to the pages'
+        routing objects (computed where the parent distance leaves a page open for any query)."""
+        norm = _norms(queries)[:, None]
+        to_nodes = self.metric.to_query(norm, self.metric.products(queries, self.nodes))
+        low = np.abs(to_nodes[:, self.node] - self.parent) - self.radius
+        open_ = np.flatnonzero((low <= least[:, None]).any(0))
+        far = np.full(low.shape, np.nan)
+        far[:, open_] = self.metric.to_query(norm, self.metric.products(queries, self.centres[open_]))
+        low[:, open_] = np.maximum(low[:, open_], far[:, open_] - self.radius[open_])
+        return np.maximum(low, 0.0) * (1 - SLACK) - SLACK, far
+
+
+def build(vectors: DataFrame, asked: DataFrame) -> tuple[Tree, DataFrame] | None:
+    """The tree and its table of pages (page, part, ids, parents, data) over rows (vec_id, v).
+    Every row is indexed; routing objects are the first rows in hash order of vec_id."""
+    reach = [F.max(F.size("v")), F.max(F.greatest(F.lit(0), F.array_max(F.transform("v", F.abs)))), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e))]
+    n, *own = vectors.agg(F.count("*"), *reach).first()
     if not n:
         return None
-    metric = _Metric(max(dims, 1), largest or 0, top or 0)
-    count = min(MAX_NODES, -(-n // NODE_ROWS))
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").collect()
-    nodes = _Nodes(metric, np.unique(np.array([row["v"] + [0] * (metric.dims - len(row["v"])) for row in chosen], np.int64).reshape(-1, metric.dims), axis=0))
+    dims, largest, top = (max(a or 0, b or 0) for a, b in zip(own, asked.agg(*reach).first(), strict=True))
+    metric = _Metric(max(dims, 1), int(largest), top)
+    count = min(MAX_PAGES, -(-n // PAGE_ROWS))
+    hashed = vectors.withColumn("_h", F.xxhash64("vec_id"))
+    # a range of hashes that holds enough rows, so that few are sorted
+    hashed = hashed.where(F.col("_h") <= F.lit(int(min(1.0, 1.2 * (count + 50) / n) * 2.0**64 - 2.0**63) if n > 2 * count + 100 else 2**63 - 1))
+    chosen = hashed.orderBy("_h", "vec_id").limit(count).select("v").toArrow().column("v").combine_chunks()
+    centres = _matrix(chosen, metric.dims)
+    tree = Tree(metric, centres[np.sort(np.unique(centres, axis=0, return_index=True)[1])])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _matrix(batch.column(1), metric.dims)
-            far = metric.between(rows, nodes.vectors)
-            node = far.argmin(1)
-            parent = far[np.arange(len(rows)), node]
-            data = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.astype(np.int32)), pa.array(parent), data], names=["vec_id", "node", "parent", "data"])
-
-    placed = materialise(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id long, node int, parent double, data binary"))
-    for row in placed.groupBy("node").agg(F.count("*").alias("n"), F.max("parent").alias("r")).collect():  # MAX_NODES rows
-        nodes.radius[row["node"]], nodes.pages[row["node"]] = row["r"], -(-row["n"] // PAGE_ROWS)
-    pages = F.element_at(F.array(*(F.lit(int(p)) for p in nodes.pages)), F.col("node") + 1)
-    dealt = placed.withColumn("page", F.pmod(F.xxhash64("vec_id"), pages).cast("int"))
+            page, parent = tree.place(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(page.astype(np.int32)), pa.array(parent), metric.packed(rows)], names=["vec_id", "page", "parent", "data"])
+
+    placed = materialise(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id long, page int, parent double, data binary"))
+    found = placed.groupBy("page").agg(F.count("*").alias("n"), F.max("parent").alias("r"))
+    for row in found.collect():  # MAX_PAGES rows
+        tree.radius[row["page"]] = row["r"]
+    parts = found.select(F.col("page").alias("_p"), F.ceil(F.col("n") / (2 * PAGE_ROWS)).alias("_parts"))
+    dealt = placed.join(F.broadcast(parts), F.col("page") == F.col("_p")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("_parts")).cast("int"))  # MAX_PAGES rows
 
     def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        parent = np.asarray(rows.column("parent").combine_chunks())
-        order = np.argsort(parent, kind="stable")
-        ids = np.asarray(rows.column("vec_id").combine_chunks(), np.int64)[order]
-        data = b"".join(rows.column("data").take(pa.array(order)).to_pylist())
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), parent[order].tobytes(), data))], names=["node", "page", "ids", "parents", "data"])
-
-    return nodes, materialise(dealt.groupBy("node", "page").applyInArrow(pack, "node int, page int, ids binary, parents binary, data binary"))
-
-
-def _search_page(metric: _Metric, ids, parents, data, query_id, query, norm, at, bound, k):
-    """Best k (score, id) of a page for one query: entries around the query's own distance to the
-    routing object first, outwards while the parent distances allow."""
-    best_scores, best_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    middle = int(np.searchsorted(parents, at))
-    low = high = middle
-    step = 128
-    while True:
-        reach = bound * (1 + SLACK) + SLACK
-        first, last = np.searchsorted(parents, at - reach, side="left"), np.searchsorted(parents, at + reach, side="right")
-        new_low, new_high = max(int(first), low - step), min(int(last), high + step)
-        rows = np.concatenate([np.arange(new_low, low), np.arange(high, new_high)]) if new_low < low or new_high > high else None
-        if rows is None:
-            return best_scores, best_ids
-        low, high, step = min(low, new_low), max(high, new_high), step * 4
-        scores = metric.products(data[rows], query).astype(np.int64)
-        keep = ids[rows] != query_id
-        scores, found = np.concatenate([best_scores, scores[keep]]), np.concatenate([best_ids, ids[rows][keep]])
-        order = np.lexsort((found, -scores))[:k]
-        best_scores, best_ids = scores[order], found[order]
-        if len(order) == k:
-            bound = min(bound, float(metric.to_query(norm, best_scores[-1])))
-
-
-_FOUND = "query_id long, score long, vec_id long"
-
-
-def _visit(nodes: _Nodes, pages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Search pages with the queries (query_id, node, at, bound, q) sent to their nodes."""
-    metric = nodes.metric
-    count = F.element_at(F.array(*(F.lit(int(p)) for p in nodes.pages)), F.col("node") + 1)
+        rows = rows.sort_by("parent").combine_chunks()
+        ids, parents = (np.asarray(rows.column(c).combine_chunks()) for c in ("vec_id", "parent"))
+        data = b"".join(rows.column("data").to_pylist())
+        columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), parents.tobytes(), data))]
+        return pa.Table.from_arrays(columns, names=["page", "part", "ids", "parents", "data"])
+
+    pages = dealt.select("page", "part", "vec_id", "parent", "data").groupBy("page", "part")
+    pages = materialise(pages.applyInArrow(pack, "page int, part int, ids binary, parents binary, data binary"))
+    discard(placed)
+    return tree, pages
+
+
+def _search(metric: _Metric, page: tuple, asked: list[tuple], k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each query (query_id, at, least, q): the page's entries that can be among its k best, as
+    [queries, scores, ids], and the number of distances computed."""
+    ids, parents, data = page
+    query_id, at, least = (np.array([a[i] for a in asked], t) for i, t in ((0, np.int64), (1, float), (2, float)))
+    q = metric.unpacked([a[3] for a in asked])
+    bound = np.where(np.isnan(least), np.inf, metric.to_query(_norms(q), np.nan_to_num(least))) * (1 + SLACK) + SLACK
+    low, high = np.searchsorted(parents, at - bound, side="left"), np.searchsorted(parents, at + bound, side="right")
+    first, last = int(low.min()), int(high.max())
+    if first >= last:
+        return [np.zeros(0, np.int64)] * 3, np.zeros(len(asked), np.int64)
+    place = np.arange(first, last)
+    scores = metric.products(q, data[first:last]).astype(np.int64)
+    usable = (place >= low[:, None]) & (place < high[:, None]) & (ids[first:last] != query_id[:, None])
+    floor = np.where(np.isnan(least), np.iinfo(np.int64).min, np.nan_to_num(least)).astype(np.int64)
+    if scores.shape[1] > k:  # the page's own k-th best score bounds what is worth sending
+        kth = np.partition(np.where(usable, scores, np.iinfo(np.int64).min), -k, axis=1)[:, -k]
+        floor = np.maximum(floor, kth)
+    i, j = np.nonzero(usable & (scores >= floor[:, None]))
+    score, entry = scores[i, j], ids[first:last][j]
+    order = np.lexsort((entry, -score, i))  # of many equal scores only the k smallest ids count
+    i, score, entry = i[order], score[order], entry[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+    kept = nth < k
+    return [query_id[i[kept]], score[kept], entry[kept]], np.full(len(asked), last - first)
+
+
+_FOUND = "query_id long, score long, vec_id long, computed long"
+
+
+def _visit(tree: Tree, pages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Search pages with the queries (query_id, page, at, least, q) sent to them. Rows without
+    vec_id tell how many distances were computed. A page that many queries want is copied."""
+    metric = tree.metric
+    copies = asked.groupBy(F.col("page").alias("_p")).agg(F.ceil(F.count("*") / PAGE_QUERIES).cast("int").alias("_copies"))
     null = F.lit(None)
-    names = ["node", "page", "kind", "query_id", "at", "bound", "a", "b", "c"]
-    asked = asked.withColumn("page", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))).select(
-        "node", "page", F.lit(1).alias("kind"), "query_id", "at", "bound", F.col("q").alias("a"), null.cast("binary").alias("b"), null.cast("binary").alias("c")
-    )
-    held = pages.select(
-        "node", "page", F.lit(0).alias("kind"), null.cast("long").alias("query_id"), null.cast("double").alias("at"), null.cast("double").alias("bound"),
+    names = ["page", "part", "copy", "kind", "query_id", "at", "least", "a", "b", "c"]
+    wanted = pages.join(copies, F.col("page") == F.col("_p"))
+    held = wanted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(
+        "page", "part", "copy", F.lit(0).alias("kind"), null.cast("long").alias("query_id"), null.cast("double").alias("at"), null.cast("double").alias("least"),
         F.col("ids").alias("a"), F.col("parents").alias("b"), F.col("data").alias("c"),
     )
-    met = held.select(names).unionByName(asked.select(names)).repartition("node", "page").sortWithinPartitions("node", "page", "kind")
+    parts = wanted.select(F.col("page").alias("_q"), "part", "_copies")
+    sent = asked.join(parts, F.col("page") == F.col("_q")).select(
+        "page", "part", F.pmod(F.xxhash64("query_id"), F.col("_copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "query_id", "at", "least",
+        F.col("q").alias("a"), null.cast("binary").alias("b"), null.cast("binary").alias("c"),
+    )
+    met = held.select(names).unionByName(sent.select(names)).repartition("page", "part", "copy").sortWithinPartitions("page", "part", "copy", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = None
+        page, block = None, []
+
+        def answer() -> pa.RecordBatch:
+            best, computed = _search(metric, page, block, k)
+            asker = np.array([x[0] for x in block], np.int64)
+            columns = [pa.array(np.concatenate([asker, best[0]])), pa.array([None] * len(block) + best[1].tolist(), pa.int64()), pa.array([None] * len(block) + best[2].tolist(), pa.int64()), pa.array(np.concatenate([computed, np.zeros(len(best[0]), np.int64)]))]
+            return pa.RecordBatch.from_arrays(columns, names=["query_id", "score", "vec_id", "computed"])
+
         for batch in batches:
-            kinds = batch.column(2).to_pylist()
-            out: list[tuple] = []
-            for i, kind in enumerate(kinds):
-                a = batch.column(6)[i].as_py()
+            for kind, query_id, at, least, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(3, 10)), strict=True):
+                if block and (kind == 0 or len(block) == BLOCK_QUERIES):
+                    yield answer()
+                    block = []
                 if kind == 0:
-                    ids, parents = np.frombuffer(a, np.int64), np.frombuffer(batch.column(7)[i].as_py(), np.float64)
-                    data = np.frombuffer(batch.column(8)[i].as_py(), np.int64).reshape(-1, metric.dims).astype(metric.type)
-                    page = ids, parents, data
-                    continue
-                query = np.frombuffer(a, np.int64).astype(metric.type)
-                query_id = batch.column(3)[i].as_py()
-                norm = float((query.astype(float) ** 2).sum())
-                out.append((query_id, *_search_page(metric, *page, query_id, query, norm, batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), k)))
-            scores = np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64)
-            found = np.concatenate([x[2] for x in out]) if out else np.zeros(0, np.int64)
-            asker = np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(scores), pa.array(found)], names=["query_id", "score", "vec_id"])
+                    page = np.frombuffer(a, np.int64), np.frombuffer(b, np.float64), metric.unpacked([c])
+                else:
+                    block.append((query_id, at, np.nan if least is None else least, a))
+        if block:
+            yield answer()
 
     return met.mapInArrow(run, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best of each query; a candidate that came more than once (from queries that share an
+    id) counts each time. A row without vec_id keeps the query's count of distances."""
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & F.col("vec_id").isNotNull())
+    counts = found.groupBy("query_id").agg(F.sum("computed").alias("computed"))
+    return ranked.select("query_id", "score", "vec_id", F.lit(0).cast("long").alias("computed")).unionByName(counts.select("query_id", F.lit(None).cast("long").alias("score"), F.lit(None).cast("long").alias("vec_id"), "computed"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, vector_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k largest integer inner products
-    with the rows of other ids, all of them if there are fewer, ties to the smaller vec_id.
+    with the rows of other ids, all of them if there are fewer, ties to the smaller vec_id; and
+    n_computed, the number of distances to entries that were computed for the query.
 
     Rows and queries have the columns `vector_id` and `vector` (others are ignored). Vectors that
     are null or hold null or non-finite components take no part; shorter vectors count as padded
     with zeros. A repeated (id, vector) row is a candidate each time; repeated query ids with
-    different vectors are searched together and give one list. No query or no row gives an empty result.
+    different vectors are searched together and give one list. No query or no row gives an empty
+    result.
     """
     spark = rows.sparkSession
     vectors = materialise(integer_vectors(rows, vector_id, vector, scale))
     asked = materialise(integer_vectors(queries, vector_id, vector, scale))
-    tree = build(vectors, asked)
-    if tree is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    nodes, pages = tree
-    metric = nodes.metric
-
-    def first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _matrix(batch.column(1), metric.dims)
-            far = nodes.distances(q)
-            node = np.argmin(np.where(nodes.pages > 0, np.maximum(far - nodes.radius, 0) + far * 1e-6, np.inf), 1)
-            at = far[np.arange(len(q)), node]
-            data = pa.array([x.tobytes() for x in q], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.astype(np.int32)), pa.array(at), pa.array(np.full(len(q), np.inf)), data], names=["query_id", "node", "at", "bound", "q"])
-
-    routed = "query_id long, node int, at double, bound double, q binary"
-    home = materialise(asked.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(first_nodes, routed))
-    near = materialise(_best(_visit(nodes, pages, home, k), k).drop("rank"))
-    least = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    open_bound = F.when(F.col("n") == k, F.col("least").cast("double"))
-    bounded = home.join(least, "query_id", "left").select("query_id", "node", "q", open_bound.alias("least"))
-
-    def other_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = np.stack([np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()])
-            norm = (q.astype(float) ** 2).sum(1)
-            least = np.asarray(batch.column(3).fill_null(np.nan), float)
-            bound = np.where(np.isnan(least), np.inf, metric.to_query(norm, least))
-            far = nodes.distances(q)
-            go = (far - nodes.radius <= (bound * (1 + SLACK) + SLACK)[:, None]) & (nodes.pages > 0)
-            go[np.arange(len(q)), np.asarray(batch.column(1), np.int64)] = False
-            i, node = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(node.astype(np.int32)), pa.array(far[i, node]), pa.array(bound[i]), batch.column(2).take(pa.array(i))], names=["query_id", "node", "at", "bound", "q"])
-
-    rest = _visit(nodes, pages, bounded.mapInArrow(other_nodes, routed), k)
-    return _best(near.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+    built = build(vectors, asked)
+    if built is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, n_computed long")
+    tree, pages = built
+    metric = tree.metric
+    discard(vectors)
+    routed = "query_id long, page int, at double, least double, q binary"
+    near, seen, step = None, 0, FIRST
+    while seen < len(tree.centres):
+        start, stop = seen, seen + step
+
+        def route(batches: Iterator[pa.RecordBatch], start: int = start, stop: int = stop) -> Iterator[pa.RecordBatch]:
+            """Queries (vec_id, v, least) to the pages that stand at start..stop in their order."""
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_QUERIES):
+                    part = batch.slice(at, BLOCK_QUERIES)
+                    q = _matrix(part.column(1), metric.dims)
+                    least = np.asarray(part.column(2).cast(pa.float64()).fill_null(np.nan), float)
+                    bound = np.where(np.isnan(least), np.inf, metric.to_query(_norms(q), np.nan_to_num(least)))
+                    low, far = tree.bounds(q, bound * (1 + SLACK) + SLACK)
+                    order = np.argsort(low, axis=1, kind="stable")[:, start:stop]
+                    ahead = np.take_along_axis(low, order, 1)
+                    i, j = np.nonzero((ahead <= bound[:, None]) & (tree.radius[order] > -np.inf))
+                    page = order[i, j]
+                    columns = [part.column(0).take(pa.array(i)), pa.array(page.astype(np.int32)), pa.array(far[i, page]), pa.array(least[i], mask=np.isnan(least[i])), metric.packed(q).take(pa.array(i))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "page", "at", "least", "q"])
+
+        if near is None:
+            known = asked.select("vec_id", "v", F.lit(None).cast("double").alias("least"))
+        else:
+            least = near.where("vec_id is not null").groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+            known = asked.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.when(F.col("n") == k, F.col("least").cast("double")).alias("least"))
+        sent = materialise(known.mapInArrow(route, routed))
+        if near is not None and sent.isEmpty():
+            discard(sent)
+            break
+        found = _visit(tree, pages, sent, k)
+        better = materialise(_best(found if near is None else near.unionByName(found), k))
+        discard(sent, *([near] if near is not None else []))
+        near, seen, step = better, stop, step * GROWTH
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    counts = near.where("vec_id is null").select(F.col("query_id").alias("_q"), F.col("computed").alias("n_computed"))
+    ranked = near.where("vec_id is not null").withColumn("rank", F.row_number().over(order))
+    discard(asked, pages)
+    return ranked.join(counts, F.col("query_id") == F.col("_q")).select("query_id", "rank", "vec_id", "score", "n_computed")
 
 
 ORACLE = """

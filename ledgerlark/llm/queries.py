@@ -49,7 +49,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return mtree_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    return mtree_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0)).drop("n_computed")
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
