@@ -18,6 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
+#: Contents of more bytes are copied as they are instead of by scatter indices (16 bytes a byte).
+LONG = 1 << 10
+#: Bytes of text that are formatted at once; a longer turn is formatted by itself.
+RUN_BYTES = 1 << 20
+
 
 @dataclass(frozen=True)
 class Template:
@@ -73,6 +80,9 @@ def assemble(pieces: list[pa.Array | bytes], n: int) -> tuple[np.ndarray, np.nda
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k, source in enumerate(sources):
         size = lengths[k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[starts[i, k] : starts[i, k] + size[i]] = source[firsts[k][i] : firsts[k][i] + size[i]]
+        size = np.where(size > LONG, 0, size)
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(starts[:, k], size) + inner] = source[np.repeat(firsts[k], size) + inner]
     offsets = np.concatenate([starts[:, 0], [len(out)]]) if n else np.zeros(1, np.int64)
@@ -92,8 +102,9 @@ def format_conversations(turns: DataFrame, template: Template = Template(), part
     Turns are ordered by turn (null first), ties by role and text; repeated rows stay. Null role
     or text counts as empty; a null conv_id is a conversation like any other. A conversation of
     over `part_bytes` goes on in further rows, so that one which holds a third of all turns needs
-    no more memory than others: turns stream through a task in sorted order. Extra columns are
-    ignored. An empty table gives an empty table.
+    no more memory than others: turns stream through a task in sorted order, RUN_BYTES of text at
+    a time. One conversation is formatted by one task. Extra columns are ignored. An empty table
+    gives an empty table.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -116,7 +127,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), part
         def row(c, last):
             return c[0], c[1], b"".join(c[2]).decode("utf-8", "replace"), c[4], c[5], last
 
-        for batch in batches:
+        for batch in (rows for batch in batches for rows in slices(batch, "text", RUN_BYTES)):
             ready = []
             data, offsets, content, sizes, mask = batch_rows(batch)
             convs = batch.column(0).to_pylist()
@@ -179,7 +190,7 @@ def digests(conversations: DataFrame, template: Template = Template()) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
-        for batch in batches:
+        for batch in (rows for batch in batches for rows in slices(batch, "formatted")):
             out = []
             for row in batch.to_pylist():
                 if row["part"] == 0:
