@@ -1,10 +1,10 @@
 """Sharding along a Hilbert curve.
 
-Metadata dimensions (language, source, size by default) are quantised, a row's cell gets its
-place on the Hilbert curve, rows are sorted along the curve and the order is cut into runs.
-Each run covers few cells that lie together, so the minimum and maximum of every dimension in
-a shard's files prune scans on any of them. All of it is column expressions and one range
-shuffle of narrow rows; texts don't move.
+Metadata dimensions (language, source, size by default) are quantised in the order of their
+values, a row's cell gets its place on the Hilbert curve, rows are sorted along the curve and the
+order is cut into runs. Each run covers few cells that lie together, so the minimum and maximum of
+every dimension in a shard's files prune scans on any of them. All of it is column expressions and
+range shuffles of narrow rows; texts move only where shards are written.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise
+
+BITS = 8
 
 
 def hilbert_index(dimensions: list[Column], bits: int) -> Column:
@@ -71,62 +73,104 @@ def hilbert_index(dimensions: list[Column], bits: int) -> Column:
     return let(x, interleave)
 
 
-def assign_shards(rows: DataFrame, dimensions: list[Column], shards: int, ties: list[str], bits: int = 8) -> DataFrame:
-    """Adds hilbert (long), shard (int) and slot (long) under the law `rows`: shard sizes differ
-    by one at most, shards are runs along the curve, slots count from 0 without gaps within a
-    shard in curve order. `ties` order rows of the same cell and must make rows distinct for a
-    repeatable result (repeated rows may swap places, which doesn't show).
-
-    Rows are range partitioned by (curve index, ties), so a hot cell is split among tasks. Only
-    one row per partition passes through a global step (running counts).
-    """
-    order = ["hilbert", *ties]
-    placed = rows.withColumn("hilbert", hilbert_index(dimensions, bits))
+def with_ranks(rows: DataFrame, order: list) -> DataFrame:
+    """Adds _rank (from 0, in the given order) and _total. Rows are range partitioned, so nothing
+    but one row per partition (running counts) passes through a global step."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # partition id in the upper 31 bits, place within the partition in the lower 33; the written
     # table fixes both
     placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()))
     counts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    total = F.sum("_n").over(Window.partitionBy())
-    offsets = offsets.withColumn("_total", total).select("_part", "_before", "_total")  # one row per partition
-    ranked = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    n = F.lit(shards).cast("long")
+    offsets = offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy())).select("_part", "_before", "_total")
+    ranked = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")  # one row per partition
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranked.withColumn("_rank", rank).drop("_part", "_before", "_at")
+
+
+def value_codes(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """(value, code): the distinct values of a column in their order (null first), spread evenly
+    over the codes 0 to 2**bits - 1, so that few values take part in the curve's coarse steps too;
+    with at most so many values each has a code of its own."""
+    ranked = with_ranks(rows.select(F.col(column).alias("value")).distinct(), [F.col("value").asc_nulls_first()])
+    code = F.floor(F.col("_rank") * F.lit(1 << bits) / F.col("_total"))
+    return ranked.select("value", code.cast("long").alias("code"))
+
+
+def magnitude_codes(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """(value, code): the magnitudes of a positive column (16 for each doubling) with codes that
+    hold about equally many rows each. There are at most 1024 magnitudes of a long."""
+    value = F.floor(F.log2(F.col(column).cast("double")) * 16)
+    counts = rows.groupBy(value.alias("value")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = (before + F.col("_n") / 2) / F.sum("_n").over(Window.partitionBy())
+    return counts.select("value", F.floor(middle * F.lit(1 << bits)).alias("code"))
+
+
+def assign_shards(rows: DataFrame, dimensions: list[Column], shards: int, ties: list[str], bits: int = BITS) -> DataFrame:
+    """Adds hilbert (long), shard (int) and slot (long) under the law `rows`: shard sizes differ
+    by one at most, shards are runs along the curve, slots count from 0 without gaps within a
+    shard in curve order. `ties` order rows of the same cell and must make rows distinct for a
+    repeatable result (repeated rows may swap places, which doesn't show). A hot cell is split
+    among tasks."""
+    ranked = with_ranks(rows.withColumn("hilbert", hilbert_index(dimensions, bits)), ["hilbert", *ties])
     # the first (total mod shards) shards hold one row more
-    small, more = F.expr(f"_total div {shards}"), F.col("_total") % n
+    small, more = F.expr(f"_total div {shards}"), F.col("_total") % F.lit(shards).cast("long")
     edge = more * (small + 1)
     in_large = F.col("_rank") < edge
     shard = F.when(in_large, F.expr(f"_rank div (_total div {shards} + 1)")).otherwise(
         more + F.when(small > 0, F.floor((F.col("_rank") - edge) / F.greatest(small, F.lit(1)))).otherwise(F.lit(0))
     )
     slot = F.when(in_large, F.col("_rank") % (small + 1)).otherwise((F.col("_rank") - edge) % F.greatest(small, F.lit(1)))
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).drop("_part", "_before", "_total", "_rank", "_at")
+    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).drop("_total", "_rank")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 16; null text: 16), text_crc32 (null text
-    counts as empty), law ('rows'), shard, slot, grown_shard (null under this law), hilbert.
-
-    Dimensions: language and source (16 buckets of 8-bit codes by their first bytes' order and a
-    hash) and the logarithm of the size. Rows of a cell are ordered by text checksum and hash,
-    so equal texts of a cell stand side by side; then by doc_id. Null language or source is a
-    value of its own. Null doc_id sorts first. Other columns are ignored; an empty table gives
-    an empty result; repeated rows each take a slot.
+_MADE = ("size", "text_crc32", "shard", "slot", "hilbert", "lang_code", "source_code", "size_code")
+
+
+def shard_rows(docs: DataFrame, shards: int = 40, text: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text plus 16; null text: 16), text_crc32 (null text counts
+    as empty), shard, slot, hilbert and the coordinates lang_code, source_code and size_code; with
+    `keep` all columns of docs besides (those with these names are replaced), else texts don't move.
+
+    Rows with equal texts form a group, which has the coordinates of its smallest doc_id and stands
+    together on the curve (ordered by text checksum and hash, then doc_id), so that only a shard's
+    edge can cut it. Null language or source is a value of its own. Null doc_id sorts first. Other
+    columns are ignored; an empty table gives an empty result; repeated rows each take a slot.
     """
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rest = [c for c in docs.columns if keep and c not in (*_MADE, "doc_id")]
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(content) + 16).cast("long").alias("size"),
-        F.crc32(content).cast("long").alias("text_crc32"),
-        F.xxhash64(content).alias("_text"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("lang"), F.lit("\0"))), F.lit(256)).alias("_lang"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("\0"))), F.lit(256)).alias("_source"),
-    )
-    magnitude = F.least(F.floor(F.log2(F.col("size").cast("double")) * 8), F.lit(255))
-    placed = assign_shards(rows, [F.col("_lang"), F.col("_source"), magnitude], shards, ["text_crc32", "_text", "doc_id"])
-    return placed.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(content) + 16).cast("long").alias("size"), F.crc32(content).cast("long").alias("text_crc32"),
+        F.xxhash64(content).alias("_text"), F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), *rest,
+    )
+    rows = materialise(rows)
+    for name in ("lang", "source"):
+        codes = few(value_codes(rows, f"_{name}").select(F.col("value").alias("_v"), F.col("code").alias(f"{name}_code")))
+        rows = rows.join(codes, F.col(f"_{name}").eqNullSafe(F.col("_v"))).drop("_v", f"_{name}")
+    sizes = magnitude_codes(rows, "size").select(F.col("value").alias("_v"), F.col("code").alias("size_code"))
+    rows = rows.join(F.broadcast(sizes), F.floor(F.log2(F.col("size").cast("double")) * 16) == F.col("_v")).drop("_v")  # 1024 rows
+    place = F.struct("doc_id", "lang_code", "source_code")
+    groups = rows.groupBy(F.col("text_crc32").alias("_c"), F.col("_text").alias("_t"), F.col("size").alias("_s")).agg(F.min(place).alias("_first"), F.min(F.struct("lang_code", "source_code")).alias("_low"), F.max(F.struct("lang_code", "source_code")).alias("_high"))
+    groups = few(materialise(groups.where("_low <> _high").select("_c", "_t", "_s", "_first")))  # groups that several cells hold
+    rows = rows.join(groups, (F.col("text_crc32") == F.col("_c")) & (F.col("_text") == F.col("_t")) & (F.col("size") == F.col("_s")), "left")
+    rows = rows.withColumns({c: F.coalesce(F.col(f"_first.{c}"), F.col(c)) for c in ("lang_code", "source_code")}).drop("_c", "_t", "_s", "_first")
+    placed = assign_shards(rows, [F.col("lang_code"), F.col("source_code"), F.col("size_code")], shards, ["text_crc32", "_text", "doc_id"])
+    return placed.drop("_text")
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
+    """The rows of shard_rows() as doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard
+    (null under this law) and hilbert."""
+    return shard_rows(docs, shards, text).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, text: str = "text") -> None:
+    """Write docs, with what shard_rows() adds, as Parquet under path/shard=N: a file per shard, its
+    rows in curve order, so that scans skip shards by the minima and maxima of all dimensions."""
+    placed = shard_rows(docs, shards, text, keep=True)
+    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
