@@ -221,8 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
                 marks.append("-".join(map(str, low)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], names=["doc_id", "_toxic", "_text", "_mark"])
 
-    rows = rows.mapInArrow(signed, "doc_id long, _toxic int, _text string, _mark string").dropDuplicates(["_mark", "_toxic"])
-    rows = materialise(rows.drop("_mark"))
+    rows = rows.mapInArrow(signed, "doc_id long, _toxic int, _text string, _mark string")
+    first = rows.groupBy("_mark", "_toxic").agg(F.min(F.struct("doc_id", "_text")).alias("_row"))  # the smallest doc_id, so reruns agree
+    rows = materialise(first.select("_row.doc_id", "_toxic", "_row._text"))
     counts = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
@@ -281,8 +282,8 @@ def score(docs: DataFrame, model: Field, text: str = "text", spans: bool = True)
     """Adds tox_score (double), tox_predicted (int) and, with spans, tox_starts / tox_sizes
     (array<int>, code points of the whole text): the tokens with a marginal of 0.5 or more.
 
-    Null or empty text scores like any text without cues. Input columns of these names are
-    replaced, all others stay; repeated rows score alike; an empty table stays empty. One narrow
+    Null or empty text scores like any text without cues; very long texts are tagged whole, in
+    chains of CHAIN tokens at most. Input columns of these names are replaced, all others stay; repeated rows score alike; an empty table stays empty. One narrow
     pass over whole texts."""
     made = [T.StructField("tox_score", T.DoubleType()), T.StructField("tox_predicted", T.IntegerType())]
     made += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("tox_starts", "tox_sizes")] * spans

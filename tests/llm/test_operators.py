@@ -37,6 +37,19 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_long_turns_and_odd_rows(spark):
+    """Very long turns, null roles and ids, repeated rows, extra columns; both ways of copying."""
+    long = "<|im_end|> née " * 300_000
+    rows = [(1, 0, "user", "hi", 5), (1, 1, "assistant", long, 5), (1, 2, "user", "x" * 1025, 5), (2, 0, None, None, 5), (2, 1, "assistant", "y", 5), (2, 1, "assistant", "y", 5)]
+    rows += [(3, k, "assistant" if k % 2 else "user", ("z%d " % k) * 400, 5) for k in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
+    found = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.digests(turns).collect()}
+    assert found == brute.chats([(c, k, r or "", t) for c, k, r, t, _ in rows])
+    nameless = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    (row,) = chat_format.digests(nameless).collect()
+    assert row["conv_id"] is None and row["n_turns"] == 2 and row["loss_chars"] == 1
+
+
 def test_sentencepiece_equals_the_library(spark, docs, none):
     draw = random.Random(5)
     more = ["".join(draw.choice("abcdehilnorst   éß漢🙂\n.0") for _ in range(400)) for _ in range(60)] + ["a" * 999, " " * 77, "ab" * 500, "\0x\0"]
@@ -116,6 +129,60 @@ def test_toxicity_learns_and_holds_out(spark, docs, none):
     assert toxicity.fit(none, marks.limit(0)).cues == []
 
 
+def test_field_marginals_and_gradient_by_enumeration():
+    from itertools import product
+
+    draw = np.random.default_rng(7)
+    model = toxicity.Field(cues=["a", "b"], odds=[2.0, 3.0])
+    model.emission, model.transition = draw.normal(size=3), draw.normal(size=(2, 2))
+    model.transition[0, 0] = 0.0
+    lengths = np.array([1, 4, 6, 3])
+    obs, gold = draw.integers(0, 3, lengths.sum()), draw.integers(0, 2, lengths.sum())
+
+    def enumerate_chains(model):
+        marginal, pairs, total, likelihood = [], np.zeros((2, 2)), 0.0, 0.0
+        for stop, n in zip(np.cumsum(lengths), lengths, strict=True):
+            own, said = obs[stop - n : stop], gold[stop - n : stop]
+            value = lambda y: sum(model.emission[o] for o, k in zip(own, y, strict=True) if k) + sum(model.transition[a, b] for a, b in zip(y[:-1], y[1:]))
+            ways = list(product((0, 1), repeat=int(n)))
+            weight = np.exp([value(y) for y in ways])
+            total += np.log(weight.sum())
+            likelihood += value(tuple(said)) - np.log(weight.sum())
+            share = weight / weight.sum()
+            marginal += [sum(p for p, y in zip(share, ways, strict=True) if y[t]) for t in range(n)]
+            for p, y in zip(share, ways, strict=True):
+                for a, b in zip(y[:-1], y[1:]):
+                    pairs[a, b] += p
+        return np.array(marginal), pairs, total, likelihood
+
+    post, expected, total = model.marginals(lengths, obs, pairs=True)
+    marginal, pairs, z, before = enumerate_chains(model)
+    assert post == pytest.approx(marginal) and expected == pytest.approx(pairs) and total == pytest.approx(z)
+    kind = 1  # the gradient of a weight is its gold count less its expected count
+    gradient = gold[obs == kind].sum() - post[obs == kind].sum()
+    model.emission[kind] += 1e-5
+    assert (enumerate_chains(model)[3] - before) / 1e-5 == pytest.approx(gradient, abs=1e-3)
+    # noisy-or of a document's marginals, as log odds; none without a chain
+    doc = np.array([0, 0, 2, 2])
+    clean = [np.prod(1 - post[:5]), None, np.prod(1 - post[5:])]
+    odds = model.evidence(3, doc, lengths, post)
+    assert odds[[0, 2]] == pytest.approx([np.log((1 - c) / c) for c in (clean[0], clean[2])]) and np.isneginf(odds[1])
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Reruns agree, repeated rows score alike, columns of the added names are replaced."""
+    rows = [(i, f"plain{i % 7} words{i % 5} " + ("vilefool" if i % 3 == 0 else "kind") * 1 + f" rest{i % 11}") for i in range(60)]
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    one, two = toxicity.fit(table, marks), toxicity.fit(table.repartition(5), marks.repartition(3))
+    assert one.cues == two.cues and (one.emission == two.emission).all() and one.slope == two.slope
+    odd = [(1, "vilefool " * 20_000, 0.1), (1, "vilefool " * 20_000, 0.2), (2, None, 0.3), (3, "", 0.3)]
+    found = toxicity.score(spark.createDataFrame(odd, "doc_id long, text string, tox_score double"), one)
+    assert found.columns == ["doc_id", "text", "tox_score", "tox_predicted", "tox_starts", "tox_sizes"]
+    got = found.collect()
+    assert got[0]["tox_score"] == got[1]["tox_score"] > 0.5 and len(got[0]["tox_starts"]) == 20_000
+    assert got[2]["tox_score"] == got[3]["tox_score"] < 0.5
+
+
 def test_quality_statistics(spark, docs, none):
     found = quality_rules.quality_verdicts(docs).collect()
     assert len(found) == len(DOCS)
@@ -161,21 +228,26 @@ def test_quality_core_is_final(spark):
         assert x[d <= np.ceil(np.quantile(d, quality_rules.CORE))].mean(axis=0) == pytest.approx([r["m0"], r["m1"]], abs=1e-9)
 
 
-def test_top_k_against_all(spark, monkeypatch):
-    monkeypatch.setattr(mtree_search, "NODE_ROWS", 30)
+@pytest.mark.parametrize("clustered", [False, True])
+def test_top_k_against_all(spark, monkeypatch, clustered):
     monkeypatch.setattr(mtree_search, "PAGE_ROWS", 8)
+    monkeypatch.setattr(mtree_search, "PAGE_QUERIES", 3)
     draw = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in draw.normal(size=6)], 0) for i in range(400)] + [(1000 + i, [0.5] * 6, 0) for i in range(20)]
+    centres = draw.normal(size=(20, 6)) * (5 if clustered else 0)
+    rows = [(i, [float(x) for x in draw.normal(size=6) + centres[i % 20]], 0) for i in range(400)] + [(1000 + i, [0.5] * 6, 0) for i in range(60)]
     rows += [(5000, None, 0), (5050, [None] * 6, 0), (5100, [float("nan")] * 6, 0), (5150, [float("inf")] * 6, 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, page int")
-    found = {}
+    found, computed = {}, {}
     for r in mtree_search.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows[:420]}
+        computed[r["query_id"]] = r["n_computed"]
+    whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows[:460]}
     for q in [i for i in whole if i % 50 == 0]:
         best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
         assert sorted(found.pop(q)) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert not found
+    if clustered:
+        assert sum(computed.values()) < 0.6 * 460 * len(computed)
     assert mtree_search.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
@@ -193,6 +265,33 @@ def test_hilbert_curve_and_shards(spark, docs, none):
     assert hilbert_shards.shard_documents(none).count() == 0
 
 
+def test_hilbert_shards_keep_groups_and_prune(spark, tmp_path):
+    import zlib
+
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.choice((3, 30, 300, 3000)) + str(i), draw.choice(("de", "en", "fr", None)), f"s{draw.randrange(12)}", i) for i in range(2000)]
+    rows += [(5000 + i, f"same {i % 40}", draw.choice(("de", "en")), f"s{draw.randrange(12)}", 0) for i in range(400)]  # equal texts of several cells
+    docs = spark.createDataFrame(rows, SCHEMA)
+    placed = hilbert_shards.shard_documents(docs, 16).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert all((r["size"], r["text_crc32"]) == (len(text[r["doc_id"]].encode()) + 16, zlib.crc32(text[r["doc_id"]].encode())) for r in placed)
+    where = {}
+    for r in placed:
+        where.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    cut = [w for w in where.values() if len(w) > 1]
+    assert len(cut) < 16 and all(len(w) == 2 for w in cut)  # only at edges
+    order = sorted(placed, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in order)
+    hilbert_shards.write_shards(docs, str(tmp_path / "out"), 16)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == len(rows) and {"text", "lang", "source", "shard"} <= set(out.columns)
+    spans = {c: [(r["a"], r["b"]) for r in out.groupBy("shard").agg(hilbert_shards.F.min(c).alias("a"), hilbert_shards.F.max(c).alias("b")).collect()] for c in ("lang_code", "source_code", "size_code")}
+    for c in spans:  # a scan for one value skips shards by their minima and maxima
+        values = [r[0] for r in out.select(c).distinct().collect()]
+        met = sum(a <= v <= b for v in values for a, b in spans[c]) / len(values)
+        assert met <= 10, (c, met, spans[c])
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) as key")
     cascade = url_filter.build_cascade(keys.where("hash(key) % 7 = 0"), keys.union(keys))
