@@ -1,5 +1,10 @@
 """Corpus pipeline: toxic documents go, repeated lines go, one document of each group of near
-duplicates stays, sources are mixed to target weights, and what remains is encoded."""
+duplicates stays, sources are mixed to target weights, and what remains is encoded.
+
+Every stage takes all rows that its predecessor kept. Null or empty texts pass the first three
+stages and give nothing in the mix, as texts without words have no size. Columns beside those of
+`documents` pass through the first four stages; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
-from ledgerlark.llm.common import materialise, table
+from ledgerlark.llm.common import discard, materialise, table
 from ledgerlark.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic. The field is fitted on labelled rows of docs."""
+    """Documents that aren't predicted toxic. The field is fitted on labelled rows of docs that
+    aren't held out; without any toxic label nothing goes. Null and empty texts have no cue and
+    stay; repeated rows are judged alike."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model, spans=False).where("tox_predicted = 0").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a smaller doc_id holds; n_chars follows the text.
-    Documents that had text and keep none of it go."""
+    """All documents, without the lines that a smaller doc_id holds; n_chars follows the text. A
+    document whose lines are all held elsewhere stays with an empty text; so do null texts. Rows
+    that share a doc_id are one document and are cut alike."""
     cut = line_dedup.dedup_lines(docs)
-    cut = cut.where((F.length("text") > 0) | (F.col("n_dropped") == 0))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each component of near duplicates."""
+    """One document (the smallest doc_id) of each component of near duplicates. Empty and null
+    texts are linked with nothing and stay, rows with a null doc_id too; repeated rows of a kept
+    doc_id stay."""
     return ngram_join.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as whole documents, each as often as the mix takes it."""
+    """The mix as whole documents, each as often as the mix takes it, rounded. Documents without
+    words give nothing; null is a source of its own; ties are ordered by seeded hash and doc_id."""
     return mixing.mixed_documents(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of every document of the mix."""
+    """doc_id, lang, source, n_tokens and ids of every row of the mix, repeated ones each time.
+    Null and empty texts have no ids."""
     tokens = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return tokens.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -49,13 +60,14 @@ STAGES = [
     ("sentencepiece", sentencepiece_stage),
 ]
 
-#: No SQL expresses the field, the mix's blocks or the token merges; tests hold the stages
-#: against brute-force versions.
+#: No SQL expresses the field, the mix's blocks or the token merges; tests/llm/test_pipeline.py
+#: holds the stages and run() against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
