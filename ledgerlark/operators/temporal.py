@@ -3,7 +3,7 @@ capture of slowly changing dimensions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import month_start_from
@@ -37,14 +37,37 @@ def valid_at(spine: DataFrame, versions: DataFrame, key: str, start: str, valid_
     return spine.join(v, on, how).drop("_key", "_end")
 
 
-def latest_at(spine: DataFrame, facts: DataFrame, key: str, available: str, order: str) -> DataFrame:
+def latest_at(spine: DataFrame, facts: DataFrame, key: str, available: str, order: str, as_of: str | None = None) -> DataFrame:
     """Spine rows with the latest fact (largest `order`) available by snapshot_date, nulls if there
-    is none. One aggregate, no window."""
+    is none. A fact holds until one of a larger order is available, so each gets its months and
+    meets the spine once, on both keys: no product of months and facts. `as_of` is the last month
+    that the spine can hold (default: its own last one). Facts of the same key and order must agree."""
     values = [c for c in facts.columns if c != key]
-    f = facts.select(F.col(key).alias("_key"), *values)
-    joined = spine.join(f, (F.col(key) == F.col("_key")) & (F.col(available) <= F.col("snapshot_date")), "left")
-    best = joined.groupBy(key, "snapshot_date").agg(F.max_by(F.struct(*values), order).alias("_best"))
-    return best.select(key, "snapshot_date", *(F.col(f"_best.{c}").alias(c) for c in values))
+    last = F.lit(as_of if as_of else spine.agg(F.max("snapshot_date")).first()[0]).cast("date")
+    later = Window.partitionBy(key).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
+    held = facts.withColumn("_end", F.coalesce(F.date_sub(F.min(available).over(later), 1), last))
+    held = held.withColumns({"_first": month_start_from(F.col(available)), "_last": F.least("_end", last)}).where("_first <= _last")
+    months = held.select(F.col(key).alias("_key"), F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("_month"), *values)
+    months = months.dropDuplicates(["_key", "_month"])
+    return spine.join(months, (F.col(key) == F.col("_key")) & (F.col("snapshot_date") == F.col("_month")), "left").select(key, "snapshot_date", *values)
+
+
+def running_counts(spine: DataFrame, versions: DataFrame, key: str, start: str, counts: dict[str, Column], valid_to: str = "valid_to") -> DataFrame:
+    """Spine rows at which any version of the key holds (start <= s < valid_to, null: open), with
+    the number of those for which each predicate of `counts` is true. A version is a change of +1
+    in its first month and of -1 in the month that it no longer holds in; changes are summed by
+    month and cumulated along the key's months, so rows are spine and changes, not their product."""
+    first, gone = month_start_from(F.col(start)), month_start_from(F.col(valid_to))
+    marks = {"_any": F.lit(True)} | counts
+    sized = versions.select(F.col(key), first.alias("_from"), gone.alias("_until"), *(F.coalesce(p, F.lit(False)).cast("long").alias(n) for n, p in marks.items()))
+    sized = sized.where("_until is null or _from < _until")
+    turns = F.array(F.struct(F.col("_from").alias("snapshot_date"), F.lit(1).alias("_sign")), F.struct(F.col("_until").alias("snapshot_date"), F.lit(-1).alias("_sign")))
+    changes = sized.select(key, *marks, F.inline(turns)).where("snapshot_date is not null")
+    changes = changes.select(key, "snapshot_date", *((F.col(n) * F.col("_sign")).alias(n) for n in marks), F.lit(False).alias("_spine"))
+    rows = spine.select(key, "snapshot_date", *(F.lit(0).cast("long").alias(n) for n in marks), F.lit(True).alias("_spine")).unionByName(changes)
+    monthly = rows.groupBy(key, "snapshot_date").agg(*(F.sum(n).alias(n) for n in marks), F.max("_spine").alias("_spine"))
+    along = Window.partitionBy(key).orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return monthly.select(key, "snapshot_date", "_spine", *(F.sum(n).over(along).alias(n) for n in marks)).where("_spine and _any > 0").drop("_spine", "_any")
 
 
 def capture_changes(history: DataFrame, current: DataFrame, key: str, watched: list[str], run_at: str) -> DataFrame:

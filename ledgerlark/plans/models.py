@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import cleaned, ratio, surrogate_key
-from ..operators.temporal import expand_trailing, latest_at, monthly_spine, valid_at
+from ..operators.temporal import expand_trailing, latest_at, monthly_spine, running_counts, valid_at
 from ..sources import tables as src
 
 AS_OF = "2024-04-01"
@@ -41,8 +41,27 @@ def stg_invoices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stg_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets with the time to resolution in hours and days (null while open)."""
     seconds = (F.unix_micros("resolved_at") - F.unix_micros("created_at")) / 1e6
-    return src.crm_support_tickets(spark, d).withColumn("resolution_hours", (seconds / 3600).cast("decimal(10,2)"))
+    tickets = src.crm_support_tickets(spark, d).withColumn("ticket_category", cleaned(F.col("ticket_category")))
+    return tickets.withColumns({"resolution_time_hours": (seconds / 3600).cast("decimal(10,2)"), "resolution_time_days": (seconds / 86400).cast("decimal(10,2)")})
+
+
+def stg_energy_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts with vocabularies in lower case, the meter class in upper case."""
+    low = ("commodity_type", "market_type", "contract_status", "voltage_level", "pressure_level")
+    c = src.energy_contracts(spark, d).withColumns({n: cleaned(F.col(n)) for n in low})
+    return c.withColumns({"gas_meter_class": F.upper(F.trim("gas_meter_class")), "power_committed_kw": F.col("power_committed_kw").cast("decimal(10,2)")})
+
+
+def stg_payments(spark: SparkSession, d: str) -> DataFrame:
+    p = src.payments(spark, d).withColumn("transaction_reference", F.trim("transaction_reference"))
+    return p.withColumns({"payment_method": cleaned(F.col("payment_method")), "payment_status": cleaned(F.col("payment_status")), "amount_paid": F.col("amount_paid").cast("decimal(15,2)")})
+
+
+def stg_user_web_logins(spark: SparkSession, d: str) -> DataFrame:
+    logins = src.user_web_logins(spark, d)
+    return logins.withColumns({"ip_address": F.substring("ip_address", 1, 45), "device_type": cleaned(F.col("device_type"))})
 
 
 def company_date_spine(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
@@ -56,66 +75,79 @@ def companies_resolved(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataF
 
 
 def contracts_asof(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    rows = valid_at(company_date_spine(spark, d, as_of), src.energy_contracts(spark, d), "company_id", "activation_date")
     active = F.col("contract_status") == "active"
-    return rows.groupBy("company_id", "snapshot_date").agg(
-        F.count_if(active).alias("active_contracts_count"),
-        F.bool_or(active & (F.col("commodity_type") == "electricity")).alias("has_active_electricity_contract"),
-        F.bool_or(active & (F.col("commodity_type") == "gas")).alias("has_active_gas_contract"),
-    )
+    counts = {"active_contracts_count": active, "_power": active & (F.col("commodity_type") == "electricity"), "_gas": active & (F.col("commodity_type") == "gas")}
+    rows = running_counts(company_date_spine(spark, d, as_of), stg_energy_contracts(spark, d), "company_id", "activation_date", counts)
+    return rows.select("company_id", "snapshot_date", "active_contracts_count", (F.col("_power") > 0).alias("has_active_electricity_contract"), (F.col("_gas") > 0).alias("has_active_gas_contract"))
 
 
-def billing_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, mode: str = "compat") -> DataFrame:
-    """Days past due, unpaid ratio and outstanding debt of the invoices due in the window. Payments
-    are reduced to the first completed one per invoice, so a second can't duplicate an invoice."""
-    paid = src.payments(spark, d).where("payment_status = 'completed'").groupBy("invoice_id").agg(F.min("payment_date").alias("payment_date"))
+def billing_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Invoices with company and first completed payment: a second payment can't duplicate one."""
+    paid = stg_payments(spark, d).where("payment_status = 'completed'").groupBy("invoice_id").agg(F.min("payment_date").alias("payment_date"))
     contracts = src.energy_contracts(spark, d).select("contract_id", "company_id")
-    facts = src.invoices(spark, d).join(contracts, "contract_id").join(paid, "invoice_id", "left")
-    rows = expand_trailing(facts, F.col("due_date"), BILLING_DAYS)
+    return stg_invoices(spark, d).join(contracts, "contract_id").join(paid, "invoice_id", "left")
+
+
+def billing_windows(spark: SparkSession, d: str, mode: str = "compat") -> DataFrame:
+    """Days past due, unpaid ratio and outstanding debt of the invoices due in the window."""
+    rows = expand_trailing(billing_facts(spark, d), F.col("due_date"), BILLING_DAYS)
     if mode == "strict":
         rows = rows.withColumn("payment_date", F.when(F.col("payment_date") <= F.col("snapshot_date"), F.col("payment_date")))
         rows = rows.withColumn("invoice_status", F.when(F.col("payment_date").isNotNull(), "paid").otherwise("overdue"))
     rows = rows.withColumn("dpd", F.greatest(F.lit(0), F.datediff(F.coalesce("payment_date", "snapshot_date"), "due_date")))
     unpaid = F.col("invoice_status").isin("unpaid", "overdue")
-    found = rows.groupBy("company_id", "snapshot_date").agg(
+    return rows.groupBy("company_id", "snapshot_date").agg(
         F.max("dpd").alias("max_dpd_trailing_90d"),
         F.avg(F.col("dpd").cast("decimal(10,0)")).cast("decimal(10,2)").alias("avg_dpd_trailing_90d"),
         (F.count_if(unpaid) / F.count("*")).cast("decimal(5,4)").alias("unpaid_ratio_trailing_90d"),
         F.coalesce(F.sum(F.when(F.col("payment_date").isNull(), F.col("total_amount"))), F.lit(0)).cast("decimal(15,2)").alias("total_outstanding_debt"),
     )
-    return company_date_spine(spark, d, as_of).join(found, ["company_id", "snapshot_date"])
+
+
+def billing_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, mode: str = "compat") -> DataFrame:
+    return company_date_spine(spark, d, as_of).join(billing_windows(spark, d, mode), ["company_id", "snapshot_date"])
 
 
 def insolvency_label(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    rows = company_date_spine(spark, d, as_of).join(billing_trailing(spark, d, as_of), ["company_id", "snapshot_date"], "left")
+    rows = company_date_spine(spark, d, as_of).join(billing_windows(spark, d), ["company_id", "snapshot_date"], "left")
     late = F.coalesce("max_dpd_trailing_90d", F.lit(0)) >= 90
     return rows.select("company_id", "snapshot_date", F.when(late, 1).otherwise(0).alias("is_insolvent"))
 
 
-def financial_asof(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    facts = stg_financial_statements(spark, d).select("company_id", "fiscal_year", "available_from", "leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "ebitda")
-    return latest_at(company_date_spine(spark, d, as_of), facts, "company_id", "available_from", "fiscal_year")
+def financial_facts(spark: SparkSession, d: str) -> DataFrame:
+    return stg_financial_statements(spark, d).select("company_id", "fiscal_year", "available_from", "leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "ebitda")
 
 
-def logins_trailing(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    """Days since the last login and velocity (logins of 30 days against a third of 90 days')."""
-    logins = src.user_web_logins(spark, d).withColumn("_day", F.col("login_timestamp").cast("date"))
+def financial_asof(spark: SparkSession, d: str, as_of: str = AS_OF, spine: DataFrame | None = None) -> DataFrame:
+    spine = company_date_spine(spark, d, as_of) if spine is None else spine
+    return latest_at(spine, financial_facts(spark, d), "company_id", "available_from", "fiscal_year", as_of)
+
+
+def login_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Last login and velocity (logins of 30 days against a third of 90 days')."""
+    logins = stg_user_web_logins(spark, d).withColumn("_day", F.col("login_timestamp").cast("date"))
     rows = expand_trailing(logins, F.col("_day"), TRAILING_DAYS)
     recent = F.col("_day") > F.date_sub("snapshot_date", 30)
     found = rows.groupBy("company_id", "snapshot_date").agg(
         F.max("_day").alias("_last"), (F.count_if(recent) / (F.count("*") / 3.0)).cast("decimal(5,4)").alias("login_velocity")
     )
-    spine = company_date_spine(spark, d, as_of).join(found, ["company_id", "snapshot_date"], "left")
-    return spine.select("company_id", "snapshot_date", F.datediff("snapshot_date", "_last").alias("days_since_last_login"), "login_velocity")
+    return found.select("company_id", "snapshot_date", F.datediff("snapshot_date", "_last").alias("days_since_last_login"), "login_velocity")
 
 
-def tickets_trailing(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    rows = expand_trailing(src.crm_support_tickets(spark, d), F.col("created_at").cast("date"), TRAILING_DAYS)
-    found = rows.groupBy("company_id", "snapshot_date").agg(
+def logins_trailing(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+    return company_date_spine(spark, d, as_of).join(login_windows(spark, d), ["company_id", "snapshot_date"], "left")
+
+
+def ticket_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = expand_trailing(stg_tickets(spark, d), F.col("created_at").cast("date"), TRAILING_DAYS)
+    return rows.groupBy("company_id", "snapshot_date").agg(
         F.count_if(F.col("ticket_category") == "billing").alias("billing_disputes_count"),
         F.avg(F.when(F.col("resolved_at").isNotNull(), F.col("satisfaction_score").cast("decimal(3,0)"))).cast("decimal(3,2)").alias("average_satisfaction_score"),
     )
-    return company_date_spine(spark, d, as_of).join(found, ["company_id", "snapshot_date"])
+
+
+def tickets_trailing(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+    return company_date_spine(spark, d, as_of).join(ticket_windows(spark, d), ["company_id", "snapshot_date"])
 
 
 def dim_companies(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +167,14 @@ def dim_date(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
 
 def fct_company_credit_profile(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
     """All features and the label per (company, snapshot). Counts, flags and billing default to 0
-    or false; ratios, logins and satisfaction stay null. All joins share the two keys."""
+    or false; ratios, logins and satisfaction stay null. Windows are aggregated from the events and
+    meet the resolved spine once each; all joins share the two keys."""
     on = ["company_id", "snapshot_date"]
     zero = ("active_contracts_count", "max_dpd_trailing_90d", "avg_dpd_trailing_90d", "unpaid_ratio_trailing_90d", "total_outstanding_debt", "billing_disputes_count")
     rows = companies_resolved(spark, d, as_of).select(*on, "company_age_days", "valid_from")
-    for part in (contracts_asof, financial_asof, billing_trailing, logins_trailing, tickets_trailing):
-        rows = rows.join(part(spark, d, as_of), on, "left")
+    rows = rows.join(financial_asof(spark, d, as_of, rows.select(*on)), on, "left")
+    for part in (contracts_asof(spark, d, as_of), billing_windows(spark, d), login_windows(spark, d), ticket_windows(spark, d)):
+        rows = rows.join(part, on, "left")
     late = F.coalesce("max_dpd_trailing_90d", F.lit(0)) >= 90
     rows = rows.withColumn("is_insolvent", F.when(late, 1).otherwise(0)).withColumn("company_key", surrogate_key(F.col("company_id"), F.col("valid_from")))
     rows = rows.withColumn("profile_key", surrogate_key(F.col("company_id"), F.col("snapshot_date")))

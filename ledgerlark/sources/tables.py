@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -25,11 +25,16 @@ def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType
 
 
 def extract_table(df: DataFrame, folder: str, name: str) -> bool:
-    """Write a table's extract; an empty table writes no file. Returns whether it wrote."""
-    if not df.take(1):
-        return False
-    df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    return True
+    """Write a table's extract; an empty table leaves no file. Returns whether it wrote. The input
+    is run once: rows are counted while they are written."""
+    seen = Observation()
+    path = f"{folder}/{name}.parquet"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    if seen.get["rows"]:
+        return True
+    place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return False
 
 
 def restore_tables(spark: SparkSession, folder: str, database: str, schemas: dict[str, T.StructType]) -> list[str]:
@@ -80,10 +85,13 @@ def companies(spark: SparkSession, d: str) -> DataFrame:
 
 def energy_contracts(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
+    power = F.col("o_orderkey") % 2 == 0
     status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "suspended").otherwise("terminated")
     return read_table(spark, d, "orders").select(
         F.col("o_orderkey").alias("contract_id"), F.col("o_custkey").alias("company_id"),
-        F.when(F.col("o_orderkey") % 2 == 0, "electricity").otherwise("gas").alias("commodity_type"), day.alias("activation_date"),
+        F.when(power, "electricity").otherwise("gas").alias("commodity_type"), F.when(F.col("o_orderkey") % 5 == 0, "regulated").otherwise("free").alias("market_type"),
+        F.when(power, F.when(F.col("o_orderkey") % 6 == 0, "Medium ").otherwise("Low")).alias("voltage_level"), F.when(~power, "low").alias("pressure_level"),
+        F.when(power, F.round(F.col("o_totalprice") / 1000, 2)).alias("power_committed_kw"), F.when(~power, F.concat(F.lit(" g"), (F.col("o_orderkey") % 9).cast("string"))).alias("gas_meter_class"), day.alias("activation_date"),
         status.alias("contract_status"), day.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
     )
 
@@ -102,7 +110,10 @@ def invoices(spark: SparkSession, d: str) -> DataFrame:
 def payments(spark: SparkSession, d: str) -> DataFrame:
     issue = F.col("l_shipdate").cast("date")
     identity = F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), issue.cast("string"))
-    return read_table(spark, d, "lineitem").where("l_returnflag = 'A'").select(identity.alias("invoice_id"), F.date_add(issue, F.col("l_quantity").cast("int")).alias("payment_date"), F.lit("completed").alias("payment_status"))
+    return read_table(spark, d, "lineitem").where("l_returnflag = 'A'").select(
+        identity.alias("invoice_id"), F.date_add(issue, F.col("l_quantity").cast("int")).alias("payment_date"), F.lit("completed").alias("payment_status"), F.col("l_extendedprice").cast(_D2).alias("amount_paid"),
+        F.concat(F.lit(" TX-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("transaction_reference"), F.when(F.col("l_linenumber") % 2 == 0, "Bank Transfer ").otherwise("card").alias("payment_method"),
+    )
 
 
 def financial_statements(spark: SparkSession, d: str) -> DataFrame:
@@ -128,4 +139,5 @@ def crm_support_tickets(spark: SparkSession, d: str) -> DataFrame:
 
 def user_web_logins(spark: SparkSession, d: str) -> DataFrame:
     events = read_table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
-    return events.select(F.col("event_id").alias("login_id"), F.col("user_id").alias("company_id"), F.col("ts").cast("timestamp").alias("login_timestamp"))
+    return events.select(F.col("event_id").alias("login_id"), F.col("user_id").alias("company_id"), F.col("ts").cast("timestamp").alias("login_timestamp"),
+        F.concat_ws(".", F.lit("10"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("1")).alias("ip_address"), F.when(F.col("event_type") == "click", "Desktop ").otherwise("mobile").alias("device_type"))
