@@ -29,38 +29,38 @@ def accepted_range(column: str, low=None, high=None) -> dict[str, Column]:
     return {f"accepted_range_{column}": reduce(lambda a, b: a | b, bad)}
 
 
-def _named(name: str, df: DataFrame) -> DataFrame:
+def named(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").cast("long").alias("violations")).select(F.lit(name).alias("rule"), "violations")
 
 
 def unique(df: DataFrame, *columns: str, where: str | None = None) -> DataFrame:
     rows = df.where(where) if where else df
-    return _named(f"unique_{'_'.join(columns)}", rows.groupBy(*columns).count().where("count > 1"))
+    return named(f"unique_{'_'.join(columns)}", rows.groupBy(*columns).count().where("count > 1"))
 
 
 def relationship(df: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:
     keys = other.select(F.col(key).alias("_key")).distinct()
-    return _named(f"relationship_{column}", df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_key"), "left_anti"))
+    return named(f"relationship_{column}", df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_key"), "left_anti"))
 
 
 def no_overlap(df: DataFrame, key: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Versions of a key whose intervals overlap an earlier one (a running maximum, no self join)."""
     stop = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
     before = Window.partitionBy(key).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
-    return _named(f"no_overlap_{key}", df.withColumn("_before", F.max(stop).over(before)).where(F.col(start) < F.col("_before")))
+    return named(f"no_overlap_{key}", df.withColumn("_before", F.max(stop).over(before)).where(F.col(start) < F.col("_before")))
 
 
 def no_month_gaps(df: DataFrame, key: str, month: str) -> DataFrame:
     """Keys whose months aren't consecutive."""
     index = F.year(month) * 12 + F.month(month)
     spans = df.groupBy(key).agg(F.countDistinct(month).alias("n"), (F.max(index) - F.min(index) + 1).alias("span"))
-    return _named(f"no_month_gaps_{month}", spans.where("n <> span"))
+    return named(f"no_month_gaps_{month}", spans.where("n <> span"))
 
 
 def no_day_gaps(df: DataFrame, day: str) -> DataFrame:
     span = df.agg(F.countDistinct(day).alias("n"), (F.datediff(F.max(day), F.min(day)) + 1).alias("span"))
-    return _named(f"no_day_gaps_{day}", span.where("n <> span"))
+    return named(f"no_day_gaps_{day}", span.where("n <> span"))
 
 
 def dropped_rows(spine: DataFrame, fact: DataFrame, *keys: str) -> DataFrame:
-    return _named("no_dropped_spine_rows", spine.join(fact.select(*keys), list(keys), "left_anti"))
+    return named("no_dropped_spine_rows", spine.join(fact.select(*keys), list(keys), "left_anti"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import surrogate_key
+from . import quality_queries as qq
 from .operators import ml, quality, retrieval, temporal, validation
 from .plans import models as m
 from .sources import generator
@@ -296,7 +297,8 @@ def ml_one_hot(spark, d):
     return ml.one_hot(m.stg_companies(spark, d).select("company_id", "industry_sector"), "industry_sector", ["building", "machinery"]).drop("industry_sector")
 
 
-@query("""SELECT company_id, snapshot_date, round((debt - (SELECT avg(debt) FROM billing)) / (SELECT stddev_pop(debt) FROM billing), 4) + 0.0 AS debt FROM billing""")
+@query(""", stats AS MATERIALIZED (SELECT avg(debt) AS mean, stddev_pop(debt) AS deviation FROM billing)
+SELECT company_id, snapshot_date, round((debt - mean) / deviation, 4) + 0.0 AS debt FROM billing, stats""")
 def ml_scaled(spark, d):
     b = billing_trailing(spark, d).select("company_id", "snapshot_date", "debt")
     return ml.scale(b, b, ["debt"]).withColumn("debt", F.round("debt", 4) + F.lit(0.0))
@@ -407,3 +409,58 @@ def synthetic_tickets(spark, d):
 @query()
 def synthetic_logins(spark, d):
     return generator.web_logins(spark, 1000)
+
+
+@query(qq.VERSIONS_RESOLVED_SQL)
+def versions_resolved(spark, d):
+    return qq.versions_resolved(spark, d)
+
+
+@query(qq.CONTRACT_VERSIONS_SQL)
+def contract_versions_asof(spark, d):
+    return qq.contract_versions_asof(spark, d)
+
+
+@query(qq.model_rules_sql(False))
+def quality_models(spark, d):
+    return qq.model_rules(spark, d, broken=False)
+
+
+@query(qq.model_rules_sql(True))
+def quality_models_broken(spark, d):
+    return qq.model_rules(spark, d, broken=True)
+
+
+@query(qq.declared_rules_sql())
+def quality_declared(spark, d):
+    return qq.declared_rules(spark, d)
+
+
+@query("""SELECT o_orderkey AS contract_id, o_custkey AS company_id, CASE WHEN o_orderkey % 2 = 0 THEN 'electricity' ELSE 'gas' END AS commodity_type,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'regulated' ELSE 'free' END AS market_type, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'medium' ELSE 'low' END END AS voltage_level,
+  CASE WHEN o_orderkey % 2 = 1 THEN 'low' END AS pressure_level, CASE WHEN o_orderkey % 2 = 1 THEN 'G' || CAST(o_orderkey % 9 AS VARCHAR) END AS gas_meter_class FROM orders""")
+def stg_energy_contracts(spark, d):
+    return m.stg_energy_contracts(spark, d).select("contract_id", "company_id", "commodity_type", "market_type", "voltage_level", "pressure_level", "gas_meter_class")
+
+
+@query("""SELECT 'TX-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS transaction_reference, CASE WHEN l_linenumber % 2 = 0 THEN 'bank transfer' ELSE 'card' END AS payment_method,
+  'completed' AS payment_status, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE) AS amount_paid, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS payment_date FROM lineitem WHERE l_returnflag = 'A'""")
+def stg_payments(spark, d):
+    return m.stg_payments(spark, d).select("transaction_reference", "payment_method", "payment_status", F.col("amount_paid").cast("double").alias("amount_paid"), "payment_date")
+
+
+@query("""SELECT event_id AS ticket_id, user_id AS company_id, CASE WHEN event_type = 'error' THEN 'billing' ELSE 'technical' END AS ticket_category,
+  CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 72 AS DOUBLE) END AS hours, CASE WHEN event_id % 3 <> 0 THEN round((event_id % 72) / 24.0, 2) END AS days FROM events WHERE event_type IN ('error', 'signup')""")
+def stg_crm_support_tickets(spark, d):
+    return m.stg_tickets(spark, d).select("ticket_id", "company_id", "ticket_category", F.col("resolution_time_hours").cast("double").alias("hours"), F.col("resolution_time_days").cast("double").alias("days"))
+
+
+@query("""SELECT event_id AS login_id, user_id AS company_id, CASE WHEN event_type = 'click' THEN 'desktop' ELSE 'mobile' END AS device_type,
+  '10.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR) || '.1' AS ip_address FROM events WHERE event_type IN ('click', 'view')""")
+def stg_user_web_logins(spark, d):
+    return m.stg_user_web_logins(spark, d).select("login_id", "company_id", "device_type", "ip_address")
+
+
+@query("""SELECT CAST(l_orderkey AS BIGINT) AS contract_id, CAST(l_shipdate AS DATE) + 20 AS due_date, CAST(20 AS INTEGER) AS payment_term_days FROM lineitem""")
+def stg_invoices(spark, d):
+    return m.stg_invoices(spark, d).select("contract_id", "due_date", "payment_term_days")
