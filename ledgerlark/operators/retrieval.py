@@ -17,15 +17,31 @@ def nearest_by_cosine(vectors: DataFrame, query: list[float], k: int = 6) -> Dat
 
 
 def chunk_markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(chunk_id, key, index, chunk): cut before each line that opens a section (## or deeper)."""
-    parts = docs.select(key, F.posexplode(F.split(text, r"\n(?=#{2,} )")).alias("index", "chunk"))
-    return parts.select(F.concat_ws(":", F.lit("documents"), F.col(key).cast("string"), F.col("index").cast("string")).alias("chunk_id"), key, "index", "chunk").where(F.trim("chunk") != "")
-
-
-def chat_history(turns: DataFrame) -> DataFrame:
-    """conv_id, number of turns, and the last turn's role and text."""
-    last = F.max_by(F.struct("role", "text"), "turn")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), last.alias("_last")).select("conv_id", "n_turns", F.col("_last.role").alias("last_role"), F.col("_last.text").alias("last_text"))
+    """(chunk_id, key, name, index, chunk): sections by their header lines of two or four marks. A
+    `##` section goes to the next `##`; if it holds `####` sections these are chunks of their own,
+    and it keeps what stands before the first of them, unless that is the header alone. A `####`
+    section goes to the next header. Text before the first header is in no chunk. Null text has
+    none."""
+    parts = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=##(?:##)? [^\n]*\S)")
+    pieces = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.btrim(p, F.lit(" \n\t\r\f\x0b")))
+    rows = docs.where(F.col(text).isNotNull()).select(key, pieces.alias("_pieces")).select(key, "_pieces", F.posexplode("_pieces").alias("_at", "chunk"))
+    follows = F.get(F.col("_pieces"), F.col("_at") + 1)
+    parent = ~F.col("chunk").startswith("####") & F.coalesce(follows.startswith("####"), F.lit(False))
+    bare = ~F.col("chunk").contains("\n")
+    rows = rows.where(~(parent & bare)).withColumn("name", F.btrim(F.regexp_extract("chunk", r"^#+ ([^\n]*)", 1)))
+    rows = rows.withColumn("index", (F.row_number().over(Window.partitionBy(key).orderBy("_at")) - 1).cast("int"))
+    return rows.select(F.concat_ws(":", F.lit("documents"), F.col(key).cast("string"), F.col("name"), F.col("index").cast("string")).alias("chunk_id"), key, "name", "index", "chunk")
+
+
+def chat_history(turns: DataFrame, last: int = 6) -> DataFrame:
+    """conv_id, n_turns, and history: the last `last` turns in order as (turn, role, text), ties by
+    role and text. Ranked within a conversation before they are gathered, so a list has at most
+    `last` entries."""
+    along = Window.partitionBy("conv_id")
+    order = along.orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    rows = turns.withColumns({"_rank": F.row_number().over(order), "n_turns": F.count("*").over(along)}).where(F.col("_rank") <= last)
+    listed = rows.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct(-F.col("_rank").alias("_o"), "turn", "role", "text"))).alias("_h"))
+    return listed.select("conv_id", "n_turns", F.transform("_h", lambda h: F.struct(h["turn"].alias("turn"), h["role"].alias("role"), h["text"].alias("text"))).alias("history"))
 
 
 def resolve_identifiers(requests: DataFrame, companies: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions.keys import surrogate_key
 from . import quality_queries as qq
-from .operators import ml, quality, retrieval, temporal, validation
+from .operators import ml, quality, retrieval, temporal, training, validation
 from .plans import models as m
+from .session import work_folder
 from .sources import generator
 from .sources import tables as src
 from .streaming import logins as streaming
@@ -71,6 +72,15 @@ label AS (
 statements AS (
   SELECT o_custkey AS company_id, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(15,2)) AS revenue, count(*) AS n
   FROM orders GROUP BY 1, 2),
+ratios AS (
+  SELECT company_id, fiscal_year, CAST(CAST(revenue * 0.10 AS DECIMAL(15,2)) AS DOUBLE) AS ebitda, round(CASE WHEN n % 4 = 0 THEN 0 ELSE debt / nullif(capital, 0) END, 4) AS leverage_ratio,
+    CASE WHEN n % 4 <> 0 AND debt > 0 THEN round(cash / debt, 4) END AS cash_to_debt_ratio, round(CASE WHEN n % 3 = 0 THEN -1 ELSE 1 END * income / nullif(CAST(revenue AS DOUBLE), 0), 4) AS net_profit_margin
+  FROM (SELECT *, CAST(CAST(revenue * 0.30 AS DECIMAL(15,2)) AS DOUBLE) AS debt, CAST(CAST(revenue * 0.25 AS DECIMAL(15,2)) AS DOUBLE) AS capital, CAST(CAST(revenue * 0.08 AS DECIMAL(15,2)) AS DOUBLE) AS cash,
+    CAST(CAST(revenue * 0.05 AS DECIMAL(15,2)) AS DOUBLE) AS income FROM statements)),
+financial AS (
+  SELECT s.company_id, s.snapshot_date, max(f.fiscal_year) AS fiscal_year, arg_max(ebitda, fiscal_year) AS ebitda, arg_max(leverage_ratio, fiscal_year) AS leverage_ratio,
+    arg_max(coalesce(cash_to_debt_ratio, -1e9), fiscal_year) AS cash_to_debt_ratio, arg_max(net_profit_margin, fiscal_year) AS net_profit_margin
+  FROM spine s LEFT JOIN ratios f ON f.company_id = s.company_id AND make_date(f.fiscal_year + 1, 6, 30) <= s.snapshot_date GROUP BY 1, 2),
 logins AS (SELECT user_id AS company_id, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('click', 'view')),
 login_features AS (
   SELECT s.company_id, s.snapshot_date, CAST(date_diff('day', max(l.day), s.snapshot_date) AS INTEGER) AS days_since_last_login,
@@ -125,10 +135,10 @@ def stg_financial_statements(spark, d):
     return f.select("company_id", F.col("fiscal_year").cast("int").alias("fiscal_year"), F.col("revenue").cast("double").alias("revenue"), "available_from", F.round(F.col("leverage_ratio").cast("double"), 4).alias("leverage_ratio"))
 
 
-@query("""SELECT s.company_id, s.snapshot_date, max(f.fiscal_year) AS fiscal_year FROM spine s
-  LEFT JOIN statements f ON f.company_id = s.company_id AND make_date(f.fiscal_year + 1, 6, 30) <= s.snapshot_date GROUP BY 1, 2""")
+@query("SELECT company_id, snapshot_date, fiscal_year, ebitda, leverage_ratio, nullif(cash_to_debt_ratio, -1e9) AS cash_to_debt_ratio, net_profit_margin FROM financial")
 def financial_asof(spark, d):
-    return m.financial_asof(spark, d).select("company_id", "snapshot_date", F.col("fiscal_year").cast("int").alias("fiscal_year"))
+    ratios = ("leverage_ratio", "cash_to_debt_ratio", "net_profit_margin")
+    return m.financial_asof(spark, d).select("company_id", "snapshot_date", F.col("fiscal_year").cast("int").alias("fiscal_year"), F.col("ebitda").cast("double").alias("ebitda"), *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ratios))
 
 
 @query("SELECT s.company_id, s.snapshot_date, CAST(date_diff('day', foundation_date, s.snapshot_date) AS INTEGER) AS company_age_days FROM spine s JOIN companies c USING (company_id) WHERE s.snapshot_date >= foundation_date")
@@ -166,16 +176,21 @@ def dim_companies(spark, d):
 _FACT = """SELECT r.company_id, r.snapshot_date, CAST(date_diff('day', c.foundation_date, r.snapshot_date) AS INTEGER) AS company_age_days,
   md5(CAST(r.company_id AS VARCHAR) || '-' || CAST(c.foundation_date AS VARCHAR)) AS company_key,
   coalesce(a.active_contracts_count, 0) AS active_contracts_count, coalesce(a.has_active_gas_contract, false) AS has_active_gas_contract,
+  coalesce(a.has_active_electricity_contract, false) AS has_active_electricity_contract, md5(CAST(r.company_id AS VARCHAR) || '-' || CAST(r.snapshot_date AS VARCHAR)) AS profile_key,
+  f.ebitda, f.leverage_ratio, nullif(f.cash_to_debt_ratio, -1e9) AS cash_to_debt_ratio, f.net_profit_margin, coalesce(b.avg_dpd, 0) AS avg_dpd, l.login_velocity,
   coalesce(b.max_dpd, 0) AS max_dpd, coalesce(b.unpaid_ratio, 0) AS unpaid_ratio, coalesce(b.debt, 0) AS debt, l.days_since_last_login,
   coalesce(t.billing_disputes_count, 0) AS billing_disputes_count, t.average_satisfaction_score, CASE WHEN coalesce(b.max_dpd, 0) >= 90 THEN 1 ELSE 0 END AS is_insolvent
   FROM spine r JOIN companies c ON c.company_id = r.company_id AND r.snapshot_date >= c.foundation_date
   LEFT JOIN active a ON a.company_id = r.company_id AND a.snapshot_date = r.snapshot_date LEFT JOIN billing b ON b.company_id = r.company_id AND b.snapshot_date = r.snapshot_date
+  LEFT JOIN financial f ON f.company_id = r.company_id AND f.snapshot_date = r.snapshot_date
   LEFT JOIN login_features l ON l.company_id = r.company_id AND l.snapshot_date = r.snapshot_date LEFT JOIN ticket_features t ON t.company_id = r.company_id AND t.snapshot_date = r.snapshot_date"""
 
 
 def _fact_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "company_id", "snapshot_date", F.col("company_age_days").cast("int").alias("company_age_days"), "company_key", "active_contracts_count", "has_active_gas_contract",
+        "has_active_electricity_contract", "profile_key", F.col("ebitda").cast("double").alias("ebitda"), *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "login_velocity")),
+        F.round(F.col("avg_dpd_trailing_90d").cast("double"), 2).alias("avg_dpd"),
         F.col("max_dpd_trailing_90d").cast("int").alias("max_dpd"), F.round(F.col("unpaid_ratio_trailing_90d").cast("double"), 4).alias("unpaid_ratio"),
         F.round(F.col("total_outstanding_debt").cast("double"), 2).alias("debt"), F.col("days_since_last_login").cast("int").alias("days_since_last_login"), "billing_disputes_count",
         F.round(F.col("average_satisfaction_score").cast("double"), 2).alias("average_satisfaction_score"), F.col("is_insolvent").cast("int").alias("is_insolvent"),
@@ -304,16 +319,57 @@ def ml_scaled(spark, d):
     return ml.scale(b, b, ["debt"]).withColumn("debt", F.round("debt", 4) + F.lit(0.0))
 
 
+_FEATURES = ("company_age_days", "active_contracts_count", "unpaid_ratio_trailing_90d", "days_since_last_login", "login_velocity", "leverage_ratio", "ebitda")
+
+
 @query()
 def ml_train_score(spark, d):
-    """Balanced ridge logistic regression on the star features, scored on the holdout."""
-    features = ["company_age_days", "active_contracts_count", "unpaid_ratio_trailing_90d", "days_since_last_login", "login_velocity", "leverage_ratio", "ebitda"]
-    rows = ml.missing_flags(m.star_features(spark, d, "2002-03-01"))
-    for c in features:
-        rows = rows.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    rows = ml.holdout(rows, "snapshot_date").persist()
-    model = ml.train(rows.where("not is_test"), features, "is_insolvent")
-    return ml.score(model, rows.where("is_test")).select("company_id", "snapshot_date", "is_insolvent", "y_pred_proba")
+    """Balanced ridge logistic regression on all star features before the holdout, scored on it."""
+    remaining, test, _ = training.combined_split(m.star_features(spark, d), "snapshot_date")
+    scorer, _ = training.final_fit(remaining, test, "is_insolvent", training.Preprocessor(("industry_sector",), _FEATURES), 0.5)
+    return scorer.score(test).select("company_id", "snapshot_date", "is_insolvent", "y_pred_proba", "y_pred")
+
+
+@query("""SELECT part, fold, count(*) AS months FROM (
+  SELECT 'test' AS part, CAST(NULL AS INTEGER) AS fold, s FROM (SELECT DISTINCT snapshot_date AS s FROM spine ORDER BY 1 DESC LIMIT 12)
+  UNION ALL SELECT CASE WHEN i < n - (5 - fold) * (n // 6) THEN 'train' ELSE 'validate' END, CAST(fold AS INTEGER), s FROM (
+    SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT snapshot_date AS s FROM spine) WHERE s < (SELECT min(x) FROM (SELECT DISTINCT snapshot_date AS x FROM spine ORDER BY 1 DESC LIMIT 12))), range(5) t(fold)
+  WHERE i < n - (5 - fold) * (n // 6) + n // 6) GROUP BY 1, 2""")
+def ml_combined_split(spark, d):
+    """Months of the holdout and of each fold's parts."""
+    remaining, test, folds = training.combined_split(m.company_date_spine(spark, d), "snapshot_date")
+    held = test.agg(F.count_distinct("snapshot_date").alias("months")).select(F.lit("test").alias("part"), F.lit(None).cast("int").alias("fold"), "months")
+    return held.unionByName(folds.groupBy("part", F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("months")))
+
+
+@query(""", rows_ AS (SELECT f.*, c.industry_sector AS sector FROM (""" + _FACT + """) f JOIN companies c USING (company_id)),
+cut AS (SELECT min(x) AS cut FROM (SELECT DISTINCT snapshot_date AS x FROM rows_ ORDER BY 1 DESC LIMIT 12)),
+ready AS (SELECT *, CASE WHEN sector = 'building' THEN 1.0 ELSE 0 END AS building, coalesce(days_since_last_login, -1.0) AS login, CASE WHEN days_since_last_login IS NULL THEN 0.0 ELSE 1 END AS known FROM rows_),
+stats AS MATERIALIZED (SELECT avg(debt) AS m1, stddev_pop(debt) AS s1, avg(login) AS m2, stddev_pop(login) AS s2, avg(building) AS m3, stddev_pop(building) AS s3, avg(known) AS m4, stddev_pop(known) AS s4 FROM ready, cut WHERE snapshot_date < cut)
+SELECT company_id, snapshot_date, round((debt - m1) / s1, 4) + 0.0 AS debt, round((login - m2) / coalesce(nullif(s2, 0), 1), 4) + 0.0 AS login, round((building - m3) / s3, 4) + 0.0 AS building,
+  round((known - m4) / coalesce(nullif(s4, 0), 1), 4) + 0.0 AS known FROM ready, cut, stats WHERE snapshot_date >= cut""")
+def ml_preprocessed_test(spark, d):
+    """Flags, categories and z-scores fitted on all rows before the holdout, applied to the holdout."""
+    remaining, test, _ = training.combined_split(m.star_features(spark, d), "snapshot_date")
+    own = training.Preprocessor(("industry_sector",), ("total_outstanding_debt", "days_since_last_login")).fit(remaining)
+    names = {"total_outstanding_debt": "debt", "days_since_last_login": "login", "industry_sector_building": "building", "has_logins": "known"}
+    return own.apply(test).select("company_id", "snapshot_date", *((F.round(c, 4) + F.lit(0.0)).alias(n) for c, n in names.items()))
+
+
+@query("""SELECT score AS threshold, round(fp / neg, 6) AS false_positive_rate, round(tp / pos, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM curve""")
+def ml_curve_points(spark, d):
+    points = ml.curve_points(_scored(spark, d), "y", "p")
+    return points.select("threshold", *(F.round(c, 6).alias(c) for c in ("false_positive_rate", "recall", "precision")))
+
+
+@query()
+def ml_cross_validation(spark, d):
+    """Metrics per fold of a small model on orders: preprocessing and model are fitted per fold."""
+    k = F.col("o_orderkey")
+    rows = src.read_table(spark, d, "orders").select(F.trunc("o_orderdate", "MM").alias("month"), "o_totalprice", (k % 7).alias("k7"), F.when((F.col("o_totalprice") > 250_000) | (k % 11 == 0), 1).otherwise(0).alias("y"))
+    remaining, _, folds = training.combined_split(rows, "month")
+    metrics, _ = training.cross_validate(remaining, folds, "month", "y", training.Preprocessor((), ("o_totalprice", "k7"), handle_missing=False))
+    return metrics.select("fold", "size", "tn", "fp", "fn", "tp", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "auc_roc", "average_precision")))
 
 
 @query("""SELECT vec_id, round(1 - list_sum(list_transform(list_zip(e, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x)))), 5) + 0.0 AS distance
@@ -324,14 +380,26 @@ def nearest_chunks(spark, d):
     return retrieval.nearest_by_cosine(vectors, query_vector).withColumn("distance", F.round("distance", 5) + F.lit(0.0))
 
 
-@query("SELECT conv_id, count(*) AS n_turns, arg_max(role, turn) AS last_role, arg_max(text, turn) AS last_text FROM conversations GROUP BY 1")
+@query("""SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) FILTER (rn <= 6) AS history FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)) GROUP BY 1""")
 def chat_history(spark, d):
-    return retrieval.chat_history(src.read_table(spark, d, "conversations"))
+    turns = src.read_table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    lines = F.transform("history", lambda h: F.concat(h["role"], F.lit(": "), h["text"]))
+    return retrieval.chat_history(turns).select("conv_id", "n_turns", F.concat_ws("\n", lines).alias("history"))
+
+
+_MARKDOWN = "{line}intro{line}## Page {id} {line}about{line}#### First {line}one{line}#### Second{line}two{line}## Bare{line}#### Only{line}text {id}{line}## Last{line}end"
 
 
-@query("""SELECT 'documents:' || CAST(doc_id AS VARCHAR) || ':0' AS chunk_id, doc_id, CAST(0 AS INTEGER) AS index FROM documents WHERE NOT regexp_matches(text, '\\n##+ ') AND trim(text) <> ''""")
+@query("""SELECT 'documents:' || CAST(o_custkey AS VARCHAR) || ':' || name || ':' || CAST(i AS VARCHAR) AS chunk_id, o_custkey AS id, name, CAST(i AS INTEGER) AS index, replace(chunk, '@', CAST(o_custkey AS VARCHAR)) AS chunk
+  FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES (0, 'Page', '## Page @ ' || chr(10) || 'about'), (1, 'First', '#### First ' || chr(10) || 'one'), (2, 'Second', '#### Second' || chr(10) || 'two'),
+    (3, 'Only', '#### Only' || chr(10) || 'text @'), (4, 'Last', '## Last' || chr(10) || 'end')) t(i, name0, chunk), LATERAL (SELECT CASE WHEN i = 0 THEN 'Page ' || CAST(o_custkey AS VARCHAR) ELSE name0 END AS name)""")
 def markdown_chunks(spark, d):
-    return retrieval.chunk_markdown(src.read_table(spark, d, "documents"), "doc_id", "text").select("chunk_id", "doc_id", "index")
+    """Chunks of a page per customer: sections with children and intro, without intro, plain ones."""
+    pieces = _MARKDOWN.replace("{line}", "\n").split("{id}")
+    text = F.concat(*(x for k, p in enumerate(pieces) for x in ([F.col("id").cast("string")] if k else []) + [F.lit(p)]))
+    pages = src.read_table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().withColumn("text", text)
+    return retrieval.chunk_markdown(pages, "id", "text")
 
 
 @query("""SELECT identifier, c.company_id, CASE WHEN c.company_id IS NULL THEN 'not_found' ELSE 'found' END AS status
@@ -345,7 +413,7 @@ def identifier_lookup(spark, d):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, user_id, count(*) AS logins FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2")
 def streaming_login_counts(spark, d):
     """Extension: the counts as a stream, run over the whole table."""
-    out = streaming.run_to_memory(spark, d, f"login_counts_{abs(hash(d))}")
+    out = streaming.run_to_table(spark, d, work_folder(spark))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -13,10 +13,18 @@ def login_counts(stream: DataFrame, time: str = "ts", key: str = "user_id", wind
     return counts.select(F.col("window.start").alias("window_start"), key, "logins")
 
 
-def run_to_memory(spark: SparkSession, folder: str, name: str, mode: str = "complete") -> DataFrame:
-    """Run the counts over an event folder once and give the sink's table."""
+def run_to_table(spark: SparkSession, folder: str, out: str, late: str = "2 days") -> DataFrame:
+    """Run the counts over an event folder, as far as it goes, and give the table of counts. Batches
+    write the windows that they changed as Parquet (update mode, so state closes with the watermark
+    and nothing is gathered in the driver); a window's last count holds. A batch that runs again
+    after a failure replaces its own folder."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    query = login_counts(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/counts/batch={batch}")
+
+    query = login_counts(stream, late=late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    counts = spark.read.parquet(f"{out}/counts")
+    return counts.groupBy("window_start", "user_id").agg(F.max_by("logins", "batch").alias("logins"))
