@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from .operators import leakage, quality, temporal
 from .plans import models as m
 
-COMPANY = F.col("company_id")
-
 
 def company_versions(spark: SparkSession, d: str) -> DataFrame:
     """Companies with closed versions: every third changes its name 500 days after its foundation,
     others of every tenth end after 900 days."""
     c = m.stg_companies(spark, d).select("company_id", "legal_name", "foundation_date")
-    end = F.when(COMPANY % 3 == 0, F.date_add("foundation_date", 500)).when(COMPANY % 10 == 1, F.date_add("foundation_date", 900))
+    end = F.when(F.col("company_id") % 3 == 0, F.date_add("foundation_date", 500)).when(F.col("company_id") % 10 == 1, F.date_add("foundation_date", 900))
     one = c.withColumns({"valid_from": F.col("foundation_date"), "valid_to": end})
-    two = c.where(COMPANY % 3 == 0).withColumns({"legal_name": F.concat("legal_name", F.lit(" II")), "valid_from": F.date_add("foundation_date", 500), "valid_to": F.lit(None).cast("date")})
+    two = c.where(F.col("company_id") % 3 == 0).withColumns({"legal_name": F.concat("legal_name", F.lit(" II")), "valid_from": F.date_add("foundation_date", 500), "valid_to": F.lit(None).cast("date")})
     return one.unionByName(two)
 
 
@@ -62,8 +60,8 @@ GROUP BY 1, 2"""
 
 def model_rules(spark: SparkSession, d: str, broken: bool) -> DataFrame:
     """(rule, violations) of all leakage and consistency rules."""
-    bad = (COMPANY % 50 == 0) if broken else F.lit(False)
-    worse = (COMPANY % 50 == 7) if broken else F.lit(False)
+    bad = (F.col("company_id") % 50 == 0) if broken else F.lit(False)
+    worse = (F.col("company_id") % 50 == 7) if broken else F.lit(False)
     keys = leakage.KEYS
     spine = m.company_date_spine(spark, d)
     billing = m.billing_trailing(spark, d).select(

@@ -58,6 +58,32 @@ def test_valid_to_is_excluded_and_latest_wins(spark):
     assert got == {date(2024, 1, 1): 2022, date(2024, 2, 1): 2023}
 
 
+def test_facts_and_versions_without_order_of_dates(spark):
+    """A fact of a larger order that is available earlier, a late one, versions that end as they begin."""
+    spine = spark.createDataFrame([(k, date(2024, m, 1)) for k in (1, 2) for m in range(1, 7)], "k int, snapshot_date date")
+    facts = spark.createDataFrame([(1, 2021, date(2024, 4, 1)), (1, 2022, date(2024, 2, 15)), (1, 2023, date(2030, 1, 1))], "k int, year int, available date")
+    got = {(r.k, r.snapshot_date.month): r.year for r in temporal.latest_at(spine, facts, "k", "available", "year").collect()}
+    assert got == {(k, m): 2022 if k == 1 and m > 2 else None for k in (1, 2) for m in range(1, 7)}
+    versions = spark.createDataFrame([(1, date(2023, 5, 9), date(2024, 3, 1)), (1, date(2024, 2, 1), None), (1, date(2024, 4, 2), date(2024, 4, 2)), (2, date(2024, 5, 20), None)], "k int, start date, valid_to date")
+    got = {(r.k, r.snapshot_date.month): r.n for r in temporal.running_counts(spine, versions, "k", "start", {"n": F.lit(True)}).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 1, (1, 4): 1, (1, 5): 1, (1, 6): 1, (2, 6): 1}
+
+
+def test_broken_models_break_every_rule(spark):
+    rows = {r.rule: r.violations for r in QUERIES["quality_models_broken"](spark, DATA).collect()}
+    assert len(rows) == 18 and sum(n > 0 for n in rows.values()) >= 14, rows
+
+
+def test_curve_over_partitions(spark):
+    import random
+
+    draw = random.Random(5)
+    pairs = [(int(draw.random() < 0.3), round(draw.random(), 3)) for _ in range(3000)]
+    got = {r.score: (r.tp, r.fp, r.tp_before, r.fp_before) for r in ml.curve(spark.createDataFrame(pairs, "y int, p double"), "y", "p").collect()}
+    for score in list(got)[::97]:
+        assert got[score] == (sum(y for y, p in pairs if p >= score), sum(1 - y for y, p in pairs if p >= score), sum(y for y, p in pairs if p > score), sum(1 - y for y, p in pairs if p > score))
+
+
 def test_metric_fixture(spark):
     rows = spark.createDataFrame(list(zip([0, 0, 0, 0, 0, 0, 1, 1], [0.05, 0.10, 0.20, 0.55, 0.15, 0.30, 0.90, 0.40], strict=True)), "y int, p double")
     r = ml.confusion(rows, "y", "p").first()
@@ -84,6 +110,11 @@ def test_extract_and_restore(spark, tmp_path):
     assert tables.extract_table(rows, str(tmp_path), "companies")
     assert not tables.extract_table(rows.limit(0), str(tmp_path), "payments")
     assert tables.read_table(spark, str(tmp_path), "payments", rows.schema).count() == 0
+    assert not (tmp_path / "payments.parquet").exists()
+    done = tables.restore_tables(spark, str(tmp_path), "restored", {"payments": rows.schema, "companies": rows.schema})
+    assert done == ["companies", "payments"] and spark.table("restored.payments").count() == 0
+    assert {r.x for r in spark.table("restored.companies").collect()} == {None, 3.0}  # NaN becomes null
+    spark.sql("DROP DATABASE restored CASCADE")
 
 
 def test_entry_points():
