@@ -30,8 +30,13 @@ _TOKEN = re.compile(r"\w+")
 SAMPLE_DOCS = 12_000
 #: Lengths of the prefixes that can be cues.
 PREFIXES = (4, 5, 6, 7, 8)
-#: A cue's least share of the toxic documents, its least number of them and its least log odds.
-LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.01, 3, 2.5
+#: A cue's least number of toxic documents and its least log odds against the sample's own rate,
+#: alike at every sample size. The odds are smoothed by PRIOR_DOCS documents at that rate, so words
+#: of a few documents must stand in toxic ones only.
+LEAST_DOCS, LEAST_ODDS, PRIOR_DOCS = 3, 2.5, 2.0
+#: Cues kept at most (the highest odds, then by code point), which bounds what the driver collects
+#: and each task gets. Part of the fit on the bounded sample, not of the scoring.
+MAX_CUES = 50_000
 #: Tokens of context on either side of a cue, and tokens of a chain at most (a longer run of cues
 #: goes on in another chain).
 CONTEXT, CHAIN = 5, 256
@@ -242,10 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
 
     tallied = rows.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature")
     tallied = tallied.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    least = max(LEAST_DOCS, int(np.ceil(LEAST_SHARE * bad)))
-    # at most (features of a document) / LEAST_SHARE cues can reach the least share
-    found = tallied.withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= LEAST_ODDS)).orderBy("feature").collect()
+    rate = bad / (bad + good)
+    smooth = (F.col("bad") + PRIOR_DOCS * rate) / (F.col("good") + PRIOR_DOCS * (1 - rate))
+    tallied = tallied.withColumn("odds", F.log(smooth * (good / bad)))
+    strong = tallied.where((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
+    found = sorted(strong.orderBy(F.desc("odds"), "feature").limit(MAX_CUES).collect(), key=lambda r: r["feature"])
     model = Field(cues=[r["feature"] for r in found], odds=[r["odds"] for r in found])
     if not model.cues:
         model.none = (bad + 0.5) / (bad + good + 1)

@@ -1,6 +1,7 @@
 """Operators on small fixtures: nulls, empty texts and tables, ties, repeated rows, clashing names."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -169,6 +170,26 @@ def test_field_marginals_and_gradient_by_enumeration():
     assert odds[[0, 2]] == pytest.approx([np.log((1 - c) / c) for c in (clean[0], clean[2])]) and np.isneginf(odds[1])
 
 
+def test_toxicity_finds_rare_words(spark):
+    """Words that each stand in under 1 % of the toxic documents (one document in ten) are cues all the same."""
+    pick = random.Random(5)
+    made = lambda: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    plain, vile = [made() for _ in range(400)], [made() for _ in range(130)]
+    rows, marks = [], []
+    for i in range(9000):
+        words = pick.choices(plain, k=30)
+        if i % 10 == 0:
+            words[pick.randrange(30)] = vile[i // 10 % 130]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 10 == 0)))
+    found = toxicity.verdicts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    held = {r["doc_id"]: r["predicted"] for r in found if r["held_out"]}
+    learnt = Counter(i // 10 % 130 for i in range(0, 9000, 10) if i not in held)
+    taught = [i for i in held if i % 10 == 0 and learnt[i // 10 % 130] >= toxicity.LEAST_DOCS]
+    assert len(taught) > 150 and all(held[i] for i in taught)
+    assert sum(p for i, p in held.items() if i % 10) <= 0.01 * len(held)
+
+
 def test_toxicity_of_odd_rows(spark):
     """Reruns agree, repeated rows score alike, columns of the added names are replaced."""
     rows = [(i, f"plain{i % 7} words{i % 5} " + ("vilefool" if i % 3 == 0 else "kind") * 1 + f" rest{i % 11}") for i in range(60)]
