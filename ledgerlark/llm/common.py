@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
@@ -128,3 +128,31 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20):
 def row_hash(*columns, seed: int = 0):
     """Seeded 64-bit hash of columns."""
     return F.xxhash64(*columns, F.lit(seed))
+
+
+def placed(rows: DataFrame, order: list, into: str, within: str | None = None, count: str | None = None) -> DataFrame:
+    """Adds `into` (long): each row's place, from 0, in the order of the columns, among the rows with
+    the same value of `within` (null not allowed; None: among all), and `count`: how many rows these
+    are. Rows are dealt by ranges of (within, order), so that a value of `within` that holds most
+    rows is cut; only a row per range and value is summed up before the places are numbered within
+    each range. The ranged rows are written: a range sampled again after a loss could differ. Rows
+    that agree in the whole order are told apart by where they were read, so they spread as well.
+    The names _part, _at, _group (but for `within`), _first and _all are taken."""
+    if taken := {"_part", "_at", "_first", "_all", "_group"} & set(rows.columns) - {within}:
+        raise ValueError(f"columns {sorted(taken)} can't be placed")
+    spark = rows.sparkSession
+    group = F.col(within) if within else F.lit("")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumns({"_group": group, "_at": F.monotonically_increasing_id()})
+    dealt = materialise(dealt.repartitionByRange(parts, "_group", *order, "_at").withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_group", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("_group")).alias("_all"))
+    inside = Window.partitionBy("_group", "_part").orderBy(*order, "_at")
+    out = dealt.withColumn("_at", F.row_number().over(inside) - 1).join(few(sums), ["_group", "_part"])
+    out = out.withColumn(into, (F.col("_first") + F.col("_at")).cast("long"))
+    if count:
+        out = out.withColumn(count, F.col("_all").cast("long"))
+    out = out.select(*rows.columns, into, *([count] if count else []))
+    out._behind = dealt
+    return out

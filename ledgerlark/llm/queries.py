@@ -8,16 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hilbert_shards, line_dedup, mixing, mtree_search, ngram_join, quality_rules, sentencepiece_codec, toxicity, url_filter
+from . import bpe_codec, chat_format, hilbert_shards, importance, line_dedup, merkle, mixing, mtree_search, ngram_join, quality_rules, sentencepiece_codec, toxicity, url_filter
 from .common import table
 
 MODEL = "piece_bpe_32k.model"
+WORD_MODEL = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = MODEL) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(MODEL)
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +66,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(WORD_MODEL))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents", *merkle.FIELDS))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.verdicts(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_chat_format, op3_sentencepiece, op4_mixing, op5_toxicity, op6_quality_rules, op7_mtree_search, op8_hilbert_shards, op9_url_filter, op10_line_dedup)
-}
+    for f in (
+        op1_ngram_join, op2_chat_format, op3_sentencepiece, op4_mixing, op5_toxicity, op6_quality_rules, op7_mtree_search, op8_hilbert_shards, op9_url_filter, op10_line_dedup,
+        op11_bpe, op12_merkle, op13_importance,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mtree_search": mtree_search.ORACLE,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -119,3 +120,79 @@ def targets(sizes: dict[str | None, int], weights=(5, 2, 1), limit=3) -> dict[st
 
 def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def word_tokens(texts: list[str | None], path: str) -> list[tuple[list[int], str]]:
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    found = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [(ids, library.decode(ids, skip_special_tokens=False)) for ids in found]
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) per row (doc_id, source, lang,
+    n_chars, text), sorted; every level is built in full."""
+
+    def field(x) -> str:
+        return "-" if x is None else f"{len(str(x).encode())}:{x}"
+
+    def leaf_of(row) -> str:
+        return sha("".join(map(field, row)))
+
+    def levels(nodes: list[str]) -> list[list[str]]:
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 3])) for i in range(0, len(out[-1]), 3)])
+        return out
+
+    by = defaultdict(list)
+    for row in rows:
+        by[row[1]].append(row)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r)))
+        trees[s] = levels([leaf_of(r) for r in by[s]])
+    upper = levels([trees[s][-1][0] for s in names])
+    out = []
+    for at, s in enumerate(names):
+        for i, row in enumerate(by[s]):
+            steps = []
+            for tree, k in ((trees[s], i), (upper, at)):
+                for nodes in tree[:-1]:
+                    run = nodes[k - k % 3 : k - k % 3 + 3]
+                    steps.append((run[: k % 3], run[k % 3 + 1 :]))
+                    k //= 3
+            hit = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0
+            node = leaf_of((*row[:4], row[4].replace("\n", "") if hit and row[4] is not None else row[4]))
+            for left, right in steps:
+                node = sha("".join([*left, node, *right]))
+            root = upper[-1][0]
+            out.append((row[0], trees[s][0][i], trees[s][-1][0], root, sha("".join(x for a, b in steps for x in a + b)), node, node == root))
+    return sorted(out, key=str)
+
+
+def importance(rows: list[tuple[int | None, str | None]], target: list[str | None], longest: int = 1, buckets: int = 10000) -> list[tuple]:
+    """(doc_id, n_features, weight, score, rank) per document, sorted."""
+
+    def grams(text: str | None) -> tuple[int, list[str]]:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        return len(words), [" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+
+    place = lambda gram: zlib.crc32(gram.encode()) % buckets
+    s = Counter(place(g) for _, t in rows for g in grams(t)[1])
+    t = Counter(place(g) for x in target for g in grams(x)[1])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * float(all_s + buckets) / ((s[b] + 1) * float(all_t + buckets)))) for b in range(buckets)]
+    out = []
+    for doc_id, text in rows:
+        n, found = grams(text)
+        weight = sum(gain[place(g)] for g in found)
+        h = int(sha(f"2024:{'' if doc_id is None else doc_id}")[:8], 16)
+        out.append([doc_id, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n])
+    fit = sorted((r for r in out if r[4] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    drawn = {id(r): k + 1 for k, r in enumerate(fit[: 10 * len(fit) // 100])}
+    return sorted(((*r[:4], drawn.get(id(r))) for r in out), key=str)
