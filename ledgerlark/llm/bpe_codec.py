@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from pyspark.sql import types as T
 from .common import slices, texts_of
 
 #: Characters whose composed forms, lower case and classes are verified at load: Latin letters,
-#: dashes, quotes, bullets, the euro sign. None of them combines with its neighbours.
-COMMON = [*range(0x250), *range(0x2010, 0x2027), 0x20AC]
-_OTHER = re.compile("[^\\u0000-\\u024f\\u2010-\\u2026\\u20ac]")
-#: Words kept by a task, and the longest one that is kept.
-_CACHED_WORDS, _CACHED_CHARS = 300_000, 200
+#: dashes, quotes, bullets, the euro sign. None of them combines with its neighbours. U+001C to
+#: U+001F are white space to Python only.
+COMMON = [*range(0x1C), *range(0x20, 0x250), *range(0x2010, 0x2027), 0x20AC]
+_OTHER = re.compile("[^\\u0000-\\u001b\\u0020-\\u024f\\u2010-\\u2026\\u20ac]")
+#: Pieces of text and words whose ids a task keeps, and characters of either, before it starts anew.
+_KEPT_PIECES, _KEPT_WORDS, _KEPT_CHARS = 200_000, 400_000, 1 << 24
+#: Stands before words that are in byte letters; no text that is split here has it.
+_MARK = "\x1c"
 
 
 def byte_letters() -> list[str]:
@@ -80,16 +85,18 @@ class MergeModel:
         if any(t[k] for t in layout["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path}: added tokens must be taken as they stand")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.strings = [""] * (1 + max([*self.vocabulary.values(), *self.added.values()]))
+        strings = [""] * (1 + max([*self.vocabulary.values(), *self.added.values()]))
         for text, i in (*self.vocabulary.items(), *self.added.items()):
-            self.strings[i] = text
+            strings[i] = text
         decoder = (layout.get("decoder") or {}).get("type")
         if decoder not in (None, "ByteLevel"):
             raise ValueError(f"{path}: decoder {decoder} isn't known")
-        self.bytes_of = None
-        if decoder:
-            code = {x: b for b, x in enumerate(letters)}
-            self.bytes_of = [bytes(code[x] for x in s) if all(x in code for x in s) else s.encode() for s in self.strings]
+        self.spaced = decoder is None
+        code = {x: b for b, x in enumerate(letters)}
+        raw = [s.encode() + b" " if self.spaced else bytes(code[x] for x in s) if all(x in code for x in s) else s.encode() for s in strings]
+        self.byte_width = np.array([len(b) for b in raw], np.int64)
+        self.byte_start = np.cumsum(self.byte_width) - self.byte_width
+        self.byte_pool = np.frombuffer(b"".join(raw), np.uint8)
         self.words = self._common_words(layout)
 
     def _common_words(self, layout: dict):
@@ -102,7 +109,7 @@ class MergeModel:
         pattern = regex.compile(split["pattern"]["Regex"])
         for c in map(chr, COMMON):
             for text in (f"a{c}a", f"!{c}!", f"1{c} '{c}"):
-                if [self.lettered(w) for w in pattern.findall(text.lower())] != self.library_words(text):
+                if [self.lettered(w) for piece in text.split() for w in pattern.findall(piece.lower())] != self.library_words(text):
                     raise ValueError(f"words around U+{ord(c):04X} differ from the library's")
         return pattern
 
@@ -121,8 +128,7 @@ class MergeModel:
             symbols[-1] = self.vocabulary[word[-1] + self.suffix]
         n, pairs = len(symbols), self.pairs
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(*pairs[k], i) for i in range(n - 1) if (k := symbols[i] << 24 | symbols[i + 1]) in pairs]
-        queue = [(rank, i, made) for rank, made, i in queue]
+        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := pairs.get(symbols[i] << 24 | symbols[i + 1]))]
         heapify(queue)
         while queue:
             _, i, made = heappop(queue)
@@ -143,42 +149,116 @@ class MergeModel:
                 heappush(queue, (found[0], h, found[1]))
         return [s for s in symbols if s >= 0]
 
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Texts of the given numbers of ids: the vocabulary strings' bytes are gathered at once."""
+        if len(ids) and ids.min() < 0:
+            raise IndexError("ids can't be negative")
+        widths = self.byte_width[ids]
+        if self.spaced:  # none after the last
+            widths[np.cumsum(sizes)[sizes > 0] - 1] -= 1
+        raw = _gather(self.byte_pool, self.byte_start[ids], widths)
+        total = np.concatenate([[0], np.cumsum(widths)])
+        offsets = total[np.concatenate([[0], np.cumsum(sizes)])]
+        if self.spaced:
+            return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+        data = raw.tobytes()  # a text may end within a character
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+
 
 class _Words(dict):
-    """Word -> its ids, filled as words come up. Words that went through the library's splitter are
-    in byte letters already and are kept in a dictionary of their own."""
+    """Word -> its ids as the bytes of int32 values, merged when it first comes up."""
 
-    def __init__(self, model: MergeModel, lettered: bool):
+    def __init__(self, model: MergeModel):
         super().__init__()
-        self.merge, self.lettered = model.merge, None if lettered else model.lettered
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.merge(self.lettered(word) if self.lettered else word)
-        if len(word) <= _CACHED_CHARS:
-            if len(self) >= _CACHED_WORDS:
-                self.clear()
-            self[word] = ids
+        self.model, self.chars = model, 0
+
+    def __missing__(self, word: str) -> bytes:
+        model = self.model
+        ids = array("i", model.merge(word[1:] if word[0] == _MARK else model.lettered(word))).tobytes()
+        if len(self) >= _KEPT_WORDS or self.chars > _KEPT_CHARS:
+            self.clear()
+            self.chars = 0
+        self.chars += len(word)
+        self[word] = ids
         return ids
 
 
+class _Numbers(dict):
+    """Piece of text -> its number, in the order of first use; `fresh` has the ids of the new ones."""
+
+    def __init__(self, model: MergeModel, words: _Words):
+        super().__init__()
+        self.model, self.words, self.fresh, self.chars = model, words, [], 0
+
+    def __missing__(self, piece: str) -> int:
+        words = self.words
+        if piece[0] == _MARK:
+            ids = words[piece]
+        elif piece in self.model.added:
+            ids = array("i", [self.model.added[piece]]).tobytes()
+        else:
+            found = self.model.words.findall(piece.lower())
+            ids = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        self.fresh.append(ids)
+        self.chars += len(piece)
+        number = self[piece] = len(self)
+        return number
+
+
 class _Encoder:
-    def __init__(self, model: MergeModel):
-        self.model, self.own, self.library = model, _Words(model, False), _Words(model, True)
+    """Encodes runs of texts. Pieces between white space (no word crosses it), words from the
+    library's splitter (marked) and added tokens are encoded once and numbered; a text's ids are
+    gathered from a pool by its pieces' numbers."""
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.model.cut.split(text) if self.model.cut else [text]:
-            if part in self.model.added:
-                out.append(self.model.added[part])
-                continue
-            if self.model.words is not None and not _OTHER.search(part):
-                known, words = self.own, self.model.words.findall(part.lower())
+    def __init__(self, model: MergeModel):
+        self.model, self.words = model, _Words(model)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = _Numbers(self.model, self.words)
+        self.pool, self.start, self.width = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _pieces(self, text: str) -> list[str]:
+        model = self.model
+        if model.words is not None and not _OTHER.search(text) and not (model.added and model.cut.search(text)):
+            return text.split()
+        out = []
+        for part in model.cut.split(text) if model.added else [text]:
+            if part in model.added:
+                out.append(part)
+            elif model.words is not None and not _OTHER.search(part):
+                out += part.split()
             else:
-                known, words = self.library, self.model.library_words(part)
-            for word in words:
-                out += known[word]
+                out += [_MARK + w for w in model.library_words(part)]
         return out
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and each text's number of ids."""
+        if len(self.number) > _KEPT_PIECES or self.number.chars > _KEPT_CHARS:
+            self.clear()
+        pieces = [self._pieces(t) for t in texts]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+        if fresh := self.number.fresh:
+            widths = np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(widths) - widths])
+            self.width = np.concatenate([self.width, widths])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(fresh), np.int32)])
+            fresh.clear()
+        widths = self.width[which]
+        total = np.concatenate([[0], np.cumsum(widths)])
+        stops = np.cumsum(sizes)
+        return _gather(self.pool, self.start[which], widths), total[stops] - total[stops - sizes]
+
+    def ids(self, text: str) -> list[int]:
+        return self.encode([text])[0].tolist()
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """pool[start : start + width] of all pairs, one after another."""
+    ends = np.cumsum(width)
+    return pool[np.repeat(start - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
 
 def _extended(df: DataFrame, into: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
     kept = df.drop(into) if into in df.columns else df
@@ -197,9 +277,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
         encoder = _Encoder(MergeModel.load(path))
         for batch in batches:
             for rows in slices(batch, text, 1 << 20):
-                found = [np.array(encoder.ids(t), np.int32) for t in texts_of(rows.column(rows.schema.get_field_index(text)))]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
+                ids, sizes = encoder.encode(texts_of(rows.column(rows.schema.get_field_index(text))))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, into])
 
     return kept.mapInArrow(run, schema)
@@ -215,14 +295,9 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
         model = MergeModel.load(path)
         for batch in batches:
             for rows in slices(batch, ids, 1 << 18):
-                lists = [x or [] for x in rows.column(rows.schema.get_field_index(ids)).to_pylist()]
-                if any(x and min(x) < 0 for x in lists):
-                    raise ValueError("ids can't be negative")
-                if model.bytes_of is None:
-                    found = [" ".join(map(model.strings.__getitem__, x)) for x in lists]
-                else:
-                    found = [b"".join(map(model.bytes_of.__getitem__, x)).decode("utf-8", "replace") for x in lists]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string())], names=[*rows.schema.names, into])
+                lists = rows.column(rows.schema.get_field_index(ids))
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                yield pa.RecordBatch.from_arrays([*rows.columns, model.decode(np.asarray(lists.flatten(), np.int64), sizes)], names=[*rows.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
