@@ -3,6 +3,8 @@ capture of slowly changing dimensions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,39 @@ FAR = "9999-12-31"
 
 def monthly_spine(entities: DataFrame, key: str, start: str, as_of: str, end: str | None = None) -> DataFrame:
     """(key, snapshot_date): month starts from the month of `start` to the month of `as_of`, those
-    before `end` (null: open). Generated per row, without a join."""
+    before `end` (null: open). Generated per row, without a join; a row of a key gives only the
+    months that its earlier ones don't, so nothing has to be made distinct."""
     last = F.trunc(F.lit(as_of).cast("date"), "MM")
-    first = F.trunc(F.col(start), "MM")
-    rows = entities.where(first <= last).withColumn("snapshot_date", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
-    if end:
-        rows = rows.where(F.col("snapshot_date") < F.coalesce(F.col(end), F.lit(FAR).cast("date")))
-    return rows.select(key, "snapshot_date").distinct()
+    until = F.least(last, F.add_months(month_start_from(F.coalesce(F.col(end), F.lit(FAR).cast("date"))), -1)) if end else last
+    spans = entities.select(key, F.trunc(F.col(start), "MM").alias("_first"), until.alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_first", "_last").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_first", F.greatest("_first", F.add_months(F.max("_last").over(earlier), 1))).where("_first <= _last")
+    return spans.select(key, F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("snapshot_date"))
+
+
+def carried(rows: DataFrame, key: str, date: str, at: dict[str, DataFrame] | None = None, since: dict[str, tuple[DataFrame, dict[str, Column]]] | None = None) -> DataFrame:
+    """Merge as-of: rows with values of other tables, all of which have key and date.
+
+    at[name]: a table with one row per key and date at most; rows of the same key and date get the
+    rest of its columns as the struct `name` (null: none). since[name]: a table of changes and
+    aggregates of them (columns of struct `name`); a row gets each aggregate over the changes of its
+    key up to its own date, that day included. All tables are put one under another and ordered by
+    key and date once, so rows travel at most once, by key, and not at all if all tables are dealt
+    by key already. No pair of a row and a version is made."""
+    at, since = at or {}, since or {}
+    parts = {"_row": rows, **at, **{n: changes for n, (changes, _) in since.items()}}
+    packed = {n: df.select(key, date, F.struct(*(c for c in df.columns if c not in (key, date)), F.lit(True).alias("_is")).alias(n)) for n, df in parts.items()}
+    kinds = {n: df.schema[n].dataType for n, df in packed.items()}
+    every = [df.select(key, date, *(F.col(m) if m == n else F.lit(None).cast(kinds[m]).alias(m) for m in packed)) for n, df in packed.items()]
+    here, sofar = Window.partitionBy(key, date), Window.partitionBy(key).orderBy(date).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = reduce(DataFrame.unionByName, every)
+    if since:
+        merged = merged.select(key, date, "_row", *at, *(value.over(sofar).alias(c) for _, values in since.values() for c, value in values.items()))
+    if at:
+        merged = merged.withColumns({n: F.first(n, ignorenulls=True).over(here) for n in at})
+    own = [F.col(f"_row.{c}").alias(c) for c in rows.columns if c not in (key, date)]
+    added = [c for _, values in since.values() for c in values]
+    return merged.where(F.col("_row").isNotNull()).select(key, date, *own, *at, *added)
 
 
 def expand_trailing(events: DataFrame, day: Column, days: int) -> DataFrame:
@@ -37,37 +65,45 @@ def valid_at(spine: DataFrame, versions: DataFrame, key: str, start: str, valid_
     return spine.join(v, on, how).drop("_key", "_end")
 
 
-def latest_at(spine: DataFrame, facts: DataFrame, key: str, available: str, order: str, as_of: str | None = None) -> DataFrame:
+def latest_at(spine: DataFrame, facts: DataFrame, key: str, available: str, order: str) -> DataFrame:
     """Spine rows with the latest fact (largest `order`) available by snapshot_date, nulls if there
-    is none. A fact holds until one of a larger order is available, so each gets its months and
-    meets the spine once, on both keys: no product of months and facts. `as_of` is the last month
-    that the spine can hold (default: its own last one). Facts of the same key and order must agree."""
+    is none: the largest so far is carried along a key's dates. Facts of the same key and order must
+    agree."""
     values = [c for c in facts.columns if c != key]
-    last = F.lit(as_of if as_of else spine.agg(F.max("snapshot_date")).first()[0]).cast("date")
-    later = Window.partitionBy(key).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
-    held = facts.withColumn("_end", F.coalesce(F.date_sub(F.min(available).over(later), 1), last))
-    held = held.withColumns({"_first": month_start_from(F.col(available)), "_last": F.least("_end", last)}).where("_first <= _last")
-    months = held.select(F.col(key).alias("_key"), F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("_month"), *values)
-    months = months.dropDuplicates(["_key", "_month"])
-    return spine.join(months, (F.col(key) == F.col("_key")) & (F.col("snapshot_date") == F.col("_month")), "left").select(key, "snapshot_date", *values)
+    first = [order, *(c for c in values if c != order)]
+    changes = facts.withColumn("snapshot_date", F.col(available))
+    rows = carried(spine.select(key, "snapshot_date"), key, "snapshot_date", since={"_fact": (changes, {"_best": F.max(F.when(F.col("_fact").isNotNull(), F.struct(*(F.col(f"_fact.{c}").alias(c) for c in first))))})})
+    return rows.select(key, "snapshot_date", *(F.col(f"_best.{c}").alias(c) for c in values))
+
+
+def held_at(spine: DataFrame, versions: DataFrame, key: str, start: str, valid_to: str = "valid_to") -> DataFrame:
+    """Spine rows with the version that holds at snapshot_date (start <= s < valid_to, null: open), for
+    versions of a key that don't overlap: the latest begun is carried. Rows without one go."""
+    values = [c for c in versions.columns if c != key]
+    first = [start, *(c for c in values if c != start)]
+    changes = versions.withColumn("snapshot_date", F.col(start))
+    rows = carried(spine.select(key, "snapshot_date"), key, "snapshot_date", since={"_version": (changes, {"_held": F.max(F.when(F.col("_version").isNotNull(), F.struct(*(F.col(f"_version.{c}").alias(c) for c in first))))})})
+    rows = rows.where(F.col("_held").isNotNull() & (F.col(f"_held.{valid_to}").isNull() | (F.col("snapshot_date") < F.col(f"_held.{valid_to}"))))
+    return rows.select(key, "snapshot_date", *(F.col(f"_held.{c}").alias(c) for c in values))
+
+
+def version_changes(versions: DataFrame, key: str, start: str, counts: dict[str, Column], valid_to: str = "valid_to") -> DataFrame:
+    """(key, snapshot_date, counts): +1 for each true predicate in the first month that a version holds
+    in and -1 in the month that it no longer holds in. Their running sums count the versions."""
+    sized = versions.select(F.col(key), month_start_from(F.col(start)).alias("_from"), month_start_from(F.col(valid_to)).alias("_until"), *(F.coalesce(p, F.lit(False)).cast("long").alias(n) for n, p in counts.items()))
+    turns = F.array(F.struct(F.col("_from").alias("snapshot_date"), F.lit(1).alias("_sign")), F.struct(F.col("_until").alias("snapshot_date"), F.lit(-1).alias("_sign")))
+    changes = sized.where("_until is null or _from < _until").select(key, *counts, F.inline(turns)).where("snapshot_date is not null")
+    return changes.select(key, "snapshot_date", *((F.col(n) * F.col("_sign")).alias(n) for n in counts))
 
 
 def running_counts(spine: DataFrame, versions: DataFrame, key: str, start: str, counts: dict[str, Column], valid_to: str = "valid_to") -> DataFrame:
     """Spine rows at which any version of the key holds (start <= s < valid_to, null: open), with
-    the number of those for which each predicate of `counts` is true. A version is a change of +1
-    in its first month and of -1 in the month that it no longer holds in; changes are summed by
-    month and cumulated along the key's months, so rows are spine and changes, not their product."""
-    first, gone = month_start_from(F.col(start)), month_start_from(F.col(valid_to))
+    the number of those for which each predicate of `counts` is true: running sums of changes, so
+    rows are spine and changes, not their product."""
     marks = {"_any": F.lit(True)} | counts
-    sized = versions.select(F.col(key), first.alias("_from"), gone.alias("_until"), *(F.coalesce(p, F.lit(False)).cast("long").alias(n) for n, p in marks.items()))
-    sized = sized.where("_until is null or _from < _until")
-    turns = F.array(F.struct(F.col("_from").alias("snapshot_date"), F.lit(1).alias("_sign")), F.struct(F.col("_until").alias("snapshot_date"), F.lit(-1).alias("_sign")))
-    changes = sized.select(key, *marks, F.inline(turns)).where("snapshot_date is not null")
-    changes = changes.select(key, "snapshot_date", *((F.col(n) * F.col("_sign")).alias(n) for n in marks), F.lit(False).alias("_spine"))
-    rows = spine.select(key, "snapshot_date", *(F.lit(0).cast("long").alias(n) for n in marks), F.lit(True).alias("_spine")).unionByName(changes)
-    monthly = rows.groupBy(key, "snapshot_date").agg(*(F.sum(n).alias(n) for n in marks), F.max("_spine").alias("_spine"))
-    along = Window.partitionBy(key).orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return monthly.select(key, "snapshot_date", "_spine", *(F.sum(n).over(along).alias(n) for n in marks)).where("_spine and _any > 0").drop("_spine", "_any")
+    changes = version_changes(versions, key, start, marks, valid_to)
+    rows = carried(spine.select(key, "snapshot_date"), key, "snapshot_date", since={"_change": (changes, {n: F.sum(f"_change.{n}") for n in marks})})
+    return rows.where("_any > 0").drop("_any")
 
 
 def capture_changes(history: DataFrame, current: DataFrame, key: str, watched: list[str], run_at: str) -> DataFrame:

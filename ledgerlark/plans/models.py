@@ -6,11 +6,13 @@ published definitions; 'strict' uses only what was known at the snapshot date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import cleaned, ratio, surrogate_key
-from ..operators.temporal import expand_trailing, latest_at, monthly_spine, running_counts, valid_at
+from ..functions.keys import cleaned, month_start_from, ratio, surrogate_key
+from ..operators.temporal import FAR, carried, expand_trailing, latest_at, monthly_spine, running_counts, version_changes
 from ..sources import tables as src
 
 AS_OF = "2024-04-01"
@@ -64,20 +66,74 @@ def stg_user_web_logins(spark: SparkSession, d: str) -> DataFrame:
     return logins.withColumns({"ip_address": F.substring("ip_address", 1, 45), "device_type": cleaned(F.col("device_type"))})
 
 
-def company_date_spine(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    return monthly_spine(src.companies(spark, d), "company_id", "foundation_date", as_of, "valid_to")
+class Staged:
+    """Staged tables with what the models need of them."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return self._dealt(stg_companies(self.spark, self.d))
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return self._dealt(stg_energy_contracts(self.spark, self.d).select("company_id", "contract_id", "activation_date", "valid_to", "contract_status", "commodity_type"))
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        return self._dealt(financial_facts(self.spark, self.d))
+
+    @cached_property
+    def billing(self) -> DataFrame:
+        return self._dealt(billing_facts(self.spark, self.d).select("company_id", "due_date", "payment_date", "invoice_status", "total_amount"))
+
+    @cached_property
+    def logins(self) -> DataFrame:
+        return self._dealt(stg_user_web_logins(self.spark, self.d).select("company_id", F.col("login_timestamp").cast("date").alias("login_date")))
+
+    @cached_property
+    def tickets(self) -> DataFrame:
+        return self._dealt(stg_tickets(self.spark, self.d).select("company_id", F.col("created_at").cast("date").alias("created_date"), "ticket_category", "resolved_at", "satisfaction_score"))
+
+    def spine(self, as_of: str) -> DataFrame:
+        return monthly_spine(self.companies, "company_id", "foundation_date", as_of, "valid_to")
+
 
+class Dealt(Staged):
+    """Staged tables, each dealt by company once. Models on them expand, aggregate, cumulate and merge
+    within a company's partition, so that their rows (months, windows) never travel."""
 
-def companies_resolved(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    """Spine rows with the company version that holds, and the company's age."""
-    rows = valid_at(company_date_spine(spark, d, as_of), stg_companies(spark, d), "company_id", "foundation_date")
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "company_id")
+
+
+def company_date_spine(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    return (source or Dealt(spark, d)).spine(as_of)
+
+
+def companies_resolved(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    """Spine rows with each company version that holds (foundation_date <= s < valid_to), and the
+    company's age. All of a version's months are in the spine, so they are generated from it."""
+    c = (source or Dealt(spark, d)).companies
+    last = F.trunc(F.lit(as_of).cast("date"), "MM")
+    until = F.least(last, F.add_months(month_start_from(F.coalesce("valid_to", F.lit(FAR).cast("date"))), -1))
+    spans = c.withColumns({"_first": month_start_from(F.col("foundation_date")), "_last": until}).where("_first <= _last")
+    rows = spans.select("company_id", F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("snapshot_date"), *(x for x in c.columns if x != "company_id"))
     return rows.withColumn("company_age_days", F.datediff("snapshot_date", "foundation_date"))
 
 
-def contracts_asof(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+def contract_counts() -> dict[str, Column]:
     active = F.col("contract_status") == "active"
-    counts = {"active_contracts_count": active, "_power": active & (F.col("commodity_type") == "electricity"), "_gas": active & (F.col("commodity_type") == "gas")}
-    rows = running_counts(company_date_spine(spark, d, as_of), stg_energy_contracts(spark, d), "company_id", "activation_date", counts)
+    return {"active_contracts_count": active, "_power": active & (F.col("commodity_type") == "electricity"), "_gas": active & (F.col("commodity_type") == "gas")}
+
+
+def contracts_asof(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    source = source or Dealt(spark, d)
+    rows = running_counts(source.spine(as_of), source.contracts, "company_id", "activation_date", contract_counts())
     return rows.select("company_id", "snapshot_date", "active_contracts_count", (F.col("_power") > 0).alias("has_active_electricity_contract"), (F.col("_gas") > 0).alias("has_active_gas_contract"))
 
 
@@ -88,9 +144,9 @@ def billing_facts(spark: SparkSession, d: str) -> DataFrame:
     return stg_invoices(spark, d).join(contracts, "contract_id").join(paid, "invoice_id", "left")
 
 
-def billing_windows(spark: SparkSession, d: str, mode: str = "compat") -> DataFrame:
+def billing_windows(spark: SparkSession, d: str, mode: str = "compat", source: Staged | None = None) -> DataFrame:
     """Days past due, unpaid ratio and outstanding debt of the invoices due in the window."""
-    rows = expand_trailing(billing_facts(spark, d), F.col("due_date"), BILLING_DAYS)
+    rows = expand_trailing((source or Dealt(spark, d)).billing, F.col("due_date"), BILLING_DAYS)
     if mode == "strict":
         rows = rows.withColumn("payment_date", F.when(F.col("payment_date") <= F.col("snapshot_date"), F.col("payment_date")))
         rows = rows.withColumn("invoice_status", F.when(F.col("payment_date").isNotNull(), "paid").otherwise("overdue"))
@@ -104,12 +160,21 @@ def billing_windows(spark: SparkSession, d: str, mode: str = "compat") -> DataFr
     )
 
 
-def billing_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, mode: str = "compat") -> DataFrame:
-    return company_date_spine(spark, d, as_of).join(billing_windows(spark, d, mode), ["company_id", "snapshot_date"])
+def _with(source: Staged, as_of: str, windows: DataFrame, how: str) -> DataFrame:
+    """Spine rows with the columns of monthly windows; how='inner': only those that have one."""
+    rows = carried(source.spine(as_of), "company_id", "snapshot_date", at={"_w": windows})
+    rows = rows.where("_w is not null") if how == "inner" else rows
+    return rows.select("company_id", "snapshot_date", *(F.col(f"_w.{c}").alias(c) for c in windows.columns if c not in ("company_id", "snapshot_date")))
+
+
+def billing_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, mode: str = "compat", source: Staged | None = None) -> DataFrame:
+    source = source or Dealt(spark, d)
+    return _with(source, as_of, billing_windows(spark, d, mode, source), "inner")
 
 
-def insolvency_label(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    rows = company_date_spine(spark, d, as_of).join(billing_windows(spark, d), ["company_id", "snapshot_date"], "left")
+def insolvency_label(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    source = source or Dealt(spark, d)
+    rows = _with(source, as_of, billing_windows(spark, d, source=source), "left")
     late = F.coalesce("max_dpd_trailing_90d", F.lit(0)) >= 90
     return rows.select("company_id", "snapshot_date", F.when(late, 1).otherwise(0).alias("is_insolvent"))
 
@@ -118,45 +183,46 @@ def financial_facts(spark: SparkSession, d: str) -> DataFrame:
     return stg_financial_statements(spark, d).select("company_id", "fiscal_year", "available_from", "leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "ebitda")
 
 
-def financial_asof(spark: SparkSession, d: str, as_of: str = AS_OF, spine: DataFrame | None = None) -> DataFrame:
-    spine = company_date_spine(spark, d, as_of) if spine is None else spine
-    return latest_at(spine, financial_facts(spark, d), "company_id", "available_from", "fiscal_year", as_of)
+def financial_asof(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    source = source or Dealt(spark, d)
+    return latest_at(source.spine(as_of), source.statements, "company_id", "available_from", "fiscal_year")
 
 
-def login_windows(spark: SparkSession, d: str) -> DataFrame:
+def login_windows(spark: SparkSession, d: str, source: Staged | None = None) -> DataFrame:
     """Last login and velocity (logins of 30 days against a third of 90 days')."""
-    logins = stg_user_web_logins(spark, d).withColumn("_day", F.col("login_timestamp").cast("date"))
-    rows = expand_trailing(logins, F.col("_day"), TRAILING_DAYS)
-    recent = F.col("_day") > F.date_sub("snapshot_date", 30)
+    rows = expand_trailing((source or Dealt(spark, d)).logins, F.col("login_date"), TRAILING_DAYS)
+    recent = F.col("login_date") > F.date_sub("snapshot_date", 30)
     found = rows.groupBy("company_id", "snapshot_date").agg(
-        F.max("_day").alias("_last"), (F.count_if(recent) / (F.count("*") / 3.0)).cast("decimal(5,4)").alias("login_velocity")
+        F.max("login_date").alias("_last"), (F.count_if(recent) / (F.count("*") / 3.0)).cast("decimal(5,4)").alias("login_velocity")
     )
     return found.select("company_id", "snapshot_date", F.datediff("snapshot_date", "_last").alias("days_since_last_login"), "login_velocity")
 
 
-def logins_trailing(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    return company_date_spine(spark, d, as_of).join(login_windows(spark, d), ["company_id", "snapshot_date"], "left")
+def logins_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    source = source or Dealt(spark, d)
+    return _with(source, as_of, login_windows(spark, d, source), "left")
 
 
-def ticket_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = expand_trailing(stg_tickets(spark, d), F.col("created_at").cast("date"), TRAILING_DAYS)
+def ticket_windows(spark: SparkSession, d: str, source: Staged | None = None) -> DataFrame:
+    rows = expand_trailing((source or Dealt(spark, d)).tickets, F.col("created_date"), TRAILING_DAYS)
     return rows.groupBy("company_id", "snapshot_date").agg(
         F.count_if(F.col("ticket_category") == "billing").alias("billing_disputes_count"),
         F.avg(F.when(F.col("resolved_at").isNotNull(), F.col("satisfaction_score").cast("decimal(3,0)"))).cast("decimal(3,2)").alias("average_satisfaction_score"),
     )
 
 
-def tickets_trailing(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    return company_date_spine(spark, d, as_of).join(ticket_windows(spark, d), ["company_id", "snapshot_date"])
+def tickets_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    source = source or Dealt(spark, d)
+    return _with(source, as_of, ticket_windows(spark, d, source), "inner")
 
 
-def dim_companies(spark: SparkSession, d: str) -> DataFrame:
-    c = stg_companies(spark, d)
+def dim_companies(spark: SparkSession, d: str, source: Staged | None = None) -> DataFrame:
+    c = (source or Staged(spark, d)).companies
     return c.select(surrogate_key(F.col("company_id"), F.col("valid_from")).alias("company_key"), *c.columns, F.col("valid_to").isNull().alias("is_current"))
 
 
-def dim_date(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    bounds = src.companies(spark, d).agg(F.min("foundation_date").alias("low"))
+def dim_date(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    bounds = (source or Staged(spark, d)).companies.agg(F.min("foundation_date").alias("low"))
     days = bounds.select(F.explode(F.sequence(F.col("low"), F.lit(as_of).cast("date"), F.expr("interval 1 day"))).alias("date"))
     dow = F.dayofweek("date") - 1
     return days.select(
@@ -165,38 +231,44 @@ def dim_date(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
     )
 
 
-def fct_company_credit_profile(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+def fct_company_credit_profile(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None, company: tuple[str, ...] = ()) -> DataFrame:
     """All features and the label per (company, snapshot). Counts, flags and billing default to 0
-    or false; ratios, logins and satisfaction stay null. Windows are aggregated from the events and
-    meet the resolved spine once each; all joins share the two keys."""
-    on = ["company_id", "snapshot_date"]
-    zero = ("active_contracts_count", "max_dpd_trailing_90d", "avg_dpd_trailing_90d", "unpaid_ratio_trailing_90d", "total_outstanding_debt", "billing_disputes_count")
-    rows = companies_resolved(spark, d, as_of).select(*on, "company_age_days", "valid_from")
-    rows = rows.join(financial_asof(spark, d, as_of, rows.select(*on)), on, "left")
-    for part in (contracts_asof(spark, d, as_of), billing_windows(spark, d), login_windows(spark, d), ticket_windows(spark, d)):
-        rows = rows.join(part, on, "left")
-    late = F.coalesce("max_dpd_trailing_90d", F.lit(0)) >= 90
-    rows = rows.withColumn("is_insolvent", F.when(late, 1).otherwise(0)).withColumn("company_key", surrogate_key(F.col("company_id"), F.col("valid_from")))
-    rows = rows.withColumn("profile_key", surrogate_key(F.col("company_id"), F.col("snapshot_date")))
-    for c in zero:
-        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-    for c in ("has_active_electricity_contract", "has_active_gas_contract"):
-        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(False)))
-    return rows.drop("valid_from", "fiscal_year", "available_from")
+    or false; ratios, logins and satisfaction stay null. The resolved spine is generated once;
+    windows, contract changes and statements meet it in one merge along each company's dates.
+    `company`: attributes of the version that company_key names, which its rows bring along."""
+    source = source or Dealt(spark, d)
+    rows = companies_resolved(spark, d, as_of, source).select("company_id", "snapshot_date", "company_age_days", "valid_from", *company)
+    windows = {"_billing": billing_windows(spark, d, source=source), "_logins": login_windows(spark, d, source), "_tickets": ticket_windows(spark, d, source)}
+    counts = contract_counts()
+    changes = version_changes(source.contracts, "company_id", "activation_date", counts)
+    facts = source.statements.withColumn("snapshot_date", F.col("available_from"))
+    best = F.max(F.when(F.col("_statement").isNotNull(), F.struct(*(F.col(f"_statement.{c}").alias(c) for c in ("fiscal_year", "leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "ebitda")))))
+    merged = carried(rows, "company_id", "snapshot_date", windows, {"_change": (changes, {n: F.sum(f"_change.{n}") for n in counts}), "_statement": (facts, {"_best": best})})
+    of = lambda part, *names: [F.col(f"{part}.{c}").alias(c) for c in names]
+    known = lambda part, *names: [F.coalesce(F.col(f"{part}.{c}"), F.lit(0)).alias(c) for c in names]
+    late = F.coalesce(F.col("_billing.max_dpd_trailing_90d"), F.lit(0)) >= 90
+    return merged.select(
+        "company_id", "snapshot_date", "company_age_days", *of("_best", "leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "ebitda"),
+        F.coalesce("active_contracts_count", F.lit(0)).alias("active_contracts_count"), (F.coalesce("_power", F.lit(0)) > 0).alias("has_active_electricity_contract"), (F.coalesce("_gas", F.lit(0)) > 0).alias("has_active_gas_contract"),
+        *known("_billing", "max_dpd_trailing_90d", "avg_dpd_trailing_90d", "unpaid_ratio_trailing_90d", "total_outstanding_debt"), *of("_logins", "days_since_last_login", "login_velocity"),
+        *known("_tickets", "billing_disputes_count"), *of("_tickets", "average_satisfaction_score"), F.when(late, 1).otherwise(0).alias("is_insolvent"),
+        surrogate_key(F.col("company_id"), F.col("valid_from")).alias("company_key"), surrogate_key(F.col("company_id"), F.col("snapshot_date")).alias("profile_key"), *company,
+    )
 
 
-def star_features(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
-    """The training query: the fact without its two days-past-due columns, company and calendar
-    attributes."""
-    fact = fct_company_credit_profile(spark, d, as_of).drop("max_dpd_trailing_90d", "avg_dpd_trailing_90d", "profile_key")
-    dims = dim_companies(spark, d).select("company_key", "legal_name", "industry_sector", "registered_office_region")
-    dates = dim_date(spark, d, as_of).select(F.col("date").alias("snapshot_date"), "year", "quarter", "month")
-    return fact.join(dims, "company_key").join(F.broadcast(dates), "snapshot_date").drop("company_key")  # a row per day
+def star_features(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    """The training query: the fact without its two days-past-due columns, attributes of the company's
+    version and of the calendar. The version's attributes come with the resolved spine, which is
+    what a join of the fact with dim_companies on company_key gives, without dealing the fact by
+    that key."""
+    fact = fct_company_credit_profile(spark, d, as_of, source, ("legal_name", "industry_sector", "registered_office_region"))
+    dates = dim_date(spark, d, as_of, source).select(F.col("date").alias("snapshot_date"), "year", "quarter", "month")
+    return fact.drop("max_dpd_trailing_90d", "avg_dpd_trailing_90d", "profile_key", "company_key").join(F.broadcast(dates), "snapshot_date")  # a row per day
 
 
-def latest_profiles(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+def latest_profiles(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
     """Each company's latest snapshot."""
-    fact = fct_company_credit_profile(spark, d, as_of)
+    fact = fct_company_credit_profile(spark, d, as_of, source)
     rest = [c for c in fact.columns if c != "company_id"]
     best = fact.groupBy("company_id").agg(F.max_by(F.struct(*rest), "snapshot_date").alias("_best"))
     return best.select("company_id", *(F.col(f"_best.{c}").alias(c) for c in rest))

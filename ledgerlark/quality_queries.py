@@ -35,7 +35,7 @@ def versions_resolved(spark: SparkSession, d: str) -> DataFrame:
     """Spine rows with the version that holds, closed ones included."""
     versions = company_versions(spark, d)
     spine = temporal.monthly_spine(versions, "company_id", "foundation_date", m.AS_OF, "valid_to")
-    return temporal.valid_at(spine, versions, "company_id", "valid_from").select("company_id", "snapshot_date", "legal_name")
+    return temporal.held_at(spine, versions.select("company_id", "valid_from", "valid_to", "legal_name"), "company_id", "valid_from").select("company_id", "snapshot_date", "legal_name")
 
 
 VERSIONS_RESOLVED_SQL = """, """ + VERSIONS_SQL + """

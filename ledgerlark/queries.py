@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from .functions.keys import surrogate_key
 from . import quality_queries as qq
 from .operators import ml, quality, retrieval, temporal, training, validation
 from .plans import models as m
+from .plans.warehouse import Warehouse
 from .session import work_folder
-from .sources import generator
 from .sources import tables as src
 from .streaming import logins as streaming
 
@@ -57,7 +58,7 @@ invoices AS (
          CASE l_returnflag WHEN 'R' THEN 'overdue' WHEN 'N' THEN 'unpaid' ELSE 'paid' END AS invoice_status,
          CASE WHEN l_returnflag = 'A' THEN CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) END AS payment_date
   FROM lineitem JOIN orders o ON l_orderkey = o_orderkey),
-billed AS (
+billed AS MATERIALIZED (
   SELECT s.company_id, s.snapshot_date, greatest(0, date_diff('day', i.due_date, coalesce(i.payment_date, s.snapshot_date))) AS dpd,
          i.invoice_status, i.payment_date, i.total_amount
   FROM spine s JOIN invoices i ON i.company_id = s.company_id AND i.due_date > s.snapshot_date - INTERVAL 120 DAY AND i.due_date <= s.snapshot_date),
@@ -186,14 +187,14 @@ _FACT = """SELECT r.company_id, r.snapshot_date, CAST(date_diff('day', c.foundat
   LEFT JOIN login_features l ON l.company_id = r.company_id AND l.snapshot_date = r.snapshot_date LEFT JOIN ticket_features t ON t.company_id = r.company_id AND t.snapshot_date = r.snapshot_date"""
 
 
-def _fact_columns(df: DataFrame) -> DataFrame:
+def _fact_columns(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "company_id", "snapshot_date", F.col("company_age_days").cast("int").alias("company_age_days"), "company_key", "active_contracts_count", "has_active_gas_contract",
         "has_active_electricity_contract", "profile_key", F.col("ebitda").cast("double").alias("ebitda"), *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("leverage_ratio", "cash_to_debt_ratio", "net_profit_margin", "login_velocity")),
         F.round(F.col("avg_dpd_trailing_90d").cast("double"), 2).alias("avg_dpd"),
         F.col("max_dpd_trailing_90d").cast("int").alias("max_dpd"), F.round(F.col("unpaid_ratio_trailing_90d").cast("double"), 4).alias("unpaid_ratio"),
         F.round(F.col("total_outstanding_debt").cast("double"), 2).alias("debt"), F.col("days_since_last_login").cast("int").alias("days_since_last_login"), "billing_disputes_count",
-        F.round(F.col("average_satisfaction_score").cast("double"), 2).alias("average_satisfaction_score"), F.col("is_insolvent").cast("int").alias("is_insolvent"),
+        F.round(F.col("average_satisfaction_score").cast("double"), 2).alias("average_satisfaction_score"), F.col("is_insolvent").cast("int").alias("is_insolvent"), *more,
     )
 
 
@@ -207,9 +208,25 @@ def latest_profiles(spark, d):
     return _fact_columns(m.latest_profiles(spark, d))
 
 
-@query("SELECT f.company_id, f.snapshot_date, c.legal_name, c.industry_sector, CAST(year(f.snapshot_date) AS INTEGER) AS year, f.is_insolvent FROM (" + _FACT + ") f JOIN companies c USING (company_id)")
+_STAR = """SELECT f.* EXCLUDE (company_key, profile_key, max_dpd, avg_dpd), c.legal_name, c.industry_sector, c.registered_office_region, CAST(year(f.snapshot_date) AS INTEGER) AS year,
+  CAST(quarter(f.snapshot_date) AS INTEGER) AS quarter, CAST(month(f.snapshot_date) AS INTEGER) AS month FROM (""" + _FACT + """) f JOIN companies c USING (company_id)"""
+
+
+@query(_STAR)
 def star_features(spark, d):
-    return m.star_features(spark, d).select("company_id", "snapshot_date", "legal_name", "industry_sector", "year", F.col("is_insolvent").cast("int").alias("is_insolvent"))
+    return _star_columns(m.star_features(spark, d))
+
+
+def _star_columns(df: DataFrame) -> DataFrame:
+    missing = {"company_key": "", "profile_key": "", "avg_dpd_trailing_90d": 0, "max_dpd_trailing_90d": 0}
+    return _fact_columns(df.withColumns({c: F.lit(v) for c, v in missing.items()}), "legal_name", "industry_sector", "registered_office_region", "year", "quarter", "month").drop("company_key", "profile_key", "avg_dpd", "max_dpd")
+
+
+@query(_FACT)
+def warehouse_profile(spark, d):
+    """The fact from staged tables that are written once, bucketed by company: read without a shuffle."""
+    name = f"ledgerlark_{uuid.uuid4().hex}"
+    return _fact_columns(m.fct_company_credit_profile(spark, d, source=Warehouse.build(spark, d, name, work_folder(spark), marts=False)))
 
 
 @query("""SELECT company_id, legal_name, is_active, DATE '2024-01-01' AS valid_from, CASE WHEN company_id % 10 = 0 THEN DATE '2024-02-01' END AS valid_to FROM companies WHERE company_id % 7 <> 0
@@ -289,10 +306,11 @@ def ml_confusion(spark, d):
     return c.withColumns({x: F.round(x, 6) for x in ("precision", "recall", "f1")})
 
 
-@query("""SELECT round(sum((fp - f0) * (tp + t0) / 2.0) / (max(pos) * max(neg)), 6) AS auc_roc, round(sum((tp - t0) * tp / (tp + fp)) / max(pos), 6) AS average_precision
+@query("""SELECT round(sum((fp - f0) * (tp + t0) / 2.0) / (max(pos) * max(neg)), 6) AS auc_roc, round(sum((tp - t0) * tp / (tp + fp)) / max(pos), 6) AS average_precision,
+  round(sum((tp - t0) * (tp / (tp + fp) + CASE WHEN t0 + f0 > 0 THEN t0 / (t0 + f0) ELSE 1.0 END) / 2.0) / max(pos), 6) AS auc_pr
   FROM (SELECT *, coalesce(lag(tp) OVER (ORDER BY score DESC), 0) AS t0, coalesce(lag(fp) OVER (ORDER BY score DESC), 0) AS f0 FROM curve)""")
 def ml_ranking_metrics(spark, d):
-    return ml.ranking_metrics(_scored(spark, d), "y", "p").select(F.round("auc_roc", 6).alias("auc_roc"), F.round("average_precision", 6).alias("average_precision"))
+    return ml.ranking_metrics(_scored(spark, d), "y", "p").select(*(F.round(c, 6).alias(c) for c in ("auc_roc", "average_precision", "auc_pr")))
 
 
 @query("""SELECT threshold, round(f, 6) AS f_beta FROM (SELECT score AS threshold, 5 * (tp / (tp + fp)) * (tp / pos) / (4 * (tp / (tp + fp)) + tp / pos + 1e-10) AS f FROM curve) ORDER BY f DESC, threshold DESC LIMIT 1""")
@@ -300,11 +318,13 @@ def ml_best_threshold(spark, d):
     return ml.best_threshold(_scored(spark, d), "y", "p").select("threshold", F.round("f_beta", 6).alias("f_beta"))
 
 
-@query("""SELECT l.company_id, l.snapshot_date, CASE WHEN days_since_last_login IS NOT NULL AND login_velocity IS NOT NULL THEN 1 ELSE 0 END AS has_logins,
-  coalesce(CAST(days_since_last_login AS DOUBLE), -1) AS days_since_last_login FROM spine l LEFT JOIN login_features USING (company_id, snapshot_date)
-  JOIN companies c ON c.company_id = l.company_id AND l.snapshot_date >= c.foundation_date""")
+@query("""SELECT company_id, snapshot_date, CASE WHEN days_since_last_login IS NOT NULL AND login_velocity IS NOT NULL THEN 1 ELSE 0 END AS has_logins,
+  CASE WHEN leverage_ratio IS NOT NULL AND cash_to_debt_ratio IS NOT NULL AND net_profit_margin IS NOT NULL AND ebitda IS NOT NULL THEN 1 ELSE 0 END AS has_financials,
+  CASE WHEN average_satisfaction_score IS NOT NULL THEN 1 ELSE 0 END AS has_satisfaction, coalesce(CAST(days_since_last_login AS DOUBLE), -1) AS days_since_last_login,
+  coalesce(cash_to_debt_ratio, 0) AS cash_to_debt_ratio, coalesce(average_satisfaction_score, -1) AS average_satisfaction_score FROM (""" + _FACT + ")")
 def ml_missing_flags(spark, d):
-    return ml.missing_flags(m.fct_company_credit_profile(spark, d)).select("company_id", "snapshot_date", "has_logins", "days_since_last_login")
+    rows = ml.missing_flags(m.fct_company_credit_profile(spark, d))
+    return rows.select("company_id", "snapshot_date", "has_logins", "has_financials", "has_satisfaction", "days_since_last_login", F.round("cash_to_debt_ratio", 4).alias("cash_to_debt_ratio"), F.round("average_satisfaction_score", 2).alias("average_satisfaction_score"))
 
 
 @query("""SELECT company_id, CASE WHEN industry_sector = 'building' THEN 1 ELSE 0 END AS industry_sector_building, CASE WHEN industry_sector = 'machinery' THEN 1 ELSE 0 END AS industry_sector_machinery FROM companies""")
@@ -312,8 +332,9 @@ def ml_one_hot(spark, d):
     return ml.one_hot(m.stg_companies(spark, d).select("company_id", "industry_sector"), "industry_sector", ["building", "machinery"]).drop("industry_sector")
 
 
-@query(""", stats AS MATERIALIZED (SELECT avg(debt) AS mean, stddev_pop(debt) AS deviation FROM billing)
-SELECT company_id, snapshot_date, round((debt - mean) / deviation, 4) + 0.0 AS debt FROM billing, stats""")
+@query(""", bills AS MATERIALIZED (SELECT company_id, snapshot_date, debt FROM billing),
+stats AS MATERIALIZED (SELECT CASE WHEN min(debt) = max(debt) THEN min(debt) ELSE avg(debt) END AS mean, CASE WHEN min(debt) = max(debt) THEN 1 ELSE stddev_pop(debt) END AS deviation FROM bills)
+SELECT company_id, snapshot_date, round((debt - mean) / deviation, 4) + 0.0 AS debt FROM bills, stats""")
 def ml_scaled(spark, d):
     b = billing_trailing(spark, d).select("company_id", "snapshot_date", "debt")
     return ml.scale(b, b, ["debt"]).withColumn("debt", F.round("debt", 4) + F.lit(0.0))
@@ -325,7 +346,7 @@ _FEATURES = ("company_age_days", "active_contracts_count", "unpaid_ratio_trailin
 @query()
 def ml_train_score(spark, d):
     """Balanced ridge logistic regression on all star features before the holdout, scored on it."""
-    remaining, test, _ = training.combined_split(m.star_features(spark, d), "snapshot_date")
+    remaining, test, _ = training.combined_split(training.written(m.star_features(spark, d)), "snapshot_date")
     scorer, _ = training.final_fit(remaining, test, "is_insolvent", training.Preprocessor(("industry_sector",), _FEATURES), 0.5)
     return scorer.score(test).select("company_id", "snapshot_date", "is_insolvent", "y_pred_proba", "y_pred")
 
@@ -342,17 +363,20 @@ def ml_combined_split(spark, d):
     return held.unionByName(folds.groupBy("part", F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("months")))
 
 
+_Z = {"debt": "debt", "login": "login", "building": "building", "known": "known", "contracts": "CAST(active_contracts_count AS DOUBLE)"}
+
+
 @query(""", rows_ AS (SELECT f.*, c.industry_sector AS sector FROM (""" + _FACT + """) f JOIN companies c USING (company_id)),
 cut AS (SELECT min(x) AS cut FROM (SELECT DISTINCT snapshot_date AS x FROM rows_ ORDER BY 1 DESC LIMIT 12)),
-ready AS (SELECT *, CASE WHEN sector = 'building' THEN 1.0 ELSE 0 END AS building, coalesce(days_since_last_login, -1.0) AS login, CASE WHEN days_since_last_login IS NULL THEN 0.0 ELSE 1 END AS known FROM rows_),
-stats AS MATERIALIZED (SELECT avg(debt) AS m1, stddev_pop(debt) AS s1, avg(login) AS m2, stddev_pop(login) AS s2, avg(building) AS m3, stddev_pop(building) AS s3, avg(known) AS m4, stddev_pop(known) AS s4 FROM ready, cut WHERE snapshot_date < cut)
-SELECT company_id, snapshot_date, round((debt - m1) / s1, 4) + 0.0 AS debt, round((login - m2) / coalesce(nullif(s2, 0), 1), 4) + 0.0 AS login, round((building - m3) / s3, 4) + 0.0 AS building,
-  round((known - m4) / coalesce(nullif(s4, 0), 1), 4) + 0.0 AS known FROM ready, cut, stats WHERE snapshot_date >= cut""")
+ready AS MATERIALIZED (SELECT *, CASE WHEN sector = 'building' THEN 1.0 ELSE 0 END AS building, coalesce(CAST(days_since_last_login AS DOUBLE), -1.0) AS login, CASE WHEN days_since_last_login IS NULL THEN 0.0 ELSE 1 END AS known FROM rows_),
+stats AS MATERIALIZED (SELECT """ + ", ".join(f"CASE WHEN min({x}) = max({x}) THEN min({x}) ELSE avg({x}) END AS m_{n}, CASE WHEN min({x}) = max({x}) THEN 1 ELSE stddev_pop({x}) END AS s_{n}" for n, x in _Z.items()) + """ FROM ready, cut WHERE snapshot_date < cut)
+SELECT company_id, snapshot_date, """ + ", ".join(f"round(({x} - m_{n}) / s_{n}, 4) + 0.0 AS {n}" for n, x in _Z.items()) + """ FROM ready, cut, stats WHERE snapshot_date >= cut""")
 def ml_preprocessed_test(spark, d):
-    """Flags, categories and z-scores fitted on all rows before the holdout, applied to the holdout."""
-    remaining, test, _ = training.combined_split(m.star_features(spark, d), "snapshot_date")
-    own = training.Preprocessor(("industry_sector",), ("total_outstanding_debt", "days_since_last_login")).fit(remaining)
-    names = {"total_outstanding_debt": "debt", "days_since_last_login": "login", "industry_sector_building": "building", "has_logins": "known"}
+    """Flags, categories and z-scores fitted on all rows before the holdout, applied to the holdout.
+    Logins and their flag are constant before the holdout."""
+    remaining, test, _ = training.combined_split(training.written(m.star_features(spark, d)), "snapshot_date")
+    own = training.Preprocessor(("industry_sector",), ("total_outstanding_debt", "days_since_last_login", "active_contracts_count")).fit(remaining)
+    names = {"total_outstanding_debt": "debt", "days_since_last_login": "login", "industry_sector_building": "building", "has_logins": "known", "active_contracts_count": "contracts"}
     return own.apply(test).select("company_id", "snapshot_date", *((F.round(c, 4) + F.lit(0.0)).alias(n) for c, n in names.items()))
 
 
@@ -453,32 +477,6 @@ def request_validation(spark, d):
     return checked.select("request_id", F.concat_ws(",", "violations").alias("broken"), "company_age_days")
 
 
-@query()
-def synthetic_companies(spark, d):
-    """The seeded history has no input; its size is a parameter."""
-    return generator.companies(spark, 1000)
-
-
-@query()
-def synthetic_statements(spark, d):
-    return generator.financial_statements(spark, 1000)
-
-
-@query()
-def synthetic_billing(spark, d):
-    return generator.billing(spark, 1000)
-
-
-@query()
-def synthetic_tickets(spark, d):
-    return generator.support_tickets(spark, 1000)
-
-
-@query()
-def synthetic_logins(spark, d):
-    return generator.web_logins(spark, 1000)
-
-
 @query(qq.VERSIONS_RESOLVED_SQL)
 def versions_resolved(spark, d):
     return qq.versions_resolved(spark, d)

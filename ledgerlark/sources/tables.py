@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -25,16 +27,23 @@ def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType
 
 
 def extract_table(df: DataFrame, folder: str, name: str) -> bool:
-    """Write a table's extract; an empty table leaves no file. Returns whether it wrote. The input
-    is run once: rows are counted while they are written."""
-    seen = Observation()
+    """Write a table's extract; an empty table leaves no file, not even an earlier one. Returns whether
+    it wrote. Rows go to a folder beside the table's, which takes its place when all are there: a
+    failure leaves the earlier extract as it was, and no half one."""
+    spark = df.sparkSession
     path = f"{folder}/{name}.parquet"
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    if seen.get["rows"]:
-        return True
-    place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    return False
+    aside = f"{folder}/_{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(aside)
+        empty = spark.read.schema(df.schema).parquet(aside).isEmpty()
+        files.delete(hadoop(path), True)
+        if not empty and not files.rename(hadoop(aside), hadoop(path)):
+            raise OSError(f"{aside} could not take the place of {path}")
+    finally:
+        files.delete(hadoop(aside), True)
+    return not empty
 
 
 def restore_tables(spark: SparkSession, folder: str, database: str, schemas: dict[str, T.StructType]) -> list[str]:
@@ -51,9 +60,22 @@ def restore_tables(spark: SparkSession, folder: str, database: str, schemas: dic
     return done
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
-    """Partitioned read of a database table by a numeric key."""
-    return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, chunk: int = 100_000, **properties: str) -> DataFrame:
+    """A database table in partitions of about `chunk` rows by ranges of a numeric key, whose bounds
+    and number of rows the database is asked for first. Keys needn't be dense or unique; rows
+    without one go to the first partition."""
+    read = lambda **options: spark.read.format("jdbc").options(url=url, **properties, **options).load()
+    low, high, rows = read(query=f"SELECT MIN({key}) AS l, MAX({key}) AS h, COUNT(*) AS n FROM {table}").first()
+    if low is None or low == high:
+        return read(dbtable=table)
+    return read(dbtable=table, partitionColumn=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=-(-int(rows) // chunk))
+
+
+def extract_database(spark: SparkSession, url: str, folder: str, keys: dict[str, str], chunk: int = 100_000, **properties: str) -> list[str]:
+    """Extract the tables of `keys` (table -> numeric key) in loading order; the names of those that
+    weren't empty. The first failure ends the run; extracts before it stay, its own isn't touched."""
+    names = [n for n in LOAD_ORDER if n in keys] + [n for n in keys if n not in LOAD_ORDER]
+    return [n for n in names if extract_table(read_jdbc(spark, url, n, keys[n], chunk, **properties), folder, n)]
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
