@@ -50,6 +50,39 @@ def no_overlap(df: DataFrame, key: str, start: str = "valid_from", end: str = "v
     return named(f"no_overlap_{key}", df.withColumn("_before", F.max(stop).over(before)).where(F.col(start) < F.col("_before")))
 
 
+def _steps(date: str, grain: str) -> Column:
+    """A date's number in months or days."""
+    return F.year(date) * 12 + F.month(date) if grain == "month" else F.unix_date(F.col(date))
+
+
+def islands(df: DataFrame, key: str, date: str, grain: str = "month") -> DataFrame:
+    """(key, start, end, n): the runs of consecutive dates of each key; repeated dates count once. A
+    date's number less its place among the key's dates is the same along a run. Nulls are in none."""
+    dates = df.select(key, date).where(F.col(date).isNotNull()).distinct()
+    place = F.row_number().over(Window.partitionBy(key).orderBy(date))
+    runs = dates.withColumn("_run", _steps(date, grain) - place)
+    return runs.groupBy(key, "_run").agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count("*").alias("n")).drop("_run")
+
+
+def gaps(df: DataFrame, key: str, date: str, grain: str = "month") -> DataFrame:
+    """(key, start, end, n): the runs of missing dates between a key's first and last one."""
+    dates = df.select(key, date).where(F.col(date).isNotNull()).distinct()
+    following = F.lead(date).over(Window.partitionBy(key).orderBy(date))
+    step = (lambda c, n: F.add_months(c, n)) if grain == "month" else (lambda c, n: F.date_add(c, n))
+    found = dates.withColumn("_next", following).withColumn("n", (_steps("_next", grain) - _steps(date, grain) - 1).cast("long")).where("n > 0")
+    return found.select(key, step(F.col(date), 1).alias("start"), step(F.col("_next"), -1).alias("end"), "n")
+
+
+def overlaps(df: DataFrame, key: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """(key, start, end): the parts of each version's interval [start, end) that earlier versions of
+    its key cover up to (null: open; FAR stands for it), one row a version that overlaps any."""
+    far = F.lit("9999-12-31").cast("date")
+    rows = df.select(key, F.col(start).alias("_s"), F.coalesce(F.col(end), far).alias("_e"))
+    before = Window.partitionBy(key).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_reach", F.max("_e").over(before)).where(F.col("_reach").isNotNull() & (F.col("_s") < F.least("_reach", "_e")))
+    return found.select(key, F.col("_s").alias("start"), F.least("_reach", "_e").alias("end"))
+
+
 def no_month_gaps(df: DataFrame, key: str, month: str) -> DataFrame:
     """Keys whose months aren't consecutive."""
     index = F.year(month) * 12 + F.month(month)

@@ -65,6 +65,24 @@ def valid_at(spine: DataFrame, versions: DataFrame, key: str, start: str, valid_
     return spine.join(v, on, how).drop("_key", "_end")
 
 
+def daily_spine(entities: DataFrame, key: str, start: str, as_of: str) -> DataFrame:
+    """(key, snapshot_date): every day from the key's first `start` to `as_of`."""
+    first = entities.groupBy(key).agg(F.min(start).alias("_first")).where(F.col("_first") <= F.lit(as_of).cast("date"))
+    return first.select(key, F.explode(F.sequence("_first", F.lit(as_of).cast("date"), F.expr("interval 1 day"))).alias("snapshot_date"))
+
+
+def trailing_pairs(spine: DataFrame, events: DataFrame, key: str, day: str, days: int) -> DataFrame:
+    """Rows (spine row, event) with snapshot_date - days < day <= snapshot_date, for spines of any
+    grain. Days are cut into bins as long as the window: a spine row looks into its own bin and the
+    one before, so an event stays one row and a spine row becomes two, joined on key and bin; an event
+    isn't copied to every snapshot of its window."""
+    bin_of = lambda c: F.floor(F.unix_date(c) / F.lit(days)).cast("long")
+    looks = spine.withColumn("_bin", F.explode(F.array(bin_of(F.col("snapshot_date")), bin_of(F.col("snapshot_date")) - 1)))
+    kept = events.withColumnRenamed(key, "_key").withColumn("_at", bin_of(F.col(day)))
+    on = (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_at")) & (F.col(day) <= F.col("snapshot_date")) & (F.col(day) > F.date_sub("snapshot_date", days))
+    return looks.join(kept, on).drop("_key", "_bin", "_at")
+
+
 def latest_at(spine: DataFrame, facts: DataFrame, key: str, available: str, order: str) -> DataFrame:
     """Spine rows with the latest fact (largest `order`) available by snapshot_date, nulls if there
     is none: the largest so far is carried along a key's dates. Facts of the same key and order must

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import cleaned, month_start_from, ratio, surrogate_key
-from ..operators.temporal import FAR, carried, expand_trailing, latest_at, monthly_spine, running_counts, version_changes
+from ..operators.temporal import FAR, carried, daily_spine, expand_trailing, latest_at, monthly_spine, running_counts, trailing_pairs, version_changes
 from ..sources import tables as src
 
 AS_OF = "2024-04-01"
@@ -172,11 +172,12 @@ def billing_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, mode: str
     return _with(source, as_of, billing_windows(spark, d, mode, source), "inner")
 
 
-def insolvency_label(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+def insolvency_label(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None, detail: bool = False) -> DataFrame:
+    """The label of every spine row; detail: with the days past due that it rests on, 0 without a bill."""
     source = source or Dealt(spark, d)
     rows = _with(source, as_of, billing_windows(spark, d, source=source), "left")
-    late = F.coalesce("max_dpd_trailing_90d", F.lit(0)) >= 90
-    return rows.select("company_id", "snapshot_date", F.when(late, 1).otherwise(0).alias("is_insolvent"))
+    dpd = F.coalesce("max_dpd_trailing_90d", F.lit(0))
+    return rows.select("company_id", "snapshot_date", *([dpd.alias("max_dpd_trailing_90d")] if detail else []), F.when(dpd >= 90, 1).otherwise(0).alias("is_insolvent"))
 
 
 def financial_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -211,6 +212,29 @@ def ticket_windows(spark: SparkSession, d: str, source: Staged | None = None) ->
     )
 
 
+def logins_daily(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    """Login features at day grain: every day of a company from its first login on. The logins of
+    a day are one event with a count, so a window has at most as many pairs as days."""
+    logins = (source or Dealt(spark, d)).logins.groupBy("company_id", "login_date").agg(F.count("*").alias("_n"))
+    spine = daily_spine(logins, "company_id", "login_date", as_of)
+    rows = trailing_pairs(spine, logins, "company_id", "login_date", TRAILING_DAYS)
+    recent = F.when(F.col("login_date") > F.date_sub("snapshot_date", 30), F.col("_n")).otherwise(0)
+    found = rows.groupBy("company_id", "snapshot_date").agg(F.max("login_date").alias("_last"), F.sum("_n").alias("logins"), (F.sum(recent) / (F.sum("_n") / 3.0)).cast("decimal(5,4)").alias("login_velocity"))
+    found = found.select("company_id", "snapshot_date", F.datediff("snapshot_date", "_last").alias("days_since_last_login"), "logins", "login_velocity")
+    return spine.join(found, ["company_id", "snapshot_date"], "left")
+
+
+def billing_daily(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
+    """Billing features at day grain, for days on which invoices of the window fall due or are paid:
+    the days at which a company's position changes."""
+    bills = (source or Dealt(spark, d)).billing
+    turns = bills.select("company_id", F.explode(F.array("due_date", "payment_date")).alias("snapshot_date")).where(F.col("snapshot_date") <= F.lit(as_of).cast("date")).distinct()
+    rows = trailing_pairs(turns, bills, "company_id", "due_date", BILLING_DAYS)
+    open_ = F.col("payment_date").isNull() | (F.col("payment_date") > F.col("snapshot_date"))
+    late = F.greatest(F.lit(0), F.datediff(F.least(F.coalesce("payment_date", "snapshot_date"), "snapshot_date"), "due_date"))
+    return rows.groupBy("company_id", "snapshot_date").agg(F.max(late).alias("max_dpd"), F.count("*").alias("invoices"), F.coalesce(F.sum(F.when(open_, F.col("total_amount"))), F.lit(0)).cast("decimal(18,2)").alias("open_amount"))
+
+
 def tickets_trailing(spark: SparkSession, d: str, as_of: str = AS_OF, source: Staged | None = None) -> DataFrame:
     source = source or Dealt(spark, d)
     return _with(source, as_of, ticket_windows(spark, d, source), "inner")

@@ -4,13 +4,17 @@ zero. The SQL counts the same."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import leakage, quality, temporal
+from .operators import leakage, quality, rules, temporal
+from .plans import declared
 from .plans import models as m
+from .plans.warehouse import Warehouse
+from .session import work_folder
 
 
 def company_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -143,66 +147,91 @@ UNION ALL SELECT 'key_out_of_time', count(*) FILTER ({bad} AND snapshot_date >=
 UNION ALL SELECT 'unexpected_null', count(*) FILTER ({worse}) FROM fact"""
 
 
-#: Declared rules of single tables: (table, rule, column, arguments).
-DECLARED = (
-    *(("companies", "not_null", c) for c in ("company_id", "vat_number", "legal_name", "industry_sector", "foundation_date", "is_active")),
-    ("companies", "unique", "company_id"), ("companies", "unique", "vat_number"), ("companies", "accepted_values", "industry_sector", ("automobile", "building", "furniture", "machinery")),
-    *(("contracts", "not_null", c) for c in ("contract_id", "company_id", "commodity_type", "activation_date", "contract_status")),
-    ("contracts", "unique", "contract_id"), ("contracts", "accepted_values", "commodity_type", ("electricity",)), ("contracts", "accepted_values", "contract_status", ("active", "suspended", "terminated")),
-    ("contracts", "relationship", "company_id", ("companies", "company_id")),
-    *(("statements", "not_null", c) for c in ("company_id", "fiscal_year", "revenue")), ("statements", "accepted_range", "fiscal_year", (1996, 2100)), ("statements", "accepted_range", "revenue", (0, 1_000_000)),
-    ("statements", "relationship", "company_id", ("companies", "company_id")),
-    *(("billing", "not_null", c) for c in ("company_id", "snapshot_date", "max_dpd", "avg_dpd", "unpaid_ratio", "debt")),
-    ("billing", "accepted_range", "unpaid_ratio", (0, 1)), ("billing", "accepted_range", "max_dpd", (0, 60)), ("billing", "accepted_range", "debt", (0, None)),
-    *(("login_features", "not_null", c) for c in ("company_id", "snapshot_date", "days_since_last_login", "login_velocity")), ("login_features", "accepted_range", "days_since_last_login", (0, 45)), ("login_features", "accepted_range", "login_velocity", (0, 3)),
-    *(("ticket_features", "not_null", c) for c in ("company_id", "snapshot_date", "billing_disputes_count", "average_satisfaction_score")), ("ticket_features", "accepted_range", "average_satisfaction_score", (1, 4)),
-    *(("label", "not_null", c) for c in ("company_id", "snapshot_date", "is_insolvent")), ("label", "accepted_values", "is_insolvent", (0, 1)), ("label", "relationship", "company_id", ("companies", "company_id")),
-    *(("active", "not_null", c) for c in ("company_id", "snapshot_date", "active_contracts_count")), ("active", "accepted_range", "active_contracts_count", (0, 3)),
-)
-
-
-def declared_rules(spark: SparkSession, d: str) -> DataFrame:
-    """(rule, violations) of DECLARED; one pass per table for its rows' rules. Some bounds are
-    narrower than the data, so that counts aren't zero."""
-    b = m.billing_trailing(spark, d)
-    tables = {
-        "companies": m.stg_companies(spark, d), "contracts": m.stg_energy_contracts(spark, d), "statements": m.stg_financial_statements(spark, d), "label": m.insolvency_label(spark, d), "active": m.contracts_asof(spark, d),
-        "billing": b.select(*leakage.KEYS, F.col("max_dpd_trailing_90d").alias("max_dpd"), F.col("avg_dpd_trailing_90d").alias("avg_dpd"), F.col("unpaid_ratio_trailing_90d").alias("unpaid_ratio"), F.col("total_outstanding_debt").alias("debt")),
-        "login_features": m.logins_trailing(spark, d).where("days_since_last_login is not null"), "ticket_features": m.tickets_trailing(spark, d),
+#: What stands for a sound value in broken rows, by the kind of column; other columns stay.
+_NUMBERS = (
+    "company_id contract_id fiscal_year max_dpd_trailing_90d avg_dpd_trailing_90d unpaid_ratio_trailing_90d total_outstanding_debt company_age_days active_contracts_count is_insolvent days_since_last_login login_velocity "
+    "billing_disputes_count average_satisfaction_score month quarter day_of_week revenue net_income total_debt cash_and_equivalents share_capital ebitda amount_excluding_tax tax_amount total_amount payment_term_days amount_paid "
+    "ticket_id login_id user_id satisfaction_score"
+).split()
+_TEXTS = (
+    "company_key profile_key vat_number legal_name legal_form industry_sector day_name commodity_type market_type contract_status voltage_level pressure_level invoice_id invoice_number invoice_status payment_id "
+    "transaction_reference payment_method payment_status ticket_category ip_address device_type"
+).split()
+_DATES = "snapshot_date date valid_from foundation_date activation_date issue_date due_date payment_date".split()
+#: Of 40 values of this number, rows of one lose all values, of one stand twice, of one have bad values.
+_BREAKERS = {"dim_date": "datediff(date, date'1990-01-01')", "contracts": "contract_id", "invoices": "contract_id + 3", "statements": "company_id + 3", "fact": "company_id + 3", "payments": "datediff(payment_date, date'1990-01-01')", "tickets": "ticket_id", "logins": "login_id"}
+_BREAKERS_SQL = _BREAKERS | {"dim_date": "date_diff('day', DATE '1990-01-01', date)", "payments": "date_diff('day', DATE '1990-01-01', payment_date)"}
+
+
+def _rule_columns(table: str) -> list[str]:
+    """What the rules of a table, and the references to it, read."""
+    own = [c for r in declared.RULES if r.table == table for c in (*r.columns, *(["valid_to"] if "valid_to" in r.where else []))]
+    return list(dict.fromkeys([*own, *(r.key for r in declared.RULES if r.other == table)]))
+
+
+def _broken(name: str, df: DataFrame) -> DataFrame:
+    b = F.pmod(F.expr(_BREAKERS.get(name, "company_id")), F.lit(40))
+    kinds = {**dict.fromkeys(_NUMBERS, F.lit(-5)), **dict.fromkeys(_TEXTS, F.lit("zz")), **dict.fromkeys(_DATES, F.lit("1900-01-01").cast("date"))}
+    values = []
+    for c in _rule_columns(name):
+        bad = F.when(F.col("_b") == 2, kinds[c].cast(df.schema[c].dataType)) if c in kinds else F.when(F.lit(False), F.col(c))
+        values.append(F.when(F.col("_b") == 0, F.lit(None)).otherwise(F.coalesce(bad, F.col(c))).alias(c))
+    times = F.when(F.col("_b") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return df.withColumn("_b", b).withColumn("_time", F.explode(times)).select(*values)
+
+
+def declared_rules(spark: SparkSession, d: str, broken: bool) -> DataFrame:
+    """(rule, violations) of all declared rules, on the models as they are or broken on purpose. The
+    warehouse is written once, so that no model's inputs are computed for another's sake."""
+    house = Warehouse.build(spark, d, f"ledgerlark_{uuid.uuid4().hex}", work_folder(spark), marts=False)
+    found = declared.tables(spark, d, source=house)
+    if broken:
+        found = {name: _broken(name, df) for name, df in found.items()}
+    return rules.check(found, declared.RULES)
+
+
+def _relations(fact: str) -> dict[str, str]:
+    key = "md5(CAST(company_id AS VARCHAR) || '-' || CAST(foundation_date AS VARCHAR))"
+    line = "CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR)"
+    number = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+    return {
+        "spine": "SELECT * FROM spine",
+        "billing": "SELECT company_id, snapshot_date, max_dpd AS max_dpd_trailing_90d, avg_dpd AS avg_dpd_trailing_90d, unpaid_ratio AS unpaid_ratio_trailing_90d, debt AS total_outstanding_debt FROM billing",
+        "resolved": f"SELECT s.snapshot_date, c.*, {key.replace('company_id', 'c.company_id')} AS company_key, 'srl' AS legal_form, date_diff('day', foundation_date, s.snapshot_date) AS company_age_days FROM spine s JOIN companies c ON c.company_id = s.company_id AND s.snapshot_date >= foundation_date",
+        "contracts_asof": "SELECT * FROM active",
+        "label": "SELECT l.*, coalesce(b.max_dpd, 0) AS max_dpd_trailing_90d FROM label l LEFT JOIN billing b USING (company_id, snapshot_date)",
+        "logins_trailing": "SELECT s.company_id, s.snapshot_date, days_since_last_login, login_velocity FROM spine s LEFT JOIN login_features USING (company_id, snapshot_date)",
+        "tickets_trailing": "SELECT * FROM ticket_features",
+        "financial_asof": "SELECT * FROM financial WHERE fiscal_year IS NOT NULL",
+        "dim_date": f"SELECT d AS date, month(d) AS month, quarter(d) AS quarter, dayofweek(d) AS day_of_week, dayname(d) AS day_name, dayofweek(d) IN (0, 6) AS is_weekend FROM (SELECT CAST(unnest(generate_series(CAST((SELECT min(foundation_date) FROM companies) AS TIMESTAMP), CAST(DATE '{m.AS_OF}' AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d)",
+        "dim_companies": f"SELECT *, {key} AS company_key, 'srl' AS legal_form, foundation_date AS valid_from FROM companies",
+        "fact": f"SELECT *, max_dpd AS max_dpd_trailing_90d, avg_dpd AS avg_dpd_trailing_90d, unpaid_ratio AS unpaid_ratio_trailing_90d, debt AS total_outstanding_debt FROM ({fact})",
+        "companies": "SELECT *, 'srl' AS legal_form, foundation_date AS valid_from, CAST(NULL AS DATE) AS valid_to FROM companies",
+        "contracts": """SELECT *, activation_date AS valid_from, CAST(NULL AS DATE) AS valid_to, CASE WHEN contract_id % 5 = 0 THEN 'regulated' ELSE 'free' END AS market_type,
+          CASE WHEN contract_id % 2 = 0 THEN CASE WHEN contract_id % 6 = 0 THEN 'medium' ELSE 'low' END END AS voltage_level, CASE WHEN contract_id % 2 = 1 THEN 'low' END AS pressure_level FROM contracts""",
+        "statements": "SELECT *, revenue * 0.10 AS ebitda, CASE WHEN n % 3 = 0 THEN -1 ELSE 1 END * revenue * 0.05 AS net_income, CASE WHEN n % 4 = 0 THEN 0 ELSE revenue * 0.30 END AS total_debt, revenue * 0.08 AS cash_and_equivalents, revenue * 0.25 AS share_capital FROM statements",
+        "invoices": f"""SELECT {line} AS invoice_id, l_orderkey AS contract_id, 'INV-' || {number} AS invoice_number, CASE WHEN l_orderkey % 2 = 0 THEN 'electricity' ELSE 'gas' END AS commodity_type,
+          CASE l_returnflag WHEN 'R' THEN 'overdue' WHEN 'N' THEN 'unpaid' ELSE 'paid' END AS invoice_status, CAST(l_shipdate AS DATE) AS issue_date, CAST(l_shipdate AS DATE) + 20 AS due_date, 20 AS payment_term_days,
+          l_extendedprice * (1 - l_discount) AS amount_excluding_tax, l_extendedprice * (1 - l_discount) * l_tax AS tax_amount, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS total_amount FROM lineitem""",
+        "payments": f"""SELECT 'P/' || {line} AS payment_id, {line} AS invoice_id, 'TX-' || {number} AS transaction_reference, CASE WHEN l_linenumber % 2 = 0 THEN 'bank transfer' ELSE 'card' END AS payment_method, 'completed' AS payment_status,
+          l_extendedprice AS amount_paid, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS payment_date FROM lineitem WHERE l_returnflag = 'A'""",
+        "tickets": "SELECT event_id AS ticket_id, user_id AS company_id, CASE WHEN event_type = 'error' THEN 'billing' ELSE 'technical' END AS ticket_category, ts AS created_at, CASE WHEN event_id % 3 <> 0 THEN 1 + event_id % 5 END AS satisfaction_score FROM events WHERE event_type IN ('error', 'signup')",
+        "logins": "SELECT event_id AS login_id, user_id AS company_id, user_id, ts AS login_timestamp, '10' AS ip_address, CASE WHEN event_type = 'click' THEN 'desktop' ELSE 'mobile' END AS device_type FROM events WHERE event_type IN ('click', 'view')",
     }
-    parts = []
-    for name, df in tables.items():
-        rows: dict = {}
-        for _, kind, column, *arguments in (r for r in DECLARED if r[0] == name):
-            if kind == "not_null":
-                rows |= quality.not_null(column)
-            elif kind == "accepted_values":
-                rows |= quality.accepted_values(column, list(arguments[0]))
-            elif kind == "accepted_range":
-                rows |= quality.accepted_range(column, *arguments[0])
-            elif kind == "unique":
-                parts.append(quality.unique(df, column).withColumn("rule", F.concat(F.lit(f"{name}_"), "rule")))
-            else:
-                parts.append(quality.relationship(df, column, tables[arguments[0][0]], arguments[0][1]).withColumn("rule", F.concat(F.lit(f"{name}_"), "rule")))
-        parts.append(quality.row_rules(df, {f"{name}_{k}": v for k, v in rows.items()}))
-    return reduce(DataFrame.unionByName, parts)
 
 
-def declared_rules_sql() -> str:
-    out = []
-    for table, kind, column, *arguments in DECLARED:
-        rule = f"'{table}_{kind}_{column}'"
-        if kind == "not_null":
-            out.append(f"SELECT {rule} AS rule, count(*) FILTER ({column} IS NULL) AS violations FROM {table}")
-        elif kind == "accepted_values":
-            values = ", ".join(repr(v) for v in arguments[0])
-            out.append(f"SELECT {rule}, count(*) FILTER ({column} NOT IN ({values})) FROM {table}")
-        elif kind == "accepted_range":
-            low, high = arguments[0]
-            out.append(f"SELECT {rule}, count(*) FILTER ({column} < {low}" + (f" OR {column} > {high}" if high is not None else "") + f") FROM {table}")
-        elif kind == "unique":
-            out.append(f"SELECT {rule}, count(*) FROM (SELECT {column} FROM {table} GROUP BY 1 HAVING count(*) > 1)")
-        else:
-            other, key = arguments[0]
-            out.append(f"SELECT {rule}, count(*) FROM {table} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {other})")
-    return " UNION ALL ".join(out)
+def declared_rules_sql(fact: str, broken: bool) -> str:
+    """SQL for declared_rules: every table as a materialised CTE, then a count per rule."""
+    parts = []
+    for name, relation in _relations(fact).items():
+        columns = _rule_columns(name)
+        if not broken:
+            parts.append(f"r_{name} AS MATERIALIZED (SELECT {', '.join(columns)} FROM ({relation}))")
+            continue
+        values = []
+        for c in columns:
+            bad = "-5" if c in _NUMBERS else "'zz'" if c in _TEXTS else "DATE '1900-01-01'" if c in _DATES else c
+            values.append(f"CASE WHEN b = 0 THEN NULL WHEN b = 2 THEN {bad} ELSE {c} END AS {c}")
+        parts.append(f"r_{name} AS MATERIALIZED (SELECT {', '.join(values)} FROM (SELECT *, unnest(CASE WHEN b = 1 THEN [1, 2] ELSE [1] END) AS time FROM (SELECT *, ({_BREAKERS_SQL.get(name, 'company_id')}) % 40 AS b FROM ({relation}))))")
+    relations = {name: f"r_{name}" for name in _relations(fact)}
+    return ", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT '{r.name}' AS rule, ({r.sql(relations)}) AS violations" for r in declared.RULES)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions.keys import surrogate_key
 from . import quality_queries as qq
-from .operators import ml, quality, retrieval, temporal, training, validation
+from .operators import explain, ml, quality, retrieval, temporal, training, validation
+from .operators.vector_index import VectorIndex
 from .plans import models as m
 from .plans.warehouse import Warehouse
 from .session import work_folder
@@ -273,6 +274,35 @@ def quality_spine(spark, d):
     return out
 
 
+_HOLED = ", holed AS (SELECT company_id, snapshot_date, year(snapshot_date) * 12 + month(snapshot_date) AS k FROM spine WHERE (year(snapshot_date) * 12 + month(snapshot_date) + company_id) % 17 > 2)"
+
+
+def _holed(spark, d):
+    """The spine without three of every 17 months, others for each company."""
+    return m.company_date_spine(spark, d).where((F.year("snapshot_date") * 12 + F.month("snapshot_date") + F.col("company_id")) % 17 > 2)
+
+
+@query(_HOLED + """ SELECT company_id, min(snapshot_date) AS start, max(snapshot_date) AS "end", count(*) AS n
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY company_id ORDER BY k) AS run FROM holed) GROUP BY company_id, run""")
+def spine_islands(spark, d):
+    return quality.islands(_holed(spark, d), "company_id", "snapshot_date")
+
+
+@query(_HOLED + """ SELECT company_id, CAST(snapshot_date + INTERVAL 1 MONTH AS DATE) AS start, CAST(following - INTERVAL 1 MONTH AS DATE) AS "end", CAST(k2 - k - 1 AS BIGINT) AS n
+  FROM (SELECT *, lead(snapshot_date) OVER w AS following, lead(k) OVER w AS k2 FROM holed WINDOW w AS (PARTITION BY company_id ORDER BY k)) WHERE k2 > k + 1""")
+def spine_gaps(spark, d):
+    return quality.gaps(_holed(spark, d), "company_id", "snapshot_date")
+
+
+@query(""", spans AS (SELECT company_id, activation_date AS s, activation_date + CAST(30 + contract_id % 400 AS INTEGER) AS e0, CASE WHEN contract_id % 50 > 0 THEN activation_date + CAST(30 + contract_id % 400 AS INTEGER) ELSE DATE '9999-12-31' END AS e FROM contracts)
+SELECT company_id, s AS start, least(reach, e) AS "end" FROM (SELECT *, max(e) OVER (PARTITION BY company_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans) WHERE reach IS NOT NULL AND s < least(reach, e)""")
+def contract_overlaps(spark, d):
+    """Contracts as intervals of 30 to 429 days, every fiftieth open: what earlier ones of the company cover."""
+    k = F.col("contract_id")
+    end = F.when(k % 50 > 0, F.date_add("activation_date", (30 + k % 400).cast("int")))
+    return quality.overlaps(m.stg_energy_contracts(spark, d).withColumn("until", end), "company_id", "activation_date", "until")
+
+
 @query("""SELECT 'velocity_above_3' AS rule, count(*) FILTER (login_velocity > 3.0001) AS violations FROM login_features
   UNION ALL SELECT 'recency_90_or_more', count(*) FILTER (days_since_last_login >= 90) FROM login_features
   UNION ALL SELECT 'one_of_two_null', count(*) FILTER ((days_since_last_login IS NULL) <> (login_velocity IS NULL)) FROM login_features""")
@@ -343,6 +373,69 @@ def ml_scaled(spark, d):
 _FEATURES = ("company_age_days", "active_contracts_count", "unpaid_ratio_trailing_90d", "days_since_last_login", "login_velocity", "leverage_ratio", "ebitda")
 
 
+@query(""", days AS (
+  SELECT company_id, CAST(unnest(generate_series(CAST(first AS TIMESTAMP), CAST(""" + _AS_OF + """ AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS snapshot_date FROM (SELECT company_id, min(day) AS first FROM logins GROUP BY 1))
+SELECT s.company_id, s.snapshot_date, CAST(date_diff('day', max(l.day), s.snapshot_date) AS INTEGER) AS days_since_last_login, nullif(count(l.day), 0) AS logins,
+  round(CAST(count(*) FILTER (l.day > s.snapshot_date - INTERVAL 30 DAY) AS DOUBLE) / (nullif(count(l.day), 0) / 3.0), 4) AS login_velocity
+FROM days s LEFT JOIN logins l ON l.company_id = s.company_id AND l.day > s.snapshot_date - INTERVAL 90 DAY AND l.day <= s.snapshot_date GROUP BY 1, 2""")
+def logins_daily(spark, d):
+    """The trailing login features for every day."""
+    return m.logins_daily(spark, d).withColumn("login_velocity", F.round(F.col("login_velocity").cast("double"), 4))
+
+
+@query(""", turns AS (
+  SELECT company_id, due_date AS snapshot_date FROM invoices WHERE due_date <= """ + _AS_OF + """ UNION SELECT company_id, payment_date FROM invoices WHERE payment_date <= """ + _AS_OF + """)
+SELECT s.company_id, s.snapshot_date, CAST(max(greatest(0, date_diff('day', due_date, least(coalesce(payment_date, s.snapshot_date), s.snapshot_date)))) AS INTEGER) AS max_dpd, count(*) AS invoices,
+  round(CAST(coalesce(sum(total_amount) FILTER (payment_date IS NULL OR payment_date > s.snapshot_date), 0) AS DOUBLE), 2) AS open_amount
+FROM turns s JOIN invoices i ON i.company_id = s.company_id AND due_date > s.snapshot_date - INTERVAL 120 DAY AND due_date <= s.snapshot_date GROUP BY 1, 2""")
+def billing_daily(spark, d):
+    """What is due and open on each day that a company's bills change."""
+    return m.billing_daily(spark, d).withColumns({"max_dpd": F.col("max_dpd").cast("int"), "open_amount": F.round(F.col("open_amount").cast("double"), 2)})
+
+
+@query(", heldout AS (SELECT company_id, snapshot_date FROM (" + _FACT + ") f WHERE snapshot_date >= (SELECT min(x) FROM (SELECT DISTINCT snapshot_date AS x FROM spine ORDER BY 1 DESC LIMIT 12))) SELECT company_id, snapshot_date, CAST(10 AS INTEGER) AS features, CAST(0 AS DOUBLE) AS gap, true AS ordered FROM heldout")
+def ml_tree_contributions(spark, d):
+    """Shapley contributions of a boosted model on all holdout rows: base and contributions sum up to
+    the model's margin, in the order of their size."""
+    remaining, test, _ = training.combined_split(training.written(m.star_features(spark, d)), "snapshot_date")
+    make = training.Preprocessor((), _FEATURES, scale=False)
+    own = make.fit(remaining)
+    model = training.train(own.apply(remaining), own.columns, "is_insolvent", "gbt", trees=4, depth=3)
+    explained = explain.tree_contributions(model, ml.score(model, own.apply(test)), own.columns)
+    margin = -F.log(1 / F.col("y_pred_proba") - 1) / 2
+    sizes = F.transform("contributions", lambda c: F.abs(c["shap"]))
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["shap"])
+    return explained.select("company_id", "snapshot_date", F.size("contributions").alias("features"), (F.round(total - margin, 8) + F.lit(0.0)).alias("gap"), (sizes == F.reverse(F.array_sort(sizes))).alias("ordered"))
+
+
+_LINEAR = ("company_age_days", "unpaid_ratio_trailing_90d", "ebitda")
+
+
+@query("SELECT unnest(['company_age_days', 'ebitda', 'intercept', 'unpaid_ratio_trailing_90d']) AS feature, CAST(0 AS DOUBLE) AS gradient, CAST(0 AS DOUBLE) AS gap, true AS ordered")
+def ml_logistic_optimum(spark, d):
+    """The gradient of the balanced, ridge-penalised loss at the fitted model, over all training rows:
+    0 in every direction at the optimum. gap and ordered: each row's linear contributions sum up to
+    its margin's distance from the mean row's, in the order of their size."""
+    remaining, _, _ = training.combined_split(training.written(m.star_features(spark, d)), "snapshot_date")
+    own = training.Preprocessor((), _LINEAR, handle_missing=False).fit(remaining)
+    rows = training.written(own.apply(remaining).select("is_insolvent", *own.columns))
+    model = training.train(rows, own.columns, "is_insolvent", c=0.0001, iterations=500)
+    fitted = model.stages[-1]
+    weights = dict(zip(own.columns, fitted.coefficients.toArray().tolist(), strict=True))
+    n, yes = rows.agg(F.count("*"), F.sum("is_insolvent")).first()
+    scored = ml.score(model, rows).withColumn("_pull", F.when(F.col("is_insolvent") == 1, n / (2.0 * yes)).otherwise(n / (2.0 * (n - yes))) * (F.col("y_pred_proba") - F.col("is_insolvent")) / n)
+    ridge = training.ridge(0.0001, n)
+    pulls = scored.agg(F.sum("_pull").alias("intercept"), *((F.sum(F.col("_pull") * F.col(c)) + F.lit(ridge * w)).alias(c) for c, w in weights.items()))
+    explained = ml.linear_contributions(model, scored, own.columns)
+    total = F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["value"])
+    margin = -F.log(1 / F.col("y_pred_proba") - 1)
+    sizes = F.transform("contributions", lambda c: F.abs(c["value"]))
+    centre = fitted.intercept + sum(w * m_ for w, m_ in zip(weights.values(), rows.agg(*(F.avg(c) for c in weights)).first(), strict=True))
+    checks = explained.agg(F.round(F.max(F.abs(total + F.lit(centre) - margin)), 6).alias("gap"), F.bool_and(sizes == F.reverse(F.array_sort(sizes))).alias("ordered"))
+    listed = pulls.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), (F.round(c, 6) + F.lit(0.0)).alias("gradient")) for c in (*weights, "intercept")))))
+    return listed.join(F.broadcast(checks))  # one row
+
+
 @query()
 def ml_train_score(spark, d):
     """Balanced ridge logistic regression on all star features before the holdout, scored on it."""
@@ -404,6 +497,27 @@ def nearest_chunks(spark, d):
     return retrieval.nearest_by_cosine(vectors, query_vector).withColumn("distance", F.round("distance", 5) + F.lit(0.0))
 
 
+_BATCH = """SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS id, v.label,
+    round(1 - list_sum(list_transform(list_zip(v.e, q.e), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.e, lambda x: x * x)))), 10) + 0.0 AS distance
+  FROM vectors q, vectors v WHERE q.vec_id % 4 = 0"""
+
+
+@query(""", vectors AS MATERIALIZED (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 10 = 0 THEN -x ELSE x END) AS e FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 3 > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, 'chunk ' || id AS text, CAST(label AS VARCHAR) AS label, round(distance, 6) + 0.0 AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (""" + _BATCH + """)) WHERE rank <= 6""")
+def vector_index(spark, d):
+    """An index built twice (the second build leaves out every third vector), upserted (every tenth
+    vector is turned round), and searched for every fourth of its vectors."""
+    vectors = src.read_table(spark, d, "embeddings")
+    chunk = lambda rows, sign: rows.select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("text"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.transform("embedding", lambda x: x.cast("double") * sign).alias("vector"))
+    index = VectorIndex(spark, work_folder(spark))
+    index.build(chunk(vectors, 1.0))
+    index.build(chunk(vectors.where("vec_id % 3 > 0"), 1.0))
+    index.upsert(chunk(vectors.where("vec_id % 10 = 0"), -1.0))
+    asked = index.table().where("cast(id as long) % 4 = 0").select(F.col("id").alias("query_id"), "vector")
+    return index.nearest(asked).select("query_id", "rank", "id", "text", F.col("metadata")["label"].alias("label"), (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
 @query("""SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) FILTER (rn <= 6) AS history FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)) GROUP BY 1""")
 def chat_history(spark, d):
@@ -497,9 +611,14 @@ def quality_models_broken(spark, d):
     return qq.model_rules(spark, d, broken=True)
 
 
-@query(qq.declared_rules_sql())
+@query(qq.declared_rules_sql(_FACT, False))
 def quality_declared(spark, d):
-    return qq.declared_rules(spark, d)
+    return qq.declared_rules(spark, d, broken=False)
+
+
+@query(qq.declared_rules_sql(_FACT, True))
+def quality_declared_broken(spark, d):
+    return qq.declared_rules(spark, d, broken=True)
 
 
 @query("""SELECT o_orderkey AS contract_id, o_custkey AS company_id, CASE WHEN o_orderkey % 2 = 0 THEN 'electricity' ELSE 'gas' END AS commodity_type,

@@ -123,9 +123,11 @@ def invoices(spark: SparkSession, d: str) -> DataFrame:
     total = F.col("l_extendedprice").cast(_D2) * (1 - F.col("l_discount").cast("decimal(5,2)")) * (1 + F.col("l_tax").cast("decimal(5,2)"))
     status = F.when(F.col("l_returnflag") == "R", "overdue").when(F.col("l_returnflag") == "N", "unpaid").otherwise("paid")
     identity = F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), issue.cast("string"))
+    net = F.col("l_extendedprice").cast(_D2) * (1 - F.col("l_discount").cast("decimal(5,2)"))
     return read_table(spark, d, "lineitem").select(
         identity.alias("invoice_id"), F.col("l_orderkey").alias("contract_id"), issue.alias("issue_date"), F.date_add(issue, 20).alias("due_date"),
-        total.cast(_D2).alias("total_amount"), status.alias("invoice_status"),
+        total.cast(_D2).alias("total_amount"), status.alias("invoice_status"), F.concat(F.lit("INV-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("invoice_number"),
+        F.when(F.col("l_orderkey") % 2 == 0, "electricity").otherwise("gas").alias("commodity_type"), net.cast(_D2).alias("amount_excluding_tax"), (total.cast(_D2) - net.cast(_D2)).cast(_D2).alias("tax_amount"),
     )
 
 
@@ -133,7 +135,7 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
     issue = F.col("l_shipdate").cast("date")
     identity = F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), issue.cast("string"))
     return read_table(spark, d, "lineitem").where("l_returnflag = 'A'").select(
-        identity.alias("invoice_id"), F.date_add(issue, F.col("l_quantity").cast("int")).alias("payment_date"), F.lit("completed").alias("payment_status"), F.col("l_extendedprice").cast(_D2).alias("amount_paid"),
+        identity.alias("invoice_id"), F.concat(F.lit("P/"), identity).alias("payment_id"), F.date_add(issue, F.col("l_quantity").cast("int")).alias("payment_date"), F.lit("completed").alias("payment_status"), F.col("l_extendedprice").cast(_D2).alias("amount_paid"),
         F.concat(F.lit(" TX-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("transaction_reference"), F.when(F.col("l_linenumber") % 2 == 0, "Bank Transfer ").otherwise("card").alias("payment_method"),
     )
 
@@ -161,5 +163,5 @@ def crm_support_tickets(spark: SparkSession, d: str) -> DataFrame:
 
 def user_web_logins(spark: SparkSession, d: str) -> DataFrame:
     events = read_table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
-    return events.select(F.col("event_id").alias("login_id"), F.col("user_id").alias("company_id"), F.col("ts").cast("timestamp").alias("login_timestamp"),
+    return events.select(F.col("event_id").alias("login_id"), F.col("user_id").alias("company_id"), F.col("user_id"), F.col("ts").cast("timestamp").alias("login_timestamp"),
         F.concat_ws(".", F.lit("10"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("1")).alias("ip_address"), F.when(F.col("event_type") == "click", "Desktop ").otherwise("mobile").alias("device_type"))
