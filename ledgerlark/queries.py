@@ -17,6 +17,7 @@ from .plans.warehouse import Warehouse
 from .session import work_folder
 from .sources import tables as src
 from .streaming import logins as streaming
+from .streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -526,6 +527,18 @@ def chat_history(spark, d):
     return retrieval.chat_history(turns).select("conv_id", "n_turns", F.concat_ws("\n", lines).alias("history"))
 
 
+@query("""SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) FILTER (rn <= 6) AS history FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)) GROUP BY 1""")
+def chat_sessions(spark, d):
+    """The histories by a stream of turns in four batches of files, cut without regard to conversations."""
+    folder = work_folder(spark)
+    turns = src.read_table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    turns.repartition(4, "turn", "text").write.parquet(folder)
+    found = sessions.latest(sessions.run_to_table(spark, folder, turns.schema, work_folder(spark)))
+    lines = F.transform(F.from_json("history", "array<array<string>>"), lambda h: F.concat(h[1], F.lit(": "), h[2]))
+    return found.select("conv_id", "n_turns", F.concat_ws("\n", lines).alias("history"))
+
+
 _MARKDOWN = "{line}intro{line}## Page {id} {line}about{line}#### First {line}one{line}#### Second{line}two{line}## Bare{line}#### Only{line}text {id}{line}## Last{line}end"
 
 
