@@ -28,5 +28,27 @@ def month_start_from(day: Column) -> Column:
     return F.when(F.dayofmonth(day) == 1, day).otherwise(F.add_months(F.trunc(day, "MM"), 1))
 
 
+def as_utc(moment: Column, zone: str | Column = "UTC") -> Column:
+    """The moment (timestamp) that a wall clock reading without a zone (timestamp_ntz, or text that has
+    none) shows in `zone`; text with an offset keeps its moment. Doesn't depend on the session's zone."""
+    text = moment.cast("string")
+    own = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    wall = F.to_timestamp_ntz(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""))
+    shift = F.coalesce(F.nullif(F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1), F.lit("")), F.lit("Z"))
+    offset = F.when(shift == "Z", F.lit("+00:00")).otherwise(F.concat(F.substring(shift, 1, 3), F.lit(":"), F.right(shift, F.lit(2))))
+    zone = F.lit(zone) if isinstance(zone, str) else zone
+    return F.make_timestamp(F.year(wall), F.month(wall), F.dayofmonth(wall), F.hour(wall), F.minute(wall), F.second(wall) + F.extract(F.lit("SECOND"), wall) % 1, F.when(own, offset).otherwise(zone))
+
+
+def half_up(value: Column, digits: int = 2, whole: int = 15) -> Column:
+    """Decimal of `digits` places, ties away from zero."""
+    return value.cast(f"decimal({whole},{digits})")
+
+
+def sigmoid(value: Column) -> Column:
+    """1 / (1 + exp(-value)); never overflows."""
+    return F.when(value >= 0, 1 / (1 + F.exp(-value))).otherwise(F.exp(value) / (1 + F.exp(value)))
+
+
 def age_in_days(now: Column, then: Column) -> Column:
     return F.datediff(now, then)

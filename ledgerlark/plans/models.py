@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import cleaned, month_start_from, ratio, surrogate_key
-from ..operators.temporal import FAR, carried, daily_spine, expand_trailing, latest_at, monthly_spine, running_counts, trailing_pairs, version_changes
+from ..operators.temporal import FAR, capture_changes, carried, daily_spine, expand_trailing, latest_at, monthly_spine, running_counts, trailing_pairs, version_changes
 from ..sources import tables as src
 
 AS_OF = "2024-04-01"
@@ -66,6 +66,19 @@ def stg_user_web_logins(spark: SparkSession, d: str) -> DataFrame:
     return logins.withColumns({"ip_address": F.substring("ip_address", 1, 45), "device_type": cleaned(F.col("device_type"))})
 
 
+#: Columns whose change opens a new version, and the key, of the tables with versions.
+SNAPSHOTS = {
+    "companies": ("company_id", ["legal_name", "legal_form", "industry_sector", "registered_office_region", "is_active"]),
+    "energy_contracts": ("contract_id", ["contract_status", "voltage_level", "power_committed_kw", "gas_meter_class", "termination_date"]),
+}
+
+
+def snapshot(name: str, history: DataFrame, current: DataFrame, run_at: str) -> DataFrame:
+    """History of a table with versions after a run over its current rows."""
+    key, watched = SNAPSHOTS[name]
+    return capture_changes(history, current, key, watched, run_at)
+
+
 class Staged:
     """Staged tables with what the models need of them."""
 

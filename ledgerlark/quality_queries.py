@@ -63,12 +63,14 @@ GROUP BY 1, 2"""
 
 
 def model_rules(spark: SparkSession, d: str, broken: bool) -> DataFrame:
-    """(rule, violations) of all leakage and consistency rules."""
+    """(rule, violations) of all leakage and consistency rules, over a warehouse that is written once: no
+    rule computes another's inputs."""
+    house = Warehouse.build(spark, d, f"ledgerlark_{uuid.uuid4().hex}", work_folder(spark))
     bad = (F.col("company_id") % 50 == 0) if broken else F.lit(False)
     worse = (F.col("company_id") % 50 == 7) if broken else F.lit(False)
     keys = leakage.KEYS
-    spine = m.company_date_spine(spark, d)
-    billing = m.billing_trailing(spark, d).select(
+    spine = house.table("spine")
+    billing = m.billing_trailing(spark, d, source=house).select(
         *keys, F.col("max_dpd_trailing_90d").alias("max_dpd"), F.when(bad, 0).otherwise(F.col("max_dpd_trailing_90d")).alias("top"), F.when(bad, 5).otherwise(F.col("avg_dpd_trailing_90d")).alias("mean"),
         F.when(worse, 0).otherwise(F.col("unpaid_ratio_trailing_90d")).alias("ratio"), F.col("total_outstanding_debt").alias("debt"),
     )
@@ -76,22 +78,22 @@ def model_rules(spark: SparkSession, d: str, broken: bool) -> DataFrame:
     late = F.when(F.col("contract_id") % 40 == 0, 30).otherwise(0) if broken else F.lit(0)
     windows = temporal.expand_trailing(facts.withColumn("issue_date", F.date_add("issue_date", late)), F.col("due_date"), m.BILLING_DAYS)
     windows = windows.where(F.col("issue_date") > F.col("snapshot_date")).join(spine, keys, "left_semi")
-    resolved = m.companies_resolved(spark, d).withColumn("foundation_date", F.when(bad, F.date_add("snapshot_date", 1)).otherwise(F.col("foundation_date")))
+    resolved = m.companies_resolved(spark, d, source=house).withColumn("foundation_date", F.when(bad, F.date_add("snapshot_date", 1)).otherwise(F.col("foundation_date")))
     resolved = resolved.withColumns({"company_age_days": F.datediff("snapshot_date", "foundation_date"), "valid_to": F.when(worse, F.col("snapshot_date")).otherwise(F.col("valid_to"))})
     versions = company_versions(spark, d)
     bounded = spine if broken else temporal.monthly_spine(versions, "company_id", "foundation_date", m.AS_OF, "valid_to")
-    contracts = m.contracts_asof(spark, d)
+    contracts = m.contracts_asof(spark, d, source=house)
     flagged = contracts.withColumn("active_contracts_count", F.when(bad, 0).otherwise(F.col("active_contracts_count")))
     counted = contracts.withColumn("n", F.when(worse, 1).otherwise(F.col("active_contracts_count"))).where("n > 0")
-    latest = m.financial_asof(spark, d)
+    latest = m.financial_asof(spark, d, source=house)
     chosen = latest.select(*keys, (F.col("fiscal_year") + F.when(bad, 1).when(worse, -1).otherwise(0)).alias("fiscal_year"))
-    label = m.insolvency_label(spark, d).join(billing.select(*keys, "max_dpd"), keys, "left").withColumn("is_insolvent", F.when(bad, 1 - F.col("is_insolvent")).otherwise(F.col("is_insolvent")))
-    tickets = m.tickets_trailing(spark, d)
+    label = m.insolvency_label(spark, d, source=house).join(billing.select(*keys, "max_dpd"), keys, "left").withColumn("is_insolvent", F.when(bad, 1 - F.col("is_insolvent")).otherwise(F.col("is_insolvent")))
+    tickets = m.tickets_trailing(spark, d, source=house)
     moved = tickets.withColumn("snapshot_date", F.when(bad, F.add_months("snapshot_date", 600)).otherwise(F.col("snapshot_date")))
-    dim = m.dim_companies(spark, d)
+    dim = house.table("dim_companies")
     twice = dim.unionByName(dim.where(bad))
     closed = dim.withColumn("valid_to", F.when(bad, F.lit("2010-01-01").cast("date")).otherwise(F.col("valid_to")))
-    fact = m.fct_company_credit_profile(spark, d).withColumn("unpaid_ratio_trailing_90d", F.when(~worse, F.col("unpaid_ratio_trailing_90d")))
+    fact = house.table("fct_company_credit_profile").withColumn("unpaid_ratio_trailing_90d", F.when(~worse, F.col("unpaid_ratio_trailing_90d")))
     measures = ("active_contracts_count", "max_dpd_trailing_90d", "avg_dpd_trailing_90d", "unpaid_ratio_trailing_90d", "total_outstanding_debt", "billing_disputes_count")
     parts = [
         quality.row_rules(billing, leakage.billing_rules("top", "mean", "ratio", "debt")),
@@ -102,7 +104,7 @@ def model_rules(spark: SparkSession, d: str, broken: bool) -> DataFrame:
         leakage.without_source("count_without_contract", counted, contracts.where("active_contracts_count > 0")),
         leakage.financial_rules(chosen, latest),
         quality.row_rules(label, leakage.label_rules()),
-        leakage.without_source("features_without_ticket", moved, m.ticket_windows(spark, d)),
+        leakage.without_source("features_without_ticket", moved, m.ticket_windows(spark, d, house)),
         leakage.several_current(twice),
         leakage.key_out_of_time(fact, closed),
         quality.row_rules(fact, {"unexpected_null": reduce(lambda a, b: a | b, (F.col(c).isNull() for c in measures))}),

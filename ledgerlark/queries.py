@@ -242,6 +242,42 @@ def scd2_snapshot(spark, d):
     return temporal.capture_changes(one, flipped, "company_id", ["legal_name", "is_active"], "2024-02-01")
 
 
+@query("""SELECT contract_id, company_id, status, CASE WHEN contract_id % 3 = 0 AND status <> 'terminated' THEN DATE '2024-02-01' END AS ended, DATE '2024-01-01' AS valid_from,
+    CASE WHEN contract_id % 3 = 0 AND status <> 'terminated' THEN DATE '2024-02-01' END AS valid_to FROM (SELECT contract_id, company_id, contract_status AS status FROM contracts)
+  UNION ALL SELECT contract_id, company_id, 'terminated', DATE '2024-02-01', DATE '2024-02-01', NULL FROM contracts WHERE contract_id % 3 = 0 AND contract_status <> 'terminated'""".replace("CASE WHEN contract_id % 3 = 0 AND status <> 'terminated' THEN DATE '2024-02-01' END AS ended, DATE '2024-01-01'", "CAST(NULL AS DATE) AS ended, DATE '2024-01-01'"))
+def contract_snapshot(spark, d):
+    """Two runs over the contracts: the second terminates every third that wasn't. A change of another
+    column (the market) opens no version."""
+    c = m.stg_energy_contracts(spark, d).drop("valid_from", "valid_to").withColumn("termination_date", F.lit(None).cast("date"))
+    empty = c.limit(0).withColumns({"valid_from": F.lit(None).cast("date"), "valid_to": F.lit(None).cast("date")})
+    one = m.snapshot("energy_contracts", empty, c, "2024-01-01")
+    ends = (F.col("contract_id") % 3 == 0) & (F.col("contract_status") != "terminated")
+    later = c.withColumns({"termination_date": F.when(ends, F.lit("2024-02-01").cast("date")), "contract_status": F.when(ends, F.lit("terminated")).otherwise(F.col("contract_status")), "market_type": F.lit("other")})
+    return m.snapshot("energy_contracts", one, later, "2024-02-01").select("contract_id", "company_id", F.col("contract_status").alias("status"), F.col("termination_date").alias("ended"), "valid_from", "valid_to")
+
+
+_CONTRACT_RULES = {
+    "electricity_incomplete": "kind = 'electricity' AND (voltage IS NULL OR power IS NULL)", "electricity_with_gas_values": "kind = 'electricity' AND (pressure IS NOT NULL OR meter IS NOT NULL)",
+    "gas_incomplete": "kind = 'gas' AND (pressure IS NULL OR meter IS NULL)", "gas_with_electricity_values": "kind = 'gas' AND (voltage IS NOT NULL OR power IS NOT NULL)",
+    "gas_meter_class_format": "NOT regexp_full_match(meter, 'G[0-9]+')", "power_not_positive": "power <= 0", "ends_before_it_begins": "ended <= activation_date", "terminated_without_end": "status = 'terminated' AND ended IS NULL",
+}
+
+
+@query(""", c AS (SELECT contract_id, CASE WHEN contract_id % 2 = 0 THEN 'electricity' ELSE 'gas' END AS kind, CASE WHEN contract_id % 2 = 0 AND contract_id % 11 > 0 THEN 'low' END AS voltage,
+    CASE WHEN contract_id % 2 = 0 OR contract_id % 13 = 0 THEN contract_id % 17 - 1 END AS power, CASE WHEN contract_id % 2 = 1 OR contract_id % 19 = 0 THEN 'low' END AS pressure,
+    CASE WHEN contract_id % 2 = 1 THEN CASE WHEN contract_id % 7 = 0 THEN 'X' ELSE 'G' END || CAST(contract_id % 9 AS VARCHAR) END AS meter, contract_status AS status, activation_date,
+    CASE WHEN contract_id % 5 = 0 THEN activation_date + CAST(contract_id % 4 - 1 AS INTEGER) END AS ended FROM contracts)
+SELECT contract_id, concat_ws(',', """ + ", ".join(f"CASE WHEN {bad} THEN '{name}' END" for name, bad in _CONTRACT_RULES.items()) + """) AS broken FROM c""")
+def contract_validation(spark, d):
+    """Contracts, changed on purpose, with the row rules that they break."""
+    k, power = F.col("contract_id"), F.col("contract_id") % 2 == 0
+    changed = m.stg_energy_contracts(spark, d).withColumns({
+        "voltage_level": F.when(power & (k % 11 > 0), "low"), "power_committed_kw": F.when(power | (k % 13 == 0), k % 17 - 1), "pressure_level": F.when(~power | (k % 19 == 0), "low"),
+        "gas_meter_class": F.when(~power, F.concat(F.when(k % 7 == 0, "X").otherwise("G"), (k % 9).cast("string"))), "termination_date": F.when(k % 5 == 0, F.date_add("activation_date", (k % 4 - 1).cast("int"))),
+    })
+    return validation.violations(changed, validation.contract_rules()).select("contract_id", F.concat_ws(",", "violations").alias("broken"))
+
+
 @query("""SELECT 'avg_above_max' AS rule, count(*) FILTER (avg_dpd > max_dpd) AS violations FROM billing
   UNION ALL SELECT 'debt_without_ratio', count(*) FILTER (debt > 0 AND unpaid_ratio = 0) FROM billing
   UNION ALL SELECT 'accepted_range_unpaid_ratio', count(*) FILTER (unpaid_ratio < 0 OR unpaid_ratio > 1) FROM billing

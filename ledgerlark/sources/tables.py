@@ -13,9 +13,16 @@ from pyspark.sql.utils import AnalysisException
 LOAD_ORDER = ("companies", "energy_contracts", "financial_statements", "invoices", "payments", "crm_support_tickets", "user_web_logins")
 
 
+def table_path(folder: str, name: str) -> str:
+    """Where a table's file or folder is; its name may have the ending already, but no folder."""
+    if not name or "/" in name:
+        raise ValueError(f"{name!r} isn't the name of a table")
+    return f"{folder.rstrip('/')}/{name.removesuffix('.parquet')}.parquet"
+
+
 def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """Parquet table; with a schema, a missing one reads as empty (an empty extract has no file)."""
-    path = f"{folder}/{name}.parquet"
+    path = table_path(folder, name)
     if schema is None:
         return spark.read.parquet(path)
     try:
@@ -31,7 +38,7 @@ def extract_table(df: DataFrame, folder: str, name: str) -> bool:
     it wrote. Rows go to a folder beside the table's, which takes its place when all are there: a
     failure leaves the earlier extract as it was, and no half one."""
     spark = df.sparkSession
-    path = f"{folder}/{name}.parquet"
+    path = table_path(folder, name)
     aside = f"{folder}/_{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
