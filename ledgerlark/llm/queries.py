@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, hilbert_shards, importance, line_dedup, merkle, mixing, mtree_search, ngram_join, quality_rules, sentencepiece_codec, toxicity, url_filter
+from . import bpe_codec, chat_format, hilbert_shards, importance, line_dedup, merkle, mixing, mtree_search, ngram_join, oracle, quality_rules, sentencepiece_codec, toxicity, url_filter
 from .common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -90,4 +90,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mtree_search": mtree_search.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_merkle": oracle.merkle(),
+    "op13_importance": oracle.importance(importance.BUCKETS, importance.SEED, importance.LEAST_WORDS, importance.PERCENT),
 }
