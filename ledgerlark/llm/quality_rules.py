@@ -3,9 +3,10 @@
 Each document's statistics become a vector (logarithms of mean word length, symbols, repeated
 lines and repeated words in proportion to the words, on an integer grid). For every (language,
 source) group the minimum covariance determinant is estimated by concentration steps over all
-rows: from a median / MAD start, each step keeps the h rows of the smallest Mahalanobis distance
-and re-estimates mean and covariance from them, until the kept rows no longer change. Documents
-are rejected by that distance.
+rows: from each of three deterministic starts, a step keeps the h rows of the smallest Mahalanobis
+distance and re-estimates mean and covariance from them, until the kept rows no longer change; of
+the cores that the starts end in, the one of least determinant counts. Documents are rejected by
+the distance from it.
 
 All estimates are mergeable sums and grid counts: a step is one aggregate over a narrow table of
 distinct grid points with a map-side combine, whatever the group's size; no group is gathered
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices, texts_of
+from .common import discard, materialise, slices, texts_of
 
 WINDOW = 8
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -127,13 +128,14 @@ def _distance(dims: int) -> Column:
 
 
 _GROUP = ["_lang", "_source"]
+_RUN = [*_GROUP, "_start"]
 
 
 def _inverse(groups: DataFrame, dims: int, factor: float) -> DataFrame:
-    """Rows of groups with means m and covariances c to m and inverse covariances p; one row per
-    group, so this is small whatever the number of documents."""
+    """Rows of groups and starts with means m and covariances c to m, inverse covariances p, and det, the
+    logarithm of the covariance's determinant; few rows whatever the number of documents."""
     names = [f"{i}{j}" for i in range(dims) for j in range(i, dims)]
-    schema = ", ".join(["_lang string, _source string", *(f"m{i} double" for i in range(dims)), *(f"p{n} double" for n in names)])
+    schema = ", ".join(["_lang string, _source string, _start int", *(f"m{i} double" for i in range(dims)), *(f"p{n} double" for n in names), "det double"])
 
     def run(batches):
         for rows in batches:
@@ -148,62 +150,78 @@ def _inverse(groups: DataFrame, dims: int, factor: float) -> DataFrame:
             corr = 0.95 * corr  # keeps the matrix regular where statistics move together
             for i in range(dims):
                 corr[:, i, i] = 1.0
-            precision = np.linalg.inv(corr * spread[:, :, None] * spread[:, None, :]) if len(rows) else cov
-            out = {**{c: rows[c] for c in _GROUP}, **{f"m{i}": rows[f"m{i}"] for i in range(dims)}}
+            whole = corr * spread[:, :, None] * spread[:, None, :]
+            precision = np.linalg.inv(whole) if len(rows) else cov
+            out = {**{c: rows[c] for c in _RUN}, **{f"m{i}": rows[f"m{i}"] for i in range(dims)}}
             for i in range(dims):
                 for j in range(i, dims):
                     out[f"p{i}{j}"] = precision[:, i, j]
+            out["det"] = np.linalg.slogdet(whole)[1] if len(rows) else np.zeros(0)
             yield type(rows)(out)
 
     return groups.mapInPandas(run, schema)
 
 
-def _join(points: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
-    """Estimates of a row's group. The group side has one row per (language, source)."""
-    side = groups.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), *(c for c in groups.columns if c not in _GROUP))
-    same = F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))
-    return points.join(side, same, how).drop("_gl", "_gs")
+def _join(points: DataFrame, groups: DataFrame, how: str = "left", keys: list[str] = _GROUP) -> DataFrame:
+    """Estimates of a row's group. The group side has a row per (language, source), for each start."""
+    side = groups.select(*(F.col(c).alias(f"_g{c}") for c in keys), *(c for c in groups.columns if c not in keys))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in keys))
+    return points.join(side, same, how).drop(*(f"_g{c}" for c in keys))
 
 
-def fit(points: DataFrame, dims: int, core: float = CORE) -> DataFrame:
-    """Estimates (m, p) per group of `points` (_lang, _source, x0..). Deterministic: integer sums
-    and exact percentiles of grid values, whose number is bounded by the grid. A group is done when
-    its core's count and sums are those of one of its earlier steps (nearly always the last; a core
-    that recurs later would go round for ever), other groups go on."""
-    xs = [f"x{i}" for i in range(dims)]
-    ms = [f"m{i}" for i in range(dims)]
-    ps = [f"p{i}{j}" for i in range(dims) for j in range(i, dims)]
-    points = materialise(points.groupBy(*_GROUP, *xs).agg(F.count("*").alias("_w")))
-    start = points.groupBy(*_GROUP).agg(*(F.expr(f"percentile(x{i}, 0.5, _w)").alias(f"m{i}") for i in range(dims)))
-    start = materialise(start)
-    spread = _join(points, start).groupBy(*_GROUP).agg(
+def _moments(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
+    """Means m and covariances c of weighted grid points, and _key, a hash of their whole sums."""
+    sums = rows.groupBy(*keys).agg(
+        F.sum("_w").alias("n"),
+        *(F.sum(F.col(f"x{i}") * F.col("_w")).alias(f"s{i}") for i in range(dims)),
+        *(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("_w")).alias(f"q{i}{j}") for i in range(dims) for j in range(i, dims)),
+    )
+    return sums.select(
+        *keys, F.xxhash64("n", *(c for c in sums.columns if c[0] in "sq")).alias("_key"), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(dims)),
+        *((F.col(f"q{i}{j}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) * (F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i in range(dims) for j in range(i, dims)),
+    )
+
+
+def _starts(points: DataFrame, dims: int) -> DataFrame:
+    """Deterministic first estimates: 0, medians and MADs; 1, mean and covariance of all rows; 2, those
+    of the rows within 2.5 robust spreads of the median in every coordinate."""
+    medians = materialise(points.groupBy(*_GROUP).agg(*(F.expr(f"percentile(x{i}, 0.5, _w)").alias(f"m{i}") for i in range(dims))))
+    robust = materialise(_join(points, medians).groupBy(*_GROUP).agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(dims)),
         *(F.expr(f"pow(1.4826 * percentile(abs(x{i} - m{i}), 0.5, _w), 2)").alias(f"c{i}{i}") for i in range(dims)),
         *(F.lit(0.0).alias(f"c{i}{j}") for i in range(dims) for j in range(i + 1, dims)),
-    )
-    groups = _inverse(spread, dims, 1.0).withColumns({"_seen": F.array().cast("array<bigint>"), "_done": F.lit(False)})
+    ))
+    near = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) <= 2.5 * F.greatest(F.sqrt(f"c{i}{i}"), F.lit(float(np.resize(LEAST_SPREAD, dims)[i]))) for i in range(dims)]
+    inner = _join(points, robust.select(*_GROUP, *(c for i in range(dims) for c in (f"m{i}", f"c{i}{i}")))).where(reduce(lambda x, y: x & y, near))
+    found = [robust, _moments(points, _GROUP, dims).drop("_key"), _moments(inner.select(points.columns), _GROUP, dims).drop("_key")]
+    return reduce(DataFrame.unionByName, (df.withColumn("_start", F.lit(k)) for k, df in enumerate(found)))
+
+
+def fit(points: DataFrame, dims: int, core: float = CORE) -> DataFrame:
+    """Estimates (m, p) per group of `points` (_lang, _source, x0..): concentration steps from each of the
+    starts; of the cores that they end in the one whose covariance has the least determinant, ties to
+    the first start. Deterministic: integer sums and exact percentiles of grid values, whose number
+    is bounded by the grid. A run is done when its core's count and sums are those of one of its
+    earlier steps (nearly always the last; a core that recurs later would go round for ever), other
+    runs go on."""
+    xs = [f"x{i}" for i in range(dims)]
+    values = [*(f"m{i}" for i in range(dims)), *(f"p{i}{j}" for i in range(dims) for j in range(i, dims))]
+    points = materialise(points.groupBy(*_GROUP, *xs).agg(F.count("*").alias("_w")))
+    groups = _inverse(_starts(points, dims), dims, 1.0).withColumns({"_seen": F.array().cast("array<bigint>"), "_done": F.lit(False)})
     groups = materialise(groups)
     while not groups.where("not _done").isEmpty():
         open_groups = groups.where("not _done")
         measured = _join(points, open_groups, "inner").withColumn("_d", F.round(F.log1p(_distance(dims)) * GRID).cast("long"))
-        limit = measured.groupBy(*_GROUP).agg(F.expr(f"percentile(_d, {core}, _w)").alias("_limit"))
-        inside = _join(measured.select(*_GROUP, *xs, "_w", "_d"), limit).where("_d <= ceil(_limit)")
-        sums = inside.groupBy(*_GROUP).agg(
-            F.sum("_w").alias("n"),
-            *(F.sum(F.col(f"x{i}") * F.col("_w")).alias(f"s{i}") for i in range(dims)),
-            *(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("_w")).alias(f"q{i}{j}") for i in range(dims) for j in range(i, dims)),
-        )
-        moments = materialise(sums.select(
-            *_GROUP,
-            F.xxhash64("n", *(c for c in sums.columns if c[0] in "sq")).alias("_key"),
-            *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(dims)),
-            *((F.col(f"q{i}{j}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) * (F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i in range(dims) for j in range(i, dims)),
-        ))
-        found = _join(_inverse(moments, dims, consistency(dims, core)), moments.select(*_GROUP, "_key"))
-        found = _join(found, open_groups.select(*_GROUP, "_seen"))
+        limit = measured.groupBy(*_RUN).agg(F.expr(f"percentile(_d, {core}, _w)").alias("_limit"))
+        inside = _join(measured.select(*_RUN, *xs, "_w", "_d"), limit, keys=_RUN).where("_d <= ceil(_limit)")
+        moments = materialise(_moments(inside, _RUN, dims))
+        found = _join(_inverse(moments, dims, consistency(dims, core)), moments.select(*_RUN, "_key"), keys=_RUN)
+        found = _join(found, open_groups.select(*_RUN, "_seen"), keys=_RUN)
         found = found.withColumn("_done", F.array_contains("_seen", F.col("_key"))).withColumn("_seen", F.concat("_seen", F.array("_key")))
-        groups = materialise(found.drop("_key").unionByName(groups.where("_done")))
-    return groups.select(*_GROUP, *ms, *ps)
+        before, groups = groups, materialise(found.drop("_key").unionByName(groups.where("_done")))
+        discard(before, moments)
+    best = groups.groupBy(*_GROUP).agg(F.min_by(F.struct(*values), F.struct(F.round("det", 9), F.col("_start"))).alias("_best"))
+    return best.select(*_GROUP, *(F.col(f"_best.{c}").alias(c) for c in values))
 
 
 def chi_square_quantile(k: int, p: float) -> float:

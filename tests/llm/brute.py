@@ -196,3 +196,30 @@ def importance(rows: list[tuple[int | None, str | None]], target: list[str | Non
     fit = sorted((r for r in out if r[4] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
     drawn = {id(r): k + 1 for k, r in enumerate(fit[: 10 * len(fit) // 100])}
     return sorted(((*r[:4], drawn.get(id(r))) for r in out), key=str)
+
+
+def robust_estimate(x, core: float, grid: int, least, inverse, starts: int = 3):
+    """Mean and inverse covariance of the concentrated core with the least determinant, over the first
+    estimates of the contract's method; `inverse` gives (inverse covariance, log determinant)."""
+    import numpy as np
+
+    median = np.median(x, axis=0)
+    mad = 1.4826 * np.median(np.abs(x - median), axis=0)
+    near = x[(np.abs(x - median) <= 2.5 * np.maximum(mad, least)).all(1)]
+    first = [(median, np.diag(mad**2)), (x.mean(0), np.cov(x.T, bias=True)), (near.mean(0), np.cov(near.T, bias=True))]
+    best = None
+    for k, (mean, cov) in enumerate(first[:starts]):
+        p, det = inverse(cov, 1.0)
+        seen = []
+        while True:
+            gap = x - mean
+            d = np.round(np.log1p(np.einsum("ki,ij,kj->k", gap, p, gap)) * grid)
+            held = x[d <= np.ceil(np.quantile(d, core))]
+            mean, (p, det) = held.mean(0), inverse(np.cov(held.T, bias=True), None)
+            key = (len(held), *held.sum(0))
+            if key in seen:
+                break
+            seen.append(key)
+        if best is None or (round(det, 9), k) < best[0]:
+            best = ((round(det, 9), k), mean, p)
+    return best[1], best[2]

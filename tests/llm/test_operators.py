@@ -249,6 +249,32 @@ def test_quality_core_is_final(spark):
         assert x[d <= np.ceil(np.quantile(d, quality_rules.CORE))].mean(axis=0) == pytest.approx([r["m0"], r["m1"]], abs=1e-9)
 
 
+def test_quality_estimate_and_verdict_against_a_plain_version(spark):
+    """One group whose median start ends in another core than the least determinant's, and a plain one."""
+    draw = np.random.default_rng(7)
+
+    def inverse(cov, factor):
+        cov = cov * (quality_rules.consistency(2, quality_rules.CORE) if factor is None else factor)
+        half = np.sqrt(np.diag(cov))
+        spread, scale = np.maximum(half, quality_rules.LEAST_SPREAD[:2]), np.where(half > 0, half, 1.0)
+        corr = 0.95 * cov / np.outer(scale, scale)
+        np.fill_diagonal(corr, 1.0)
+        whole = corr * np.outer(spread, spread)
+        return np.linalg.inv(whole), np.linalg.slogdet(whole)[1]
+
+    for n, apart, width in ((240, 900, 120), (200, 600, 40), (150, 500, 30)):  # the last one
+        tilted = np.concatenate([draw.multivariate_normal([0, 0], [[90000, 85000], [85000, 90000]], 700), draw.normal((apart, -apart), width, (n, 2))]).astype(int)
+    settings = (tilted.astype(float), quality_rules.CORE, quality_rules.GRID, np.array(quality_rules.LEAST_SPREAD[:2]), inverse)
+    assert not np.allclose(brute.robust_estimate(*settings)[0], brute.robust_estimate(*settings, starts=1)[0])
+    plain = draw.normal([100, 300], [150, 250], (500, 2)).astype(int)
+    rows = [(g, "s", int(a), int(b)) for g, x in (("t", tilted), (None, plain)) for a, b in x]
+    found = {r["_lang"]: r for r in quality_rules.fit(spark.createDataFrame(rows, "_lang string, _source string, x0 long, x1 long").repartition(3), 2).collect()}
+    for g, x in (("t", tilted), (None, plain)):
+        mean, p = brute.robust_estimate(x.astype(float), quality_rules.CORE, quality_rules.GRID, np.array(quality_rules.LEAST_SPREAD[:2]), inverse)
+        r = found[g]
+        assert [r["m0"], r["m1"]] == pytest.approx(mean.tolist(), abs=1e-9) and [r["p00"], r["p01"], r["p11"]] == pytest.approx([p[0, 0], p[0, 1], p[1, 1]], rel=1e-9)
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_top_k_against_all(spark, monkeypatch, clustered):
     monkeypatch.setattr(mtree_search, "PAGE_ROWS", 8)
