@@ -34,6 +34,8 @@ from .common import discard, materialise
 PAGE_ROWS, MAX_PAGES = 1024, 16_384
 #: Queries of a block, and queries that a copy of a page meets on average.
 BLOCK_QUERIES, PAGE_QUERIES = 256, 4096
+#: Bytes of queries that are made ready for pages at a time.
+_SENT_BYTES = 1 << 25
 #: Pages of the first round; each further round has GROWTH times as many.
 FIRST, GROWTH = 1, 4
 #: Distances are floating point; bounds are widened by this share so that no tie is lost.
@@ -82,8 +84,11 @@ class _Metric:
         square = na[:, None] + nb[None, :] - 2.0 * np.asarray(self.products(a, b), np.float64) + (ea[:, None] - eb[None, :]) ** 2
         return np.sqrt(np.maximum(square, 0.0))
 
+    def narrow(self, rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows, self.stored)
+
     def packed(self, rows: np.ndarray) -> pa.Array:
-        rows = np.ascontiguousarray(rows, self.stored)
+        rows = self.narrow(rows)
         width = self.dims * rows.itemsize
         whole = rows.tobytes()
         return pa.array([whole[i : i + width] for i in range(0, len(whole), width)], pa.binary())
@@ -92,6 +97,12 @@ class _Metric:
         return np.frombuffer(b"".join(rows), self.stored).reshape(-1, self.dims)
 
 
+def _cut(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of rows cuts[0]..cuts[1], cuts[1]..cuts[2] and so on."""
+    width = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _norms(rows: np.ndarray) -> np.ndarray:
     return (rows.astype(float) ** 2).sum(1)
 
@@ -176,17 +187,16 @@ def build(vectors: DataFrame, asked: DataFrame) -> tuple[Tree, DataFrame] | None
     return tree, pages
 
 
-def _search(metric: _Metric, page: tuple, asked: list[tuple], k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each query (query_id, at, least, q): the page's entries that can be among its k best, as
-    [queries, scores, ids], and the number of distances computed."""
+def _search(metric: _Metric, page: tuple, block: tuple, k: int) -> tuple[list[np.ndarray], int]:
+    """Of each query of a block (query_id, at, least, q): the page's entries that can be among its k best,
+    as [queries, scores, ids], and the number of distances computed for each query."""
     ids, parents, data = page
-    query_id, at, least = (np.array([a[i] for a in asked], t) for i, t in ((0, np.int64), (1, float), (2, float)))
-    q = metric.unpacked([a[3] for a in asked])
+    query_id, at, least, q = block
     bound = np.where(np.isnan(least), np.inf, metric.to_query(_norms(q), np.nan_to_num(least))) * (1 + SLACK) + SLACK
     low, high = np.searchsorted(parents, at - bound, side="left"), np.searchsorted(parents, at + bound, side="right")
     first, last = int(low.min()), int(high.max())
     if first >= last:
-        return [np.zeros(0, np.int64)] * 3, np.zeros(len(asked), np.int64)
+        return [np.zeros(0, np.int64)] * 3, 0
     place = np.arange(first, last)
     scores = metric.products(q, data[first:last]).astype(np.int64)
     usable = (place >= low[:, None]) & (place < high[:, None]) & (ids[first:last] != query_id[:, None])
@@ -195,56 +205,82 @@ def _search(metric: _Metric, page: tuple, asked: list[tuple], k: int) -> tuple[l
         kth = np.partition(np.where(usable, scores, np.iinfo(np.int64).min), -k, axis=1)[:, -k]
         floor = np.maximum(floor, kth)
     i, j = np.nonzero(usable & (scores >= floor[:, None]))
-    score, entry = scores[i, j], ids[first:last][j]
-    order = np.lexsort((entry, -score, i))  # of many equal scores only the k smallest ids count
-    i, score, entry = i[order], score[order], entry[order]
-    nth = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-    kept = nth < k
-    return [query_id[i[kept]], score[kept], entry[kept]], np.full(len(asked), last - first)
+    return _first(query_id[i], scores[i, j], ids[first:last][j], k), last - first
+
+
+def _first(query: np.ndarray, score: np.ndarray, entry: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best rows of each query, ties to the smaller entry."""
+    order = np.lexsort((entry, -score, query))
+    query, score, entry = query[order], score[order], entry[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+    return [query[kept], score[kept], entry[kept]]
+
+
+class _Found:
+    """The k best of each query among the pages of a task so far, and its number of distances."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size, self.counts = k, [], 0, []
+
+    def add(self, best: list[np.ndarray], query_id: np.ndarray, computed: int) -> None:
+        self.parts.append(best)
+        self.counts.append((query_id, np.full(len(query_id), computed, np.int64)))
+        self.size += len(best[0]) + len(query_id)
+        if self.size > _KEPT_ROWS:
+            self.shrink()
+
+    def shrink(self) -> None:
+        self.parts = [_first(*(np.concatenate([x[i] for x in self.parts]) for i in range(3)), self.k)] if self.parts else []
+        if self.counts:
+            query, place = np.unique(np.concatenate([x for x, _ in self.counts]), return_inverse=True)
+            total = np.zeros(len(query), np.int64)
+            np.add.at(total, place, np.concatenate([n for _, n in self.counts]))
+            self.counts = [(query, total)]
+        self.size = 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.shrink()
+        names = ["query_id", "score", "vec_id", "computed"]
+        for query, score, entry in self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(score), pa.array(entry), pa.array(np.zeros(len(query), np.int64))], names=names)
+        for query, total in self.counts:
+            none = pa.nulls(len(query), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(query), none, none, pa.array(total)], names=names)
 
 
 _FOUND = "query_id long, score long, vec_id long, computed long"
+#: Candidates that a task gathers before it drops those that can't be among a query's best.
+_KEPT_ROWS = 1 << 20
 
 
 def _visit(tree: Tree, pages: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Search pages with the queries (query_id, page, at, least, q) sent to them. Rows without
-    vec_id tell how many distances were computed. A page that many queries want is copied."""
+    """Search pages with the blocks of queries (page, n, ids, at, least, q) sent to them. A task gives
+    each query's k best of all pages that it holds. Rows without vec_id tell how many distances were
+    computed. A page that many queries want is copied, its blocks are dealt to the copies."""
     metric = tree.metric
-    copies = asked.groupBy(F.col("page").alias("_p")).agg(F.ceil(F.count("*") / PAGE_QUERIES).cast("int").alias("_copies"))
-    null = F.lit(None)
-    names = ["page", "part", "copy", "kind", "query_id", "at", "least", "a", "b", "c"]
+    copies = asked.groupBy(F.col("page").alias("_p")).agg(F.ceil(F.sum("n") / PAGE_QUERIES).cast("int").alias("_copies"))
+    none = F.lit(None).cast("binary")
+    names = ["page", "part", "copy", "kind", "a", "b", "c", "d"]
     wanted = pages.join(copies, F.col("page") == F.col("_p"))
-    held = wanted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(
-        "page", "part", "copy", F.lit(0).alias("kind"), null.cast("long").alias("query_id"), null.cast("double").alias("at"), null.cast("double").alias("least"),
-        F.col("ids").alias("a"), F.col("parents").alias("b"), F.col("data").alias("c"),
-    )
+    held = wanted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select("page", "part", "copy", F.lit(0).alias("kind"), F.col("ids").alias("a"), F.col("parents").alias("b"), F.col("data").alias("c"), none.alias("d"))
     parts = wanted.select(F.col("page").alias("_q"), "part", "_copies")
     sent = asked.join(parts, F.col("page") == F.col("_q")).select(
-        "page", "part", F.pmod(F.xxhash64("query_id"), F.col("_copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "query_id", "at", "least",
-        F.col("q").alias("a"), null.cast("binary").alias("b"), null.cast("binary").alias("c"),
-    )
+        "page", "part", F.pmod(F.xxhash64("ids"), F.col("_copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("ids").alias("a"), F.col("at").alias("b"), F.col("least").alias("c"), F.col("q").alias("d")
+    )
     met = held.select(names).unionByName(sent.select(names)).repartition("page", "part", "copy").sortWithinPartitions("page", "part", "copy", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, block = None, []
-
-        def answer() -> pa.RecordBatch:
-            best, computed = _search(metric, page, block, k)
-            asker = np.array([x[0] for x in block], np.int64)
-            columns = [pa.array(np.concatenate([asker, best[0]])), pa.array([None] * len(block) + best[1].tolist(), pa.int64()), pa.array([None] * len(block) + best[2].tolist(), pa.int64()), pa.array(np.concatenate([computed, np.zeros(len(best[0]), np.int64)]))]
-            return pa.RecordBatch.from_arrays(columns, names=["query_id", "score", "vec_id", "computed"])
-
+        page, found = None, _Found(k)
         for batch in batches:
-            for kind, query_id, at, least, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(3, 10)), strict=True):
-                if block and (kind == 0 or len(block) == BLOCK_QUERIES):
-                    yield answer()
-                    block = []
-                if kind == 0:
+            for kind, a, b, c, d in zip(*(batch.column(i) for i in range(3, 8)), strict=True):
+                a, b, c = (x.as_buffer() for x in (a, b, c))
+                if kind.as_py() == 0:
                     page = np.frombuffer(a, np.int64), np.frombuffer(b, np.float64), metric.unpacked([c])
-                else:
-                    block.append((query_id, at, np.nan if least is None else least, a))
-        if block:
-            yield answer()
+                    continue
+                block = np.frombuffer(a, np.int64), np.frombuffer(b, np.float64), np.frombuffer(c, np.float64), metric.unpacked([d.as_buffer()])
+                best, computed = _search(metric, page, block, k)
+                found.add(best, block[0], computed)
+        yield from found.rows()
 
     return met.mapInArrow(run, _FOUND)
 
@@ -253,7 +289,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query; a candidate that came more than once (from queries that share an
     id) counts each time. A row without vec_id keeps the query's count of distances."""
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & F.col("vec_id").isNotNull())
+    ranked = found.where("vec_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     counts = found.groupBy("query_id").agg(F.sum("computed").alias("computed"))
     return ranked.select("query_id", "score", "vec_id", F.lit(0).cast("long").alias("computed")).unionByName(counts.select("query_id", F.lit(None).cast("long").alias("score"), F.lit(None).cast("long").alias("vec_id"), "computed"))
 
@@ -278,13 +314,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, vector_id: str = "vec
     tree, pages = built
     metric = tree.metric
     discard(vectors)
-    routed = "query_id long, page int, at double, least double, q binary"
+    routed = "page int, n int, ids binary, at binary, least binary, q binary"
     near, seen, step = None, 0, FIRST
     while seen < len(tree.centres):
         start, stop = seen, seen + step
 
         def route(batches: Iterator[pa.RecordBatch], start: int = start, stop: int = stop) -> Iterator[pa.RecordBatch]:
-            """Queries (vec_id, v, least) to the pages that stand at start..stop in their order."""
+            """Queries (vec_id, v, least) to the pages that stand at start..stop in their order: a row per
+            block of queries and page that any of them wants, with those that do."""
             for batch in batches:
                 for at in range(0, batch.num_rows, BLOCK_QUERIES):
                     part = batch.slice(at, BLOCK_QUERIES)
@@ -296,8 +333,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, vector_id: str = "vec
                     ahead = np.take_along_axis(low, order, 1)
                     i, j = np.nonzero((ahead <= bound[:, None]) & (tree.radius[order] > -np.inf))
                     page = order[i, j]
-                    columns = [part.column(0).take(pa.array(i)), pa.array(page.astype(np.int32)), pa.array(far[i, page]), pa.array(least[i], mask=np.isnan(least[i])), metric.packed(q).take(pa.array(i))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "page", "at", "least", "q"])
+                    by = np.argsort(page, kind="stable")
+                    i, page = i[by], page[by]
+                    wanted, first = np.unique(page, return_index=True)
+                    cuts = np.append(first, len(page))
+                    ids, own, stored, limit = np.asarray(part.column(0), np.int64), far[i, page], metric.narrow(q), _SENT_BYTES // (metric.dims * 8)
+                    first_page = 0
+                    while first_page < len(wanted):  # some pages at a time
+                        last_page = max(first_page + 1, int(np.searchsorted(cuts, cuts[first_page] + limit, side="right")) - 1)
+                        held, own_cuts = slice(cuts[first_page], cuts[last_page]), cuts[first_page : last_page + 1] - cuts[first_page]
+                        columns = [pa.array(wanted[first_page:last_page].astype(np.int32)), pa.array(np.diff(own_cuts).astype(np.int32))]
+                        columns += [_cut(x, own_cuts) for x in (ids[i[held]], own[held], least[i[held]], stored[i[held]])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["page", "n", "ids", "at", "least", "q"])
+                        first_page = last_page
 
         if near is None:
             known = asked.select("vec_id", "v", F.lit(None).cast("double").alias("least"))

@@ -279,6 +279,8 @@ def test_quality_estimate_and_verdict_against_a_plain_version(spark):
 def test_top_k_against_all(spark, monkeypatch, clustered):
     monkeypatch.setattr(mtree_search, "PAGE_ROWS", 8)
     monkeypatch.setattr(mtree_search, "PAGE_QUERIES", 3)
+    monkeypatch.setattr(mtree_search, "_SENT_BYTES", 500)
+    monkeypatch.setattr(mtree_search, "_KEPT_ROWS", 40)
     draw = np.random.default_rng(0)
     centres = draw.normal(size=(20, 6)) * (5 if clustered else 0)
     rows = [(i, [float(x) for x in draw.normal(size=6) + centres[i % 20]], 0) for i in range(400)] + [(1000 + i, [0.5] * 6, 0) for i in range(60)]
