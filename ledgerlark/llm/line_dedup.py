@@ -142,8 +142,8 @@ def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
             salt += 1
         seeds = build_perfect_hash(keys)
         slots = perfect_slots(seeds, len(keys), keys)
-        prints, keepers, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        prints[slots], keepers[slots], counts[slots] = a, keeper, count
+        prints, keepers, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        prints[slots], keepers[slots], counts[slots] = a, keeper, np.minimum(count, np.iinfo(np.int32).max)
         stored = np.concatenate([np.array([salt], np.uint32), seeds])
         columns = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (stored, prints, keepers, counts))]
         return pa.Table.from_arrays(columns, names=["shard", "seeds", "prints", "keepers", "counts"])
@@ -155,19 +155,19 @@ def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
 _PROBES = "_doc long, _a long, _b long"
 
 
-def probe(lines: DataFrame, shard_rows: DataFrame, shards: int, salts: int) -> DataFrame:
-    """Rows of `lines` that a document loses: hashes in the arrays whose keeper is another
-    document. Arrays and probes meet in partitions sorted so that a shard's arrays come first;
+def probe(lines: DataFrame, shard_rows: DataFrame, shards: int, salts: int, holders: int = 2) -> DataFrame:
+    """Rows of `lines` that a document loses: hashes in the arrays whose count is at least `holders`
+    and whose keeper is another document. Arrays and probes meet in partitions sorted so that a shard's arrays come first;
     they are streamed, so memory holds one shard and one batch."""
-    names = ["shard", "salt", "kind", "_doc", "_a", "_b", "seeds", "prints", "keepers"]
+    names = ["shard", "salt", "kind", "_doc", "_a", "_b", "seeds", "prints", "keepers", "counts"]
     null = F.lit(None)
     arrays = shard_rows.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(salts))))).select(
-        "shard", "salt", F.lit(0).alias("kind"), *(null.cast("long").alias(c) for c in ("_doc", "_a", "_b")), "seeds", "prints", "keepers"
+        "shard", "salt", F.lit(0).alias("kind"), *(null.cast("long").alias(c) for c in ("_doc", "_a", "_b")), "seeds", "prints", "keepers", "counts"
     )
     asked = lines.select(
         F.pmod(F.col("_a"), F.lit(shards)).cast("int").alias("shard"),
         F.pmod(F.xxhash64("_doc"), F.lit(salts)).cast("int").alias("salt"),
-        F.lit(1).alias("kind"), "_doc", "_a", "_b", *(null.cast("binary").alias(c) for c in ("seeds", "prints", "keepers")),
+        F.lit(1).alias("kind"), "_doc", "_a", "_b", *(null.cast("binary").alias(c) for c in ("seeds", "prints", "keepers", "counts")),
     )
     met = arrays.select(names).unionByName(asked.select(names)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
@@ -179,23 +179,23 @@ def probe(lines: DataFrame, shard_rows: DataFrame, shards: int, salts: int) -> D
             cuts = np.flatnonzero(np.concatenate([[True], (np.diff(shard) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0), [True]]))
             for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if kind[start] == 0:
-                    row = [batch.column(i)[start].as_py() for i in (6, 7, 8)]
-                    held, at = (np.frombuffer(row[0], np.uint32), np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int64)), shard[start]
+                    row = [batch.column(i)[start].as_py() for i in (6, 7, 8, 9)]
+                    held, at = tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint32, np.int64, np.int64, np.int32), strict=True)), shard[start]
                 elif at == shard[start]:
                     doc, a, b = (np.asarray(batch.column(i).slice(start, stop - start), np.int64) for i in (3, 4, 5))
-                    seeds, prints, keepers = held
+                    seeds, prints, keepers, counts = held
                     slots = perfect_slots(seeds[1:], len(prints), _mix(a, seeds[0]) ^ b.astype(np.uint64))
-                    lost = (prints[slots] == a) & (keepers[slots] != doc)
+                    lost = (prints[slots] == a) & (counts[slots] >= holders) & (keepers[slots] != doc)
                     if lost.any():
                         yield pa.RecordBatch.from_arrays([pa.array(x[lost]) for x in (doc, a, b)], names=["_doc", "_a", "_b"])
 
     return met.mapInArrow(run, _PROBES)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 10, holders: int = 2) -> DataFrame:
     """Replaces `text` by its kept lines and adds n_lines and n_dropped (long).
 
-    A line whose key has at least `least` code points and is held by two or more documents
+    A line whose key has at least `least` code points and is held by `holders` or more documents
     stays only in the document with the smallest id (all its occurrences there stay). Null or
     empty text is one empty line and gives empty text. Rows with the same id count as one
     document and are all cut alike; a null id counts as one document that comes last. All other
@@ -206,7 +206,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     repeated = lines.groupBy("_a", "_b").agg(F.min("_doc").alias("_keeper"), F.max("_doc").alias("_last"), F.count("*").alias("_n"))
     repeated = materialise(repeated.where("_keeper <> _last").drop("_last"))
     shards = max(1, -(-repeated.count() // SHARD_KEYS))
-    lost = probe(lines, build_shards(repeated, shards), shards, SALTS)
+    lost = probe(lines, build_shards(repeated, shards), shards, SALTS, holders)
     cuts = lost.groupBy("_doc").agg(F.collect_set(F.struct("_a", "_b")).alias("_cuts"))  # at most a document's own lines
     kept = docs.drop("n_lines", "n_dropped")
     fields = kept.schema.fields

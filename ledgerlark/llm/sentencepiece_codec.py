@@ -30,6 +30,11 @@ _SPACE = "▁"
 #: never merge with each other. A long run of spaces is cut 16 at a time from its left, as the
 #: run's own merges do, while at least 16 more follow.
 _WORDS = re.compile(r" {16}(?= {16})| *[^ \n]+| +|\n")
+#: Texts that a model is verified with when it is loaded.
+_SAMPLES = (
+    "", "a", " a", "a  b", "  two  spaces  ", " " * 50 + "x", "one\n\ntwo\n", "\t tab\x0b\x0c\r\n", "Hello, WORLD! it's 1234.56%", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "ﬁ ½ Å Å é Ⅷ ＡＢ", "né ▁ 漢字 한국 🙂👍🏽 \u200b\ufeff end",
+    "<s></s><unk><0x41>", "the quick brown fox jumps over the lazy dog. Der schnelle braune Fuchs; el zorro marrón; le renard brun.",
+)
 _NONE = np.iinfo(np.int32).max
 _CACHED_WORDS = 200_000
 _DENSE = 1024
@@ -108,6 +113,18 @@ class PieceModel:
         self.byte_start, self.byte_width = np.concatenate([[0], np.cumsum(widths)])[:-1], widths
         self.opens_with_space = np.array([p.startswith(_SPACE) for p in self.pieces])
         self.byte_pool = np.frombuffer(b"".join(self.bytes_of) or b"\0", np.uint8)
+        self._verify(model, path)
+
+    def _verify(self, model, path: str) -> None:
+        """Hold this reading of the model (a BPE without own pieces or normaliser, no piece with a space
+        after another character, new lines alone) against the library on texts that show each."""
+        crossing = [p for p in self.pieces if _SPACE in p.lstrip(_SPACE)]
+        encoder = _WordCache(self)
+        for text in _SAMPLES:
+            ids, _ = encoder.encode([text])
+            raw, _ = self.decode(ids.astype(np.int64), np.array([len(ids)]))
+            if crossing or ids.tolist() != model.encode(text) or raw.tobytes().decode("utf-8", "replace") != model.decode(model.encode(text)):
+                raise ValueError(f"{path}: this model's pieces or normaliser aren't those that are read here ({text!r})")
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and each word's number of ids."""

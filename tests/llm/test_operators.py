@@ -6,6 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from ledgerlark.llm import chat_format, hilbert_shards, line_dedup, mixing, mtree_search, quality_rules, sentencepiece_codec, toxicity, url_filter
 from ledgerlark.llm.queries import tokenizer_path
 
@@ -204,6 +205,25 @@ def test_toxicity_of_odd_rows(spark):
     assert got[2]["tox_score"] == got[3]["tox_score"] < 0.5
 
 
+def test_models_are_verified_when_loaded(monkeypatch):
+    path = tokenizer_path()
+    assert sentencepiece_codec.PieceModel(path).size == 32000
+    monkeypatch.setattr(sentencepiece_codec, "_SPACE", "_")  # as if the model marked spaces otherwise
+    with pytest.raises(ValueError, match="pieces or normaliser"):
+        sentencepiece_codec.PieceModel(path)
+
+
+def test_lines_by_number_of_holders(spark):
+    """Counts decide which lines go; null ids, repeated rows, a long text and clashing names besides."""
+    often, twice = "held by three documents", "held by two documents"
+    rows = [(1, f"{often}\n{twice}"), (2, f"{often}\nown line of two"), (3, f"{often}\n{twice}\n{often}"), (3, f"{often}\n{twice}\n{often}"), (None, f"{often}\nown"), (4, "\n".join(f"line number {k}" for k in range(60_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("own")).withColumn("_cuts", F.lit(7)).repartition(3)
+    for holders, want in ((2, {1: 0, 2: 1, 3: 3, None: 1, 4: 0}), (3, {1: 0, 2: 1, 3: 2, None: 1, 4: 0}), (5, dict.fromkeys((1, 2, 3, None, 4), 0))):
+        found = line_dedup.dedup_lines(docs, holders=holders).select("doc_id", "n_lines", "n_dropped", "_cuts").collect()
+        assert {r["doc_id"]: r["n_dropped"] for r in found} == want and len(found) == 6 and {r["_cuts"] for r in found} == {7}
+        assert {r["doc_id"]: r["n_lines"] for r in found}[4] == 60_000
+
+
 def test_quality_statistics(spark, docs, none):
     found = quality_rules.quality_verdicts(docs).collect()
     assert len(found) == len(DOCS)
