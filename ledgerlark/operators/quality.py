@@ -75,12 +75,12 @@ def gaps(df: DataFrame, key: str, date: str, grain: str = "month") -> DataFrame:
 
 def overlaps(df: DataFrame, key: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """(key, start, end): the parts of each version's interval [start, end) that earlier versions of
-    its key cover up to (null: open; FAR stands for it), one row a version that overlaps any."""
+    its key cover up to (null: open), one row a version that overlaps any."""
     far = F.lit("9999-12-31").cast("date")
     rows = df.select(key, F.col(start).alias("_s"), F.coalesce(F.col(end), far).alias("_e"))
     before = Window.partitionBy(key).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("_reach", F.max("_e").over(before)).where(F.col("_reach").isNotNull() & (F.col("_s") < F.least("_reach", "_e")))
-    return found.select(key, F.col("_s").alias("start"), F.least("_reach", "_e").alias("end"))
+    return found.select(key, F.col("_s").alias("start"), F.nullif(F.least("_reach", "_e"), far).alias("end"))
 
 
 def no_month_gaps(df: DataFrame, key: str, month: str) -> DataFrame:

@@ -332,12 +332,12 @@ def spine_gaps(spark, d):
 
 
 @query(""", spans AS (SELECT company_id, activation_date AS s, activation_date + CAST(30 + contract_id % 400 AS INTEGER) AS e0, CASE WHEN contract_id % 50 > 0 THEN activation_date + CAST(30 + contract_id % 400 AS INTEGER) ELSE DATE '9999-12-31' END AS e FROM contracts)
-SELECT company_id, s AS start, least(reach, e) AS "end" FROM (SELECT *, max(e) OVER (PARTITION BY company_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans) WHERE reach IS NOT NULL AND s < least(reach, e)""")
+SELECT company_id, s AS start, nullif(least(reach, e), DATE '9999-12-31') AS "end" FROM (SELECT *, max(e) OVER (PARTITION BY company_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans) WHERE reach IS NOT NULL AND s < least(reach, e)""")
 def contract_overlaps(spark, d):
     """Contracts as intervals of 30 to 429 days, every fiftieth open: what earlier ones of the company cover."""
     k = F.col("contract_id")
     end = F.when(k % 50 > 0, F.date_add("activation_date", (30 + k % 400).cast("int")))
-    return quality.overlaps(m.stg_energy_contracts(spark, d).withColumn("until", end), "company_id", "activation_date", "until")
+    return quality.overlaps(m.stg_energy_contracts(spark, d).withColumn("until", end), "company_id", "activation_date", "until")  # no end: open
 
 
 @query("""SELECT 'velocity_above_3' AS rule, count(*) FILTER (login_velocity > 3.0001) AS violations FROM login_features
