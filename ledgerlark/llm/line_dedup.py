@@ -210,9 +210,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     cuts = lost.groupBy("_doc").agg(F.collect_set(F.struct("_a", "_b")).alias("_cuts"))  # at most a document's own lines
     kept = docs.drop("n_lines", "n_dropped")
     fields = kept.schema.fields
-    keyed = kept.withColumn("_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)))
+    keyed = kept.select(F.struct(*(kept[f.name] for f in fields)).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("_key"))
     joined = keyed.join(cuts.withColumnRenamed("_doc", "_cut_doc"), F.col("_key") == F.col("_cut_doc"), "left")
-    joined = joined.select(*(F.col(f.name) for f in fields), F.col("_cuts._a").alias("_cut_a"), F.col("_cuts._b").alias("_cut_b"))
+    joined = joined.select(*(F.col("_row").getField(f.name).alias(f.name) for f in fields), F.col("_cuts._a").alias("_cut_a"), F.col("_cuts._b").alias("_cut_b"))
     schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name == text else f for f in fields), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = [f.name for f in fields]
 
