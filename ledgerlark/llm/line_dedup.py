@@ -203,7 +203,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     empty table.
     """
     lines = materialise(_line_hashes(docs, text, doc_id, least))
-    repeated = lines.groupBy("_a", "_b").agg(F.min("_doc").alias("_keeper"), F.max("_doc").alias("_last"), F.count("*").alias("_n"))
+    each = lines.distinct() if holders > 2 else lines  # rows that share an id are one holder; two differ by their ids
+    repeated = each.groupBy("_a", "_b").agg(F.min("_doc").alias("_keeper"), F.max("_doc").alias("_last"), F.count("*").alias("_n"))
     repeated = materialise(repeated.where("_keeper <> _last").drop("_last"))
     shards = max(1, -(-repeated.count() // SHARD_KEYS))
     lost = probe(lines, build_shards(repeated, shards), shards, SALTS, holders)
