@@ -19,6 +19,41 @@ SCHEMA = "id string, text string, metadata map<string, string>, vector array<dou
 MAX_QUERY_VALUES = 1 << 22
 #: Digits that distances are compared with, so that equal vectors tie whatever the order of their sums.
 DIGITS = 10
+#: Rows, and queries, that are compared at a time: a task holds a product of this many by this many.
+ROWS = 1024
+
+
+class _Best:
+    """The k nearest rows so far of each query of a task: ids and distances, empty places infinitely far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.distance, self.id = k, np.full((queries, k), np.inf), np.full((queries, k), "", object)
+
+    def meet(self, low: int, distance: np.ndarray, ids: list[str]) -> None:
+        """Distances of the queries from `low` on to some rows. Only rows that are no farther than the k-th so
+        far, here or before, are ordered."""
+        kept, k = slice(low, low + len(distance)), self.k
+        limit = self.distance[kept, -1]
+        if distance.shape[1] > k:
+            limit = np.minimum(limit, np.partition(distance, k - 1, axis=1)[:, k - 1])
+        place, row = np.nonzero(distance <= limit[:, None])
+        if not len(place):
+            return
+        touched = np.unique(place)
+        old = np.repeat(touched, k)
+        places = np.concatenate([place, old])
+        far = np.concatenate([distance[place, row], self.distance[kept][touched].ravel()])
+        names = np.concatenate([np.array(ids, object)[row], self.id[kept][touched].ravel()])
+        _, rank = np.unique(names, return_inverse=True)
+        order = np.lexsort((rank, far, places))
+        places, far, names = places[order], far[order], names[order]
+        within = np.arange(len(places)) - np.searchsorted(places, places)
+        taken = within < k
+        self.distance[low + places[taken], within[taken]], self.id[low + places[taken], within[taken]] = far[taken], names[taken]
+
+    def rows(self, low: int, high: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+        place, rank = np.nonzero(np.isfinite(self.distance[low:high]))
+        return low + place, list(self.id[low + place, rank]), self.distance[low + place, rank]
 
 
 class VectorIndex:
@@ -100,25 +135,22 @@ class VectorIndex:
         sent = self.spark.sparkContext.broadcast(matrices)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            best = {w: _Best(len(names), k) for w, (names, _) in sent.value.items()}
             for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    rows = batch.slice(start, 1024)
+                for start in range(0, batch.num_rows, ROWS):
+                    rows = batch.slice(start, ROWS)
                     ids, vectors = rows.column(0).to_pylist(), rows.column(1).to_pylist()
                     for w, (names, matrix) in sent.value.items():
                         at = [i for i, v in enumerate(vectors) if v is not None and len(v) == w and w]
                         own, unit = _unit(np.array([[np.nan if x is None else x for x in vectors[i]] for i in at]).reshape(len(at), w), [ids[i] for i in at])
-                        if not len(own) or not len(names):
-                            continue
-                        distance = np.round(1 - matrix @ unit.T, DIGITS) + 0.0
-                        label = np.broadcast_to(np.array(own, object), distance.shape)
-                        if w in best:
-                            distance, label = np.concatenate([best[w][0], distance], 1), np.concatenate([best[w][1], label], 1)
-                        order = np.lexsort((label.astype(str), distance), axis=1)[:, :k]
-                        best[w] = np.take_along_axis(distance, order, 1), np.take_along_axis(label, order, 1)
-            for w, (distance, label) in best.items():
-                names = np.repeat(np.array(sent.value[w][0], object), distance.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(label.ravel(), pa.string()), pa.array(distance.ravel(), pa.float64())], names=["query_id", "id", "distance"])
+                        for low in range(0, len(names) if len(own) else 0, ROWS):
+                            best[w].meet(low, np.round(1 - matrix[low : low + ROWS] @ unit.T, DIGITS) + 0.0, own)
+            for w, found in best.items():
+                names = sent.value[w][0]
+                for low in range(0, len(names), ROWS):
+                    place, ids, distance = found.rows(low, low + ROWS)
+                    if len(place):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in place], pa.string()), pa.array(ids, pa.string()), pa.array(distance, pa.float64())], names=["query_id", "id", "distance"])
 
         return table.select("id", "vector").mapInArrow(run, "query_id string, id string, distance double")
 
