@@ -8,7 +8,7 @@ from datetime import date
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerlark import quality_queries
+from ledgerlark import quality_queries, queries
 from ledgerlark.operators import quality, rules, temporal, training
 from ledgerlark.operators.rules import Rule
 from ledgerlark.operators.vector_index import _Best
@@ -47,6 +47,25 @@ def test_runs_of_arrays(spark):
         same(quality.gaps_of(frame, "k", "months", grain), quality.gaps(rows, "k", "d", grain))
 
 
+def test_rules_of_spans_equal_rules_of_rows(spark):
+    spans = spark.createDataFrame([(1, MONTHS[0], MONTHS[9]), (1, MONTHS[10], MONTHS[14]), (2, MONTHS[3], MONTHS[5]), (2, MONTHS[8], MONTHS[8]), (3, MONTHS[29], MONTHS[29]), (None, MONTHS[1], MONTHS[2]), (4, MONTHS[0], MONTHS[1])], "k int, _first date, _last date")
+    held = spark.createDataFrame([(1, MONTHS[2], MONTHS[6]), (1, MONTHS[5], MONTHS[12]), (2, MONTHS[0], MONTHS[29]), (None, MONTHS[1], MONTHS[2]), (4, MONTHS[5], MONTHS[6])], "k int, _first date, _last date")
+    rows = lambda df: df.select("k", F.explode(temporal.months_of()).alias("d"))
+    same(quality.no_month_gaps_of(spans, "k", "d"), quality.no_month_gaps(rows(spans), "k", "d"))
+    same(quality.dropped_months(spans, held, "k"), quality.dropped_rows(rows(spans), rows(held), "k", "d"))
+    assert [quality.dropped_months(spans, held, "k").first()[1], quality.dropped_months(spans.limit(0), held, "k").first()[1]] == [4 + 1 + 2 + 2, 0]
+
+
+def test_spine_rules_neither_sort_nor_deal_months(spark):
+    plan = queries.quality_spine(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for at, line in enumerate(plan):
+        if "Generate explode(sequence(_first" in line or "array_except" in line or "array_distinct" in line:
+            above = [x for n, x in enumerate(plan[:at]) if depth(x) < depth(line) and all(depth(y) > depth(x) for y in plan[n + 1 : at + 1])]
+            assert not any("Sort " in x or "hashpartitioning" in x for x in above), line
+    assert sum("array_except" in x or "array_distinct" in x for x in plan) >= 2
+
+
 def test_boosting_on_grouped_rows(spark, monkeypatch):
     rows = spark.range(4000).select((F.col("id") % 997 / 10).alias("x"), (F.col("id") % 3).cast("double").alias("z"), F.lit(1.5).alias("flat")).withColumn("y", ((F.col("x") > 60) & (F.col("z") > 0)).cast("int"))
     few = training.grouped(rows.withColumn("w", F.lit(2.0)), ["x", "z", "flat"], ["y"], "w").collect()
