@@ -3,7 +3,8 @@ training rows, rules counted by typed keys, and a bounded search."""
 
 import random
 from collections import Counter
-from datetime import date
+from datetime import date, timedelta
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ledgerlark import quality_queries, queries
 from ledgerlark.operators import quality, rules, temporal, training
 from ledgerlark.operators.rules import Rule
 from ledgerlark.operators.vector_index import _Best
-from ledgerlark.plans import warehouse
+from ledgerlark.plans import models, warehouse
 
 MONTHS = [date(2020 + n // 12, n % 12 + 1, 1) for n in range(30)]
 
@@ -66,6 +67,60 @@ def test_spine_rules_neither_sort_nor_deal_months(spark):
     assert sum("array_except" in x or "array_distinct" in x for x in plan) >= 2
 
 
+class Few(models.Staged):
+    """Staged tables of a few rows, dealt by company."""
+
+    def __init__(self, spark, bills=None, logins=None):
+        super().__init__(spark, "")
+        for name, rows in (("billing", bills), ("logins", logins)):
+            if rows is not None:
+                self.__dict__[name] = rows.repartition(4, "company_id")
+
+
+def test_daily_bills_equal_pairs_and_are_dealt_once(spark):
+    draw = random.Random(5)
+    due = lambda: draw.choice([None, *(date(2023, 6, 1) + timedelta(days=draw.choice([0, 1, 119, 120, 121, draw.randrange(400)])) for _ in range(9))])
+    bills = []
+    for _ in range(600):
+        at = due()
+        paid = draw.choice([None, None, (at or date(2023, 9, 9)) + timedelta(days=draw.choice([-9, 0, 1, 30, 119, 120, 121, 200]))])
+        bills.append((draw.choice([1, 1, 2, 3, None]), at, paid, "unpaid", draw.choice([None, Decimal("10.25"), Decimal("-3.10"), Decimal("9999999999999.99")])))
+    frame = spark.createDataFrame(bills, "company_id int, due_date date, payment_date date, invoice_status string, total_amount decimal(15,2)")
+    got = models.billing_daily(spark, "", as_of="2024-03-01", source=Few(spark, bills=frame))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    end, want = date(2024, 3, 1), {}
+    for k, day in {(k, x) for k, a, b, _, _ in bills for x in (a, b) if k and x and x <= end}:
+        inside = [(a, b, v) for c, a, b, _, v in bills if c == k and a and day - timedelta(days=120) < a <= day]
+        if inside:
+            late = max(max(0, (min(b or day, day) - a).days) for a, b, _ in inside)
+            want[k, day] = (late, len(inside), sum((v or 0 for a, b, v in inside if b is None or b > day), Decimal("0.00")))
+    assert {(r.company_id, r.snapshot_date): tuple(r)[2:] for r in got.collect()} == want and got.count() == len(want) > 100
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_daily_logins_equal_pairs_and_are_dealt_once(spark):
+    draw = random.Random(7)
+    events = [(draw.choice([1, 1, 1, 2, 3, None]), draw.choice([None, date(2023, 1, 1) + timedelta(days=draw.choice([0, 29, 30, 89, 90, draw.randrange(500)]))])) for _ in range(90)] + [(4, date(2024, 5, 5)), (5, None)]
+    got = models.logins_daily(spark, "", as_of="2024-03-01", source=Few(spark, logins=spark.createDataFrame(events, "company_id int, login_date date")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    end, want = date(2024, 3, 1), {}
+    for k in {k for k, _ in events}:
+        days = [x for c, x in events if c == k and x and x <= end]
+        for n in range((end - min(days)).days + 1 if days else 0):
+            day = min(days) + timedelta(days=n)
+            seen = [x for x in days if k and day - timedelta(days=90) < x <= day]
+            recent = sum(x > day - timedelta(days=30) for x in seen)
+            want[k, day] = ((day - max(seen)).days, len(seen), round(recent / (len(seen) / 3), 4)) if seen else (None, None, None)
+    assert {(r.company_id, r.snapshot_date): (*tuple(r)[2:4], None if r[4] is None else float(r[4])) for r in got.collect()} == want and got.count() == len(want) > 1000
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_invoice_keys_are_dealt_once(spark):
+    lines = models.billing_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [x for x in lines if "Join" in x]
+    assert "contract_id" in joins[0] and "invoice_id" in joins[1]
+
+
 def test_boosting_on_grouped_rows(spark, monkeypatch):
     rows = spark.range(4000).select((F.col("id") % 997 / 10).alias("x"), (F.col("id") % 3).cast("double").alias("z"), F.lit(1.5).alias("flat")).withColumn("y", ((F.col("x") > 60) & (F.col("z") > 0)).cast("int"))
     few = training.grouped(rows.withColumn("w", F.lit(2.0)), ["x", "z", "flat"], ["y"], "w").collect()
