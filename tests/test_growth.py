@@ -121,6 +121,20 @@ def test_invoice_keys_are_dealt_once(spark):
     assert "contract_id" in joins[0] and "invoice_id" in joins[1]
 
 
+def test_scaling_makes_the_windows_once_and_sorts_none(spark):
+    data = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    debts = queries.billing_trailing(spark, data).select("company_id", "snapshot_date", "debt")
+    assert "Sort [company_id" not in plan(debts).split("ShuffledHashJoin")[1].split("Window")[0] and plan(debts).count("Window [") == 1
+    got = queries.ml_scaled(spark, data)
+    assert "lineitem" not in plan(got) and "Scan parquet" in plan(got) and got.count() == debts.count()
+    mean, deviation = debts.agg(F.avg("debt"), F.stddev_pop("debt")).first()
+    both = got.join(debts.withColumnRenamed("debt", "plain"), ["company_id", "snapshot_date"])
+    assert both.where(F.abs(F.col("debt") - (F.col("plain") - mean) / deviation) < 1e-4).count() == debts.count()
+    few = models.billing_trailing(spark, data, columns=("total_outstanding_debt",))
+    assert few.columns == ["company_id", "snapshot_date", "total_outstanding_debt"] and "max(dpd" not in plan(few)
+
+
 def test_boosting_on_grouped_rows(spark, monkeypatch):
     rows = spark.range(4000).select((F.col("id") % 997 / 10).alias("x"), (F.col("id") % 3).cast("double").alias("z"), F.lit(1.5).alias("flat")).withColumn("y", ((F.col("x") > 60) & (F.col("z") > 0)).cast("int"))
     few = training.grouped(rows.withColumn("w", F.lit(2.0)), ["x", "z", "flat"], ["y"], "w").collect()
