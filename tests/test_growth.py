@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerlark import quality_queries, queries
-from ledgerlark.operators import quality, rules, temporal, training
+from ledgerlark.operators import leakage, quality, rules, temporal, training
 from ledgerlark.operators.rules import Rule
 from ledgerlark.operators.vector_index import _Best
 from ledgerlark.plans import models, warehouse
@@ -179,3 +179,28 @@ def test_best_rows_of_blocks():
     few = _Best(2, 6)
     few.meet(0, distance[:2, :4], ids[:4])
     assert len(few.rows(0, 2)[1]) == 8
+
+
+def test_rules_between_models_meet_by_company(spark):
+    draw = random.Random(9)
+    keys = [(k, m) for k in (1, 2, 3) for m in MONTHS]
+    dealt = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(4, "company_id")
+    counted, known = [x for x in keys if draw.random() < 0.6] + [(1, MONTHS[0]), (1, MONTHS[0]), (None, MONTHS[1])], [x for x in keys if draw.random() < 0.6] + [(None, MONTHS[1])]
+    chosen = [(*x, draw.randrange(2019, 2023)) for x in keys if draw.random() < 0.8]
+    latest = {x: draw.choice([2020, 2021, None]) for x in keys if draw.random() < 0.8}
+    dim = [(k, f"key{k}", MONTHS[k], draw.choice([None, MONTHS[9]])) for k in (1, 2, 2, 3)]
+    fact = [(k, m, draw.choice(["key1", "key2", None])) for k, m in keys]
+    year = "company_id int, snapshot_date date, fiscal_year int"
+    found = [
+        leakage.without_source("alone", dealt(counted, "company_id int, snapshot_date date"), dealt(known, "company_id int, snapshot_date date")),
+        leakage.financial_rules(dealt(chosen, year), dealt([(*x, y) for x, y in latest.items()], year)),
+        leakage.key_out_of_time(dealt(fact, "company_id int, snapshot_date date, company_key string"), dealt(dim, "company_id int, company_key string, foundation_date date, valid_to date")),
+    ]
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan and "SortMerge" not in plan
+    got = {r.rule: r.violations for df in found for r in df.collect()}
+    assert got == {
+        "alone": sum(x not in known or x[0] is None for x in counted), "used_before_publication": sum(m < date(y + 1, 6, 30) for _, m, y in chosen), "newer_year_available": sum((latest.get((k, m)) or 0) > y for k, m, y in chosen),
+        "key_out_of_time": sum(c == x[1] and k == x[0] and (m < x[2] or (x[3] is not None and m >= x[3])) for k, m, c in fact for x in dim),
+    }
