@@ -204,3 +204,47 @@ def test_rules_between_models_meet_by_company(spark):
         "alone": sum(x not in known or x[0] is None for x in counted), "used_before_publication": sum(m < date(y + 1, 6, 30) for _, m, y in chosen), "newer_year_available": sum((latest.get((k, m)) or 0) > y for k, m, y in chosen),
         "key_out_of_time": sum(c == x[1] and k == x[0] and (m < x[2] or (x[3] is not None and m >= x[3])) for k, m, c in fact for x in dim),
     }
+
+
+def test_months_by_turns(spark):
+    draw = random.Random(12)
+    spans = [(k, *sorted((draw.choice(MONTHS), draw.choice(MONTHS)))) for k in (1, 2, 3, None) for _ in range(3)] + [(4, MONTHS[0], MONTHS[3]), (4, MONTHS[4], MONTHS[9])]
+    frame = spark.createDataFrame(spans, "k int, _first date, _last date")
+    turns = temporal.month_turns(frame, "k")
+    rows = frame.select("k", F.explode(temporal.months_of()).alias("d"))
+    held = Counter(map(tuple, rows.collect()))
+    back = temporal.spans_of(turns, "k").select("k", F.explode(temporal.months_of()).alias("d"), "_times")
+    assert {(r.k, r.d): r._times for r in back.collect()} == held and turns.where("k = 4").count() == 2
+    undated = spark.createDataFrame([(1, None, 3), (2, None, 1), (None, None, 2)], "k int, snapshot_date date, _change long")
+    by_month = lambda df: df.withColumnRenamed("snapshot_date", "d")
+    found = rules.check({"t": rows}, [Rule("t", "combination", ("k", "d")), Rule("t", "not_null", ("k",))], turns={"t": by_month(turns.unionByName(undated))})
+    assert {r.rule: r.violations for r in found.collect()} == {"t.combination.k+d": sum(n > 1 for n in held.values()) + 2, "t.not_null.k": sum(n for (k, _), n in held.items() if k is None)}
+
+
+def test_keys_of_months_are_neither_text_nor_dealt_with_their_rows(spark):
+    draw = random.Random(13)
+    key = lambda n: f"{n:032x}"
+    values = [draw.choice([key(draw.randrange(9)), key(draw.randrange(9)).upper(), "zz", "zz ", "", None, "abc"]) for _ in range(60)]
+    keys = spark.createDataFrame([(v, n % 3) for n, v in enumerate(values)], "v string, _times int")
+    other = spark.createDataFrame([("zz",), ("zz",), (None,), (key(3),)], "o string")
+    declared = [Rule("t", "unique", ("v",)), Rule("t", "relationship", ("v",), other="u", key="o"), Rule("t", "not_null", ("w",)), Rule("u", "unique", ("o",))]
+    found = rules.check({"t": spark.createDataFrame([(1, 1), (1, None)], "v int, w int"), "u": other}, declared, turns={"t": spark.createDataFrame([], "v int, w date, _change int")}, keys={"t": keys})
+    held = Counter()
+    for n, v in enumerate(values):
+        held[v] += n % 3
+    assert {r.rule: r.violations for r in found.collect()} == {"t.unique.v": sum(n > 1 for v, n in held.items() if v is not None), "t.relationship.v": sum(n for v, n in held.items() if v not in ("zz", key(3), None)), "t.not_null.w": 1, "u.unique.o": 1}
+
+
+def test_declared_rules_sum_up_monthly_rows(spark, monkeypatch):
+    seen, check = {}, rules.check
+    monkeypatch.setattr(rules, "check", lambda tables, declared, *more: seen.update(plain=tables, more=more, found=check(tables, declared, *more)))
+    quality_queries.declared_rules(spark, "/root/testdata/sf0.001", broken=True)
+    assert "unhex(" in seen["found"]._jdf.queryExecution().executedPlan().toString()
+    for name, turns in seen["more"][0].items():
+        rows = seen["plain"][name].groupBy("company_id", "snapshot_date").agg(F.count("*").alias("n"))
+        dated = temporal.spans_of(turns.groupBy("company_id", "snapshot_date").agg(F.sum("_change").alias("_change")).where("snapshot_date is not null"), "company_id")
+        months = dated.select("company_id", F.explode(temporal.months_of()).alias("snapshot_date"), F.col("_times").alias("n"))
+        lost = turns.where("snapshot_date is null").groupBy("company_id", "snapshot_date").agg(F.sum("_change").alias("n"))
+        both = rows.select(F.struct("*").alias("r"), F.lit(1).alias("s")).unionByName(months.unionByName(lost).select(F.struct("company_id", "snapshot_date", F.col("n").cast("long").alias("n")).alias("r"), F.lit(-1).alias("s")))
+        assert both.groupBy("r").agg(F.sum("s").alias("s")).where("s <> 0").count() == 0, name
+    assert len(seen["more"][0]) == 7
