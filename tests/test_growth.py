@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from decimal import Decimal
 
 import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerlark import quality_queries, queries
@@ -248,3 +250,22 @@ def test_declared_rules_sum_up_monthly_rows(spark, monkeypatch):
         both = rows.select(F.struct("*").alias("r"), F.lit(1).alias("s")).unionByName(months.unionByName(lost).select(F.struct("company_id", "snapshot_date", F.col("n").cast("long").alias("n")).alias("r"), F.lit(-1).alias("s")))
         assert both.groupBy("r").agg(F.sum("s").alias("s")).where("s <> 0").count() == 0, name
     assert len(seen["more"][0]) == 7
+
+
+def test_linear_scores_and_contributions_are_columns(spark):
+    draw = random.Random(15)
+    rows = spark.createDataFrame([(float(draw.randrange(9)), float(draw.randrange(3)), draw.randrange(2)) for _ in range(200)], "x double, z double, y int")
+    model = training.train(rows, ["x", "z"], "y")
+    scored = training.ml.score(model, rows)
+    assert not any(w in scored._jdf.queryExecution().optimizedPlan().toString() for w in ("UDF", "probability"))
+    both = model.transform(scored).withColumn("own", vector_to_array("probability")[1])
+    assert both.count() == 200 and both.where(F.abs(F.col("own") - F.col("y_pred_proba")) > 1e-12).count() == 0
+    with pytest.raises(Exception, match="feature is null"):
+        training.ml.score(model, rows.withColumn("z", F.when(F.col("x") < 4, F.col("z")))).collect()
+    weights, means = model.stages[-1].coefficients.toArray().tolist(), rows.agg(F.avg("x"), F.avg("z")).first()
+    found = training.ml.linear_contributions(model, rows.withColumn("x2", F.col("x")), ["x", "z"])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString() and found.columns == ["x", "z", "y", "x2", "contributions"]
+    for r in found.collect():
+        parts = [("x", weights[0] * (r.x - means[0])), ("z", weights[1] * (r.z - means[1]))]
+        want = sorted(parts, key=lambda p: -abs(p[1]))
+        assert [c.feature for c in r.contributions] == [c for c, _ in want] and all(abs(c.value - v) < 1e-12 for c, (_, v) in zip(r.contributions, want, strict=True))
