@@ -269,3 +269,12 @@ def test_linear_scores_and_contributions_are_columns(spark):
         parts = [("x", weights[0] * (r.x - means[0])), ("z", weights[1] * (r.z - means[1]))]
         want = sorted(parts, key=lambda p: -abs(p[1]))
         assert [c.feature for c in r.contributions] == [c for c, _ in want] and all(abs(c.value - v) < 1e-12 for c, (_, v) in zip(r.contributions, want, strict=True))
+
+
+def test_stored_training_rows_are_not_written_again(spark, monkeypatch):
+    count, written = [], training.written
+    monkeypatch.setattr(training, "written", lambda df: (count.append(df.columns), written(df))[1])
+    rows = spark.range(300).select((F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 > 5).cast("int").alias("y"))
+    for stored in (True, False):
+        scorer, metrics = training.final_fit(rows, rows, "y", training.Preprocessor((), ("x",), handle_missing=False), 0.5, stored=stored)
+        assert metrics.first()["recall"] > 0.9 and len(count) == (0 if stored else 1)
