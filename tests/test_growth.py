@@ -278,3 +278,10 @@ def test_stored_training_rows_are_not_written_again(spark, monkeypatch):
     for stored in (True, False):
         scorer, metrics = training.final_fit(rows, rows, "y", training.Preprocessor((), ("x",), handle_missing=False), 0.5, stored=stored)
         assert metrics.first()["recall"] > 0.9 and len(count) == (0 if stored else 1)
+
+
+def test_profile_from_the_warehouse_writes_no_spine(spark, monkeypatch):
+    written, write = [], warehouse.Warehouse._write
+    monkeypatch.setattr(warehouse.Warehouse, "_write", lambda self, df, name, *rest, **more: (written.append(name), write(self, df, name, *rest, **more)))
+    got = queries.warehouse_profile(spark, "/root/testdata/sf0.001")
+    assert sorted(written) == sorted(warehouse.STAGED) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
